@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
+DOUBLE, DOUBLES = DoubleType(), ArrayType(DoubleType())
 NORM_GUARD = 1e-6
 UNIT_TOLERANCE = 2e-12
 STD_FLOOR = 1e-6
@@ -47,13 +49,13 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
 
-@arrow_udf("double")
+@arrow_udf(DOUBLE)
 def norm(x: pa.Array) -> pa.Array:
     """L2 norm; fails on a non-finite channel."""
     return pa.array(_norms(matrix(x)))
 
 
-@arrow_udf("array<double>")
+@arrow_udf(DOUBLES)
 def unit(x: pa.Array) -> pa.Array:
     """L2-normalised descriptor; a norm below 1e-6 is an error."""
     values = matrix(x)
@@ -63,7 +65,7 @@ def unit(x: pa.Array) -> pa.Array:
     return lists(values / lengths[:, None] if len(values) else values)
 
 
-@arrow_udf("array<double>")
+@arrow_udf(DOUBLES)
 def unit_clamped(x: pa.Array, epsilon: pa.Array) -> pa.Array:
     """Descriptor over max(norm, epsilon): the projection path keeps tiny vectors."""
     values = matrix(x)
@@ -71,30 +73,30 @@ def unit_clamped(x: pa.Array, epsilon: pa.Array) -> pa.Array:
     return lists(values / lengths[:, None] if len(values) else values)
 
 
-@arrow_udf("double")
+@arrow_udf(DOUBLE)
 def mean_square_deviation(u: pa.Array, mean: pa.Array, std: pa.Array) -> pa.Array:
     """Mean over channels of ((u - mean) / std)^2."""
     deviation = (matrix(u) - matrix(mean)) / matrix(std)
     return pa.array((deviation * deviation).mean(axis=1) if len(deviation) else np.empty(0))
 
 
-@arrow_udf("double")
+@arrow_udf(DOUBLE)
 def dot(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.einsum("ij,ij->i", matrix(a), matrix(b)))
 
 
-@arrow_udf("double")
+@arrow_udf(DOUBLE)
 def square_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     difference = matrix(a) - matrix(b)
     return pa.array(np.einsum("ij,ij->i", difference, difference))
 
 
-@arrow_udf("array<double>")
+@arrow_udf(DOUBLES)
 def minus(a: pa.Array, b: pa.Array) -> pa.Array:
     return lists(matrix(a) - matrix(b))
 
 
-@arrow_udf("double")
+@arrow_udf(DOUBLE)
 def quadratic(u: pa.Array, form: pa.Array) -> pa.Array:
     """u' Q u, with Q flattened by rows and one Q per row of the batch."""
     values = matrix(u)
