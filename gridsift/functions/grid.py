@@ -49,9 +49,10 @@ def cell_groups(spark: SparkSession, height: int, width: int) -> DataFrame:
     ring = (row.between(1, height - 2) & column.between(1, width - 2)
             & ((row == 1) | (row == height - 2) | (column == 1) | (column == width - 2)))
     names = F.array_compact(F.array(
-        F.lit("all"), F.when(border, F.lit("border")), F.when(~border, F.lit("interior")), F.when(ring, F.lit("ring1")),
-        F.when(row == 0, F.lit("top_row")), F.when(row == height - 1, F.lit("bottom_row")),
-        F.when(column == 0, F.lit("left_column")), F.when(column == width - 1, F.lit("right_column"))))
+        F.when(border, F.lit("outer_border")), F.when(ring, F.lit("second_ring")),
+        F.when(~border & ~ring, F.lit("interior")), F.when(row == 0, F.lit("top_row")),
+        F.when(row == height - 1, F.lit("bottom_row")), F.when(column == 0, F.lit("left_col")),
+        F.when(column == width - 1, F.lit("right_col"))))
     return cells.select("cell", F.explode(names).alias("grp"))
 
 
