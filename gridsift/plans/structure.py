@@ -90,7 +90,7 @@ SELECT category, cell, n, {r('(n * sum(mean * mean) - 1) / (n - 1)')} AS cosine_
   {r('1 - sum(mean * mean)')} AS dispersion, {r('avg(std_sample * std_sample)')} AS channel_variance,
   CAST(count_if(std_sample <= 1e-6) AS INTEGER) AS low_1e6, CAST(count_if(std_sample <= 1e-5) AS INTEGER) AS low_1e5,
   CAST(count_if(std_sample <= 1e-4) AS INTEGER) AS low_1e4, CAST(count_if(std_sample <= 1e-3) AS INTEGER) AS low_001
-FROM model GROUP BY ALL"""
+FROM model GROUP BY category, cell, n"""
 
 
 def coherence_summary(spark, sf):
