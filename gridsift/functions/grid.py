@@ -110,9 +110,9 @@ def circular_error(difference: Column, period: float) -> Column:
 
 
 def circular_deviation(value: Column, centre: Column, period: float) -> Column:
-    """Signed deviation in [-period/2, period/2)."""
+    """Distance to a centre in [0, period/2]."""
     half = F.lit(period / 2.0)
-    return F.pmod(value - centre + half, F.lit(float(period))) - half
+    return F.abs(F.pmod(value - centre + half, F.lit(float(period))) - half)
 
 
 def circular_moments(value: str, period: float) -> Sequence[Column]:
@@ -121,6 +121,6 @@ def circular_moments(value: str, period: float) -> Sequence[Column]:
     c, s = F.avg(F.cos(phase)), F.avg(F.sin(phase))
     mean = F.pmod(F.atan2(s, c) * F.lit(period / (2 * math.pi)), F.lit(float(period)))
     resultant = F.least(F.hypot(c, s), F.lit(1.0))
-    return [mean.alias("circular_mean"),
-            (F.sqrt(F.lit(-2.0) * F.ln(F.greatest(resultant, F.lit(1e-300)))) * F.lit(period / (2 * math.pi)))
-            .alias("circular_std")]
+    spread = F.when(resultant <= 1e-12, F.lit(float("inf"))).otherwise(
+        F.sqrt(F.lit(-2.0) * F.ln(resultant)) * F.lit(period / (2 * math.pi)))
+    return [mean.alias("circular_mean"), spread.alias("circular_std"), resultant.alias("resultant")]

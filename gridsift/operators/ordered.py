@@ -46,14 +46,18 @@ def running(df: DataFrame, keys: Sequence[str], order: Order, *, sums: Mapping[s
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     carried = sliced.groupBy(*keys, "_slice").agg(*parts).select(
-        *keys, "_slice",
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_slice").alias("_key__slice"),
         *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_off_{out}") for out in sums],
         *[F.sum(f"_sum_{out}").over(whole).alias(f"{out}_total") for out in sums if totals],
         *[F.last(f"_last_{out}", ignorenulls=True).over(earlier).alias(f"_off_{out}") for out in {**lasts, **lags}])
 
     within = Window.partitionBy(*keys, "_slice").orderBy(*sorts)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = sliced.join(carried, [*keys, "_slice"])
+    # Null keys are keys too.
+    same = F.lit(True)
+    for k in [*keys, "_slice"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    joined = sliced.join(carried, same)
     return joined.select(
         *df.columns,
         *[(F.col(f"_off_{out}") + F.sum(column).over(upto)).alias(out) for out, column in sums.items()],
