@@ -133,14 +133,14 @@ FROM c GROUP BY region, process"""
 
 def stage_timing(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("stage"), F.col("o_orderstatus").alias("candidate"),
-                                          F.year("o_orderdate").alias("fork"), F.col("o_totalprice").alias("elapsed"))
-    return rounded(PR.stage_timing(o, "stage", "candidate", "fork", "elapsed"))
+                                          F.year("o_orderdate").alias("fork"), F.round(F.col("o_totalprice") * 100).alias("elapsed"))
+    return rounded(PR.stage_timing(o, "stage", "candidate", "fork", "elapsed"), 3)
 
 
 QUERIES["stage_timing"] = stage_timing
-ORACLE["stage_timing"] = f"""WITH g AS (SELECT o_orderpriority AS stage, o_orderstatus AS candidate, unnest([CAST(year(o_orderdate) AS VARCHAR), 'ALL']) AS fork, o_totalprice AS v FROM orders)
-SELECT stage, candidate, fork, count(*) AS n, {r('min(v)')} AS "min", {r('max(v)')} AS "max", {r('avg(v)')} AS mean, {r('quantile_cont(v, .5)')} AS p50,
-  {r('quantile_cont(v, .95)')} AS p95, {r('quantile_cont(v, .99)')} AS p99 FROM g GROUP BY ALL"""
+ORACLE["stage_timing"] = f"""WITH g AS (SELECT o_orderpriority AS stage, o_orderstatus AS candidate, unnest([CAST(year(o_orderdate) AS VARCHAR), 'ALL']) AS fork, round(o_totalprice * 100) AS v FROM orders)
+SELECT stage, candidate, fork, count(*) AS n, {r('min(v)', 3)} AS "min", {r('max(v)', 3)} AS "max", {r('avg(v)', 3)} AS mean, {r('quantile_cont(v, .5)', 3)} AS p50,
+  {r('quantile_cont(v, .95)', 3)} AS p95, {r('quantile_cont(v, .99)', 3)} AS p99 FROM g GROUP BY ALL"""
 
 
 def coverage(spark, sf):
