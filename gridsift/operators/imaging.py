@@ -11,7 +11,8 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructType
 
-from gridsift.images import bitmaps, photometry, resample, shapes
+from gridsift.images import bitmaps, resample, shapes
+from gridsift.images.photometry import luminance_of
 
 
 def each_image(images: DataFrame, keep: Sequence[str], produced: str, function: Callable[[dict], Iterable[dict]]) -> DataFrame:
@@ -54,7 +55,7 @@ def rgb_words(decoded: DataFrame) -> DataFrame:
 def luminances(images: DataFrame, keep: Sequence[str], height: int, width: int) -> DataFrame:
     """Fixed-point luminance of interleaved RGB samples."""
     return each_image(images, keep, "luminance array<int>", lambda r: [
-        {"luminance": photometry.luminance_of(_colour(r["pixels"], height, width)).ravel().astype(np.int32)}])
+        {"luminance": luminance_of(_colour(r["pixels"], height, width)).ravel().astype(np.int32)}])
 
 
 def silhouettes(images: DataFrame, keep: Sequence[str], height: int, width: int, dark: bool = False) -> DataFrame:

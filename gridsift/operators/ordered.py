@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridsift.session import kept, slices
+from gridsift.session import kept
 
 Order = Sequence[tuple[str, str]]
 
@@ -35,7 +35,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Order, *, sums: Mapping[s
     sums, lasts, lags = dict(sums or {}), dict(lasts or {}), dict(lags or {})
     keys = list(keys)
     sorts = _sorts(order)
-    spread = df.repartitionByRange(slices(df.sparkSession), *[F.col(k) for k in keys], *sorts)
+    # No fixed number: the session's shuffle width is the upper bound and AQE merges small ranges.
+    spread = df.repartitionByRange(*[F.col(k) for k in keys], *sorts)
     sliced = kept(spread.withColumn("_slice", F.spark_partition_id()), "slices")
 
     at_end = F.max_by if all(way != "desc" for _, way in order) else F.min_by

@@ -1,4 +1,4 @@
-"""Session helpers: where intermediate tables go and how many slices to cut."""
+"""Session helpers: where intermediate tables go."""
 
 from __future__ import annotations
 
@@ -39,8 +39,3 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/gridsift/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def slices(spark: SparkSession) -> int:
-    """Number of range slices for ordered jobs; follows the session's shuffle width."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -18,7 +18,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session():
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]").appName("gridsift")
-             .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
+             .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE", "8")).config("spark.driver.memory", "8g")
              .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
