@@ -62,7 +62,7 @@ def auroc_by_defect(rows: DataFrame, keys: Sequence[str], score: str = "score",
     below = F.col("upto") - F.col("neg") / F.lit(2.0)
     return hits.join(ranked, [*keys, score]).groupBy(*keys, defect).agg(
         F.sum("hits").alias("positives"), F.max("upto_total").alias("negatives"),
-        (F.sum(F.col("hits") * below) / (F.sum("hits") * F.max("upto_total"))).alias("auroc"))
+        F.try_divide(F.sum(F.col("hits") * below), F.sum("hits") * F.max("upto_total")).alias("auroc"))
 
 
 # Pixels ----------------------------------------------------------------------------------------------------------------
@@ -143,8 +143,9 @@ def localisation(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _segments(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     sweep = swept(steps, keys, "score")
     n, w = F.col("fps_total"), F.col("ws_total")
-    return sweep.withColumn("x1", F.col("fps") / n).withColumn("x0", (F.col("fps") - F.col("fp")) / n).withColumn(
-        "y1", F.col("ws") / w).withColumn("y0", (F.col("ws") - F.col("w")) / w)
+    # Null, not an error, where a key lacks background or foreground.
+    return sweep.withColumn("x1", F.try_divide("fps", n)).withColumn("x0", F.try_divide(F.col("fps") - F.col("fp"), n)).withColumn(
+        "y1", F.try_divide("ws", w)).withColumn("y0", F.try_divide(F.col("ws") - F.col("w"), w))
 
 
 def _pro_at(x: Column) -> Column:

@@ -93,7 +93,8 @@ def recovery_summary(triples: DataFrame, keys: Sequence[str], minimum: float = 0
 
 def pearson(x: str, y: str) -> Column:
     """Correlation, null when either side is constant."""
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx > 0) & (sy > 0), F.covar_pop(x, y) / (sx * sy))
 
 
 def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

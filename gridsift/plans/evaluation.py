@@ -9,6 +9,7 @@ from gridsift.operators import evaluate as E
 from gridsift.operators import moments as M
 from gridsift.operators.describe import describe
 from gridsift.operators.ordered import numbered
+from gridsift.operators.paired import pearson
 from gridsift.plans.views import (HEIGHT, SQL_SCORED, WIDTH, image_table, images, r, rounded, scored, table)
 from gridsift.session import kept
 
@@ -372,9 +373,8 @@ def score_correlation(spark, sf):
     """Pearson of raw and calibrated peak, and of calibrated peak and the deviation at it; null when constant."""
     maps = scored(spark, sf).where("split = 'test'")
     per = image_table(maps)
-    const = lambda c: F.stddev_pop(c) > 0
     return rounded(per.groupBy("category", "anomaly").agg(
-        F.when(const("score") & const("raw_score"), F.corr("score", "raw_score")).alias("pearson"),
+        pearson("score", "raw_score").alias("pearson"),
         F.count(F.lit(1)).alias("n")))
 
 
@@ -389,7 +389,7 @@ def diagnosis(spark, sf):
     per = kept(image_table(scored(spark, sf)).where("split = 'test'"), "per-image")
     z = E.auroc(per, ["category"], "score").select("category", F.col("auroc").alias("z"))
     raw = E.auroc(per, ["category"], "raw_score").select("category", F.col("auroc").alias("raw"))
-    tie = per.where("NOT anomaly").groupBy("category").agg(F.corr("score", "raw_score").alias("pearson"))
+    tie = per.where("NOT anomaly").groupBy("category").agg(pearson("score", "raw_score").alias("pearson"))
     poor, harmless = F.col("raw") < 0.80, F.col("z") >= F.col("raw") - 0.02
     label = (F.when(poor & harmless & (F.col("pearson") < -0.30), "MIXED").when(poor & harmless, "RAW_DRIVEN")
              .when(F.col("z") - F.col("raw") < -0.12, "Z_AMPLIFIED").otherwise("INCONCLUSIVE"))
