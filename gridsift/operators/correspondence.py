@@ -78,13 +78,15 @@ def best_reference(height: int, width: int, everywhere: bool):
     return match
 
 
-def correspondence_maps(grids: DataFrame, packed_model: DataFrame, height: int, width: int, mode: str) -> DataFrame:
-    """Rows (image keys, cell, raw, reference) for mode ``N1`` (3x3 neighbourhood) or ``G`` (all cells)."""
-    match = best_reference(height, width, everywhere=mode == "G")
-    joined = grids.join(packed_model, "category").withColumn("_match", match("grid", "mean", "std"))
+def correspondence_maps(grids: DataFrame, packed_model: DataFrame, height: int, width: int,
+                        modes: Sequence[str] = ("N1", "G")) -> DataFrame:
+    """Rows (mode, image keys, cell, raw, reference) for ``N1`` (3x3 neighbourhood) and ``G`` (all cells), in one pass."""
+    found = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), best_reference(height, width, m == "G")("grid", "mean", "std").alias("match"))
+                                for m in modes])).alias("_f")
     keys = [c for c in grids.columns if c != "grid"]
-    return joined.select(*keys, F.posexplode("_match").alias("cell", "_m")).select(
-        *keys, "cell", "_m.raw", "_m.reference")
+    joined = grids.join(packed_model, "category").select(*keys, found)
+    return joined.select("_f.mode", *keys, F.posexplode("_f.match").alias("cell", "_m")).select(
+        "mode", *keys, "cell", "_m.raw", "_m.reference")
 
 
 def match_summary(maps: DataFrame, keys: Sequence[str], width: int) -> DataFrame:

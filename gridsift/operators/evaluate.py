@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from gridsift.functions import vectors as V
 from gridsift.operators.ordered import running
+from gridsift.session import kept
 
 FPR_LIMIT = 0.30
 CURVE_POINTS = 301
@@ -56,9 +57,11 @@ def auroc_by_defect(rows: DataFrame, keys: Sequence[str], score: str = "score",
     The good rows are ranked once per key; each defect then sums the number of
     good rows below its own scores. Nothing is copied per defect.
     """
-    good = rows.groupBy(*keys, score).agg(F.sum((~F.col(positive)).cast("long")).alias("neg"))
+    hit = F.col(positive).cast("long")
+    counts = kept(rows.groupBy(*keys, defect, score).agg(F.sum(hit).alias("hits"), F.sum(1 - hit).alias("neg")), "counts")
+    good = counts.groupBy(*keys, score).agg(F.sum("neg").alias("neg"))
     ranked = running(good, keys, [(score, "asc")], sums={"upto": "neg"}, totals=True)
-    hits = rows.where(positive).groupBy(*keys, defect, score).agg(F.count(F.lit(1)).alias("hits"))
+    hits = counts.where("hits > 0").select(*keys, defect, score, "hits")
     below = F.col("upto") - F.col("neg") / F.lit(2.0)
     return hits.join(ranked, [*keys, score]).groupBy(*keys, defect).agg(
         F.sum("hits").alias("positives"), F.max("upto_total").alias("negatives"),
@@ -179,8 +182,8 @@ def localisation_by_defect(pixels: DataFrame, keys: Sequence[str], defect: str =
 
     Good pixels are reduced to distinct scores before they are copied to the defects of their key.
     """
-    steps = score_steps(pixels, [*keys, defect], "score", "hit", "weight")
-    kinds = pixels.where(F.col(defect) != good).select(*keys, defect).distinct()
+    steps = kept(score_steps(pixels, [*keys, defect], "score", "hit", "weight"), "steps")
+    kinds = steps.where(F.col(defect) != good).select(*keys, defect).distinct()
     shared = steps.where(F.col(defect) == good).drop(defect).join(kinds, list(keys))
     merged = steps.where(F.col(defect) != good).unionByName(shared).groupBy(*keys, defect, "score").agg(
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("w").alias("w"))

@@ -59,6 +59,12 @@ def raw_maps(units: DataFrame, model: DataFrame, keys: Sequence[str] = POSITION)
     return scored.withColumn("raw", V.mean_square_deviation("u", "mean", "std")).drop("u", "mean", "std")
 
 
+def feature_maps(features: DataFrame, model: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
+    """Raw maps straight from descriptors: normalisation and distance run in one Python pass after the join."""
+    scored = features.join(model.select(*keys, "mean", "std"), list(keys))
+    return scored.withColumn("raw", V.mean_square_deviation(V.unit("x"), F.col("mean"), F.col("std"))).drop("x", "mean", "std")
+
+
 def position_calibration(maps: DataFrame, keys: Sequence[str] = POSITION, value: str = "raw") -> DataFrame:
     """Mean and floored sample std of the held-out scores per position."""
     stats = maps.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("alpha"),

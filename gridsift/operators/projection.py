@@ -220,11 +220,11 @@ def centroid_model(moments: DataFrame, seed: int, dimensions: int) -> DataFrame:
                   "category string, cell int, centroid array<double>, weight array<double>")
 
 
-def centroid_maps(units: DataFrame, model: DataFrame, seed: int, dimensions: int) -> DataFrame:
-    """Rows per method: ``c1`` = 1 - cosine to the mean, ``v1`` = 1 - cosine after projection."""
+def projected_length(seed: int, dimensions: int):
+    """Arrow UDF: sqrt(u' G u) with G = R'R / D, the length of the projection."""
 
     @arrow_udf(DoubleType())
-    def projected_length(u: pa.Array) -> pa.Array:
+    def length(u: pa.Array) -> pa.Array:
         values = matrix(u)
         if not len(values):
             return pa.array([], pa.float64())
@@ -234,12 +234,32 @@ def centroid_maps(units: DataFrame, model: DataFrame, seed: int, dimensions: int
             raise ValueError("projected norm is not positive")
         return pa.array(np.sqrt(square))
 
+    return length
+
+
+def _by_method(scored: DataFrame, others: Sequence[str], methods: Sequence[str]) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"_{m}").alias("raw")) for m in methods])).alias("_r")
+    return scored.select(*others, each).select("_r.method", *others, "_r.raw")
+
+
+def centroid_maps(units: DataFrame, model: DataFrame, seed: int, dimensions: int) -> DataFrame:
+    """Rows per method: ``c1`` = 1 - cosine to the mean, ``v1`` = 1 - cosine after projection."""
     scored = units.join(model, ["category", "cell"]).withColumn("_c1", 1 - V.dot("u", "centroid")).withColumn(
-        "_v1", 1 - V.dot("u", "weight") / projected_length("u"))
-    others = [c for c in units.columns if c != "u"]
-    both = F.explode(F.array(F.struct(F.lit("c1").alias("method"), F.col("_c1").alias("raw")),
-                             F.struct(F.lit("v1").alias("method"), F.col("_v1").alias("raw")))).alias("_r")
-    return scored.select(*others, both).select(*others, "_r.method", "_r.raw")
+        "_v1", 1 - V.dot("u", "weight") / projected_length(seed, dimensions)("u"))
+    return _by_method(scored, [c for c in units.columns if c != "u"], ["c1", "v1"])
+
+
+def all_methods(features: DataFrame, models: DataFrame, seed: int, dimensions: int) -> DataFrame:
+    """Raw maps of the compiled filter (m0), centroid (c1, v1), diagonal (m2) and projected dispersion (m3) models.
+
+    ``models`` holds all five states of a cell in one row, so the descriptors are scanned and joined once.
+    """
+    j = features.join(models, ["category", "cell"]).withColumn("u", V.unit("x")).withColumn(
+        "_m0", 1 - (V.dot(V.unit_clamped("x", F.lit(NORM_EPSILON)), F.col("w")) + F.col("b"))).withColumn(
+        "_c1", 1 - V.dot("u", "centroid")).withColumn("_v1", 1 - V.dot("u", "weight") / projected_length(seed, dimensions)("u")).withColumn(
+        "_m2", V.mean_square_deviation("u", "mean", "std")).withColumn(
+        "_m3", V.quadratic("u", "q") - 2 * V.dot("u", "l") + F.col("k"))
+    return _by_method(j, [c for c in features.columns if c != "x"], ["m0", "c1", "v1", "m2", "m3"])
 
 
 # Local projected dispersion --------------------------------------------------------------------------------------------

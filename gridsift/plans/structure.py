@@ -36,9 +36,7 @@ def matched(spark, sf):
     u, model, _ = fitted(spark, sf)
     pack = kept(C.packed(model, ["mean", "std"]), "packed")
     grid = C.grids(u, ["category", "image", "split", "anomaly"])
-    near = C.correspondence_maps(grid, pack, HEIGHT, WIDTH, "N1").withColumn("mode", F.lit("N1"))
-    far = C.correspondence_maps(grid, pack, HEIGHT, WIDTH, "G").withColumn("mode", F.lit("G"))
-    return near.unionByName(far)
+    return C.correspondence_maps(grid, pack, HEIGHT, WIDTH)
 
 
 def correspondence_maps(spark, sf):
@@ -369,18 +367,16 @@ ORACLE["dispersion_maps"] = f"{SQL_DISPERSION} SELECT category, image, cell, {r(
 
 
 def method_maps(spark, sf):
-    """Raw maps of five methods in one long table."""
-    u, _, _, filters = projection_memory(spark, sf)
-    cols = ["method", "category", "image", "split", "anomaly", "cell", "raw"]
-    plain = units(spark, sf)
-    model = kept(M.position_model(plain.where("split = 'fit'")), "model")
-    parts = [P.filter_maps(u, filters).withColumn("method", F.lit("m0")), centroid_scores(spark, sf)[1],
-             M.raw_maps(plain, model).withColumn("method", F.lit("m2")),
-             dispersion_scores(spark, sf).withColumn("method", F.lit("m3"))]
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    return out
+    """Raw maps of five methods in one long table: every model joined once, descriptors read once."""
+    _, _, _, filters = projection_memory(spark, sf)
+    u = units(spark, sf).where("split = 'fit'")
+    moments = kept(M.position_model(u), "model")
+    centroids = P.centroid_model(moments, SEED, DIMENSIONS)
+    forms = P.dispersion_model(P.cross_products(u, ["category", "cell"]), SEED, DIMENSIONS)
+    wide = moments.select("category", "cell", "mean", "std")
+    for table_ in (filters, centroids, forms):
+        wide = wide.join(table_, ["category", "cell"])
+    return P.all_methods(features(spark, sf), kept(wide, "methods"), SEED, DIMENSIONS)
 
 
 def method_comparison(spark, sf):

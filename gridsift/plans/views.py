@@ -44,17 +44,18 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
 
 def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(units, model, calibration); both model tables are written, so later joins know their size."""
-    u = units(spark, sf)
+    f = features(spark, sf)
+    u = M.units(f)
     model = kept(M.position_model(u.where("split = 'fit'")), "model")
-    held_out = M.raw_maps(u.where("split = 'calibration'"), model)
+    held_out = M.feature_maps(f.where("split = 'calibration'"), model)
     calibration = kept(M.position_calibration(held_out), "calibration")
     return u, model, calibration
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Raw and calibrated maps of every image: one scan, two joins with model tables, no shuffle of features."""
-    u, model, calibration = fitted(spark, sf)
-    return M.calibrated(M.raw_maps(u, model), calibration)
+    _, model, calibration = fitted(spark, sf)
+    return M.calibrated(M.feature_maps(features(spark, sf), model), calibration)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -78,8 +78,8 @@ def packed_model(spark, mean_cell, h, w):
 def test_lowest_reference_on_ties(spark):
     grid = spark.createDataFrame([("c", "a", [0.0] * (14 * 14 * 2))], "category string, image string, grid array<double>")
     pack = packed_model(spark, 5, 14, 14)
-    near = {r.cell: r for r in C.correspondence_maps(grid, pack, 14, 14, "N1").collect()}
-    far = {r.cell: r for r in C.correspondence_maps(grid, pack, 14, 14, "G").collect()}
+    near = {r.cell: r for r in C.correspondence_maps(grid, pack, 14, 14, ["N1"]).collect()}
+    far = {r.cell: r for r in C.correspondence_maps(grid, pack, 14, 14, ["G"]).collect()}
     assert near[0].reference == 0 and near[100].reference == 85 and near[5].reference == 4 and near[5].raw == 0
     assert all(r.reference == 0 for r in far.values())
 
