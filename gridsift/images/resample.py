@@ -148,3 +148,13 @@ def backprojected(canonical: np.ndarray, forward: tuple[float, float, float, flo
     sx = np.clip(a * x + b * y + c, 0, size - 1)
     sy = np.clip(d * x + e * y + f, 0, size - 1)
     return interpolated(canonical[..., None], sy, sx)[..., 0]
+
+
+def pulled(mask: np.ndarray, transform: tuple[float, float, float, float], out: int) -> np.ndarray:
+    """A square mask seen on a frame of ``out`` pixels through the inverse of a rigid transform, nearest pixel, empty outside."""
+    size = mask.shape[0]
+    q = (np.arange(out) + 0.5) * size / out - 0.5
+    u, v = np.meshgrid(q, q)
+    x, y = (np.floor(a + 0.5).astype(np.int64) for a in to_source(transform, u, v))
+    inside = (x >= 0) & (x < size) & (y >= 0) & (y < size)
+    return inside & mask[np.clip(y, 0, size - 1), np.clip(x, 0, size - 1)]

@@ -167,6 +167,28 @@ def backprojected(maps: DataFrame, keep: Sequence[str], size: int) -> DataFrame:
     return each_image(maps, keep, "map array<double>", back)
 
 
+def pulled(masks: DataFrame, keep: Sequence[str], size: int, out: int) -> DataFrame:
+    """Masks on the frame of their rigid ``transform``; a gather inside each image, so no pixel is shuffled."""
+
+    def pull(record):
+        t = record["transform"]
+        yield {"mask": resample.pulled(_plane(record["mask"], size, size).astype(bool), (t["cos"], t["sin"], t["tx"], t["ty"]), out).ravel()}
+
+    return each_image(masks, keep, "mask array<boolean>", pull)
+
+
+def warped(images: DataFrame, keep: Sequence[str], height: int, width: int) -> DataFrame:
+    """Byte images under their rigid ``transform``, edges replicated."""
+
+    def warp(record):
+        t = record["transform"]
+        forward = np.array([[t["cos"], -t["sin"], t["tx"]], [t["sin"], t["cos"], t["ty"]], [0.0, 0.0, 1.0]])
+        flat = np.asarray(record["pixels"], dtype=np.float64).reshape(height, width, -1)
+        yield {"pixels": resample.warped(flat, forward).ravel().astype(np.int32)}
+
+    return each_image(images, keep, "pixels array<int>", warp)
+
+
 def rings(masks: DataFrame, keep: Sequence[str], height: int, width: int, radius: int) -> DataFrame:
     return each_image(masks, keep, "ring array<boolean>", lambda r: [
         {"ring": shapes.ring(_plane(r["mask"], height, width).astype(bool), radius).ravel()}])

@@ -135,6 +135,12 @@ def records(spark, sf):
     return kept(N.winner_records(maps, baseline, calibration), "records"), maps, calibration
 
 
+def cell_state(model, calibration):
+    std = F.aggregate("std", F.lit(0.0), lambda a, v: a + v) / F.size("std")
+    return kept(model.withColumn("s", std).select("variant", "category", "cell", F.col("s").alias("std")).join(
+        calibration.select("variant", "category", "cell", "beta"), list(KEYS)), "state")
+
+
 def nuisance_records(spark, sf):
     return rounded(records(spark, sf)[0])
 
@@ -246,10 +252,7 @@ SELECT family, variant, category, image, {r('(c - a) / (CAST(1.1 AS DOUBLE) - CA
 def sensitivity(spark, sf):
     maps, model, calibration = nuisance_maps(spark, sf)
     cells = kept(N.cell_sensitivity(maps), "sensitivity")
-    std = F.aggregate("std", F.lit(0.0), lambda a, v: a + v) / F.size("std")
-    state = kept(model.withColumn("s", std).select("variant", "category", "cell", F.col("s").alias("std")).join(
-        calibration.select("variant", "category", "cell", "beta"), list(KEYS)), "state")
-    return cells, state, maps, calibration
+    return cells, cell_state(model, calibration)
 
 
 SQL_SENS = sql_nuisance() + """,
@@ -272,7 +275,7 @@ ORACLE["cell_sensitivity"] = f"""WITH {SQL_SENS} SELECT family, variant, categor
 
 def state_sensitivity_ranks(spark, sf):
     """Spearman correlation of cell sensitivity with the cell's deviation and with its calibration scale."""
-    cells, state, _, _ = sensitivity(spark, sf)
+    cells, state = sensitivity(spark, sf)
     joined = kept(cells.join(state, list(KEYS)), "joined")
     keys = ["family", "variant", "category"]
     a = P.spearman(joined, keys, "sensitivity", "std").withColumnRenamed("spearman", "spearman_std")
@@ -290,12 +293,9 @@ SELECT family, variant, category, count(*) AS n, {r('corr(r_sensitivity, r_std)'
 
 
 def winner_buckets(spark, sf):
-    recs, maps, calibration = records(spark, sf)
-    model, _ = nuisance_state(spark, sf)
-    std = F.aggregate("std", F.lit(0.0), lambda a, v: a + v) / F.size("std")
-    state = kept(model.select("variant", "category", "cell", std.alias("std")).join(
-        calibration.select("variant", "category", "cell", "beta"), list(KEYS)), "state")
-    return N.winner_buckets(recs.where("level <> 1.0"), state)
+    maps, model, calibration = nuisance_maps(spark, sf)
+    recs = N.winner_records(maps, maps.where("level = 1.0 AND family = 'BRIGHTNESS'"), calibration)
+    return N.winner_buckets(recs.where("level <> 1.0"), cell_state(model, calibration))
 
 
 QUERIES["winner_buckets"] = winner_buckets
@@ -314,13 +314,12 @@ INNER = "cell % 4 IN (1, 2)"
 
 def robustness_pairs(spark, sf):
     """Perturbed and original peak of every test image (whole map and inner columns), identity variant."""
-    maps, _, _ = nuisance_maps(spark, sf, split="test")
+    maps, model, calibration = nuisance_maps(spark, sf, split="test")
     maps = maps.where("variant = 'identity'")
     peaks = maps.groupBy("category", "image", "anomaly", "family", "level").agg(
         F.max("z").alias("st"), F.max(F.when(F.expr(INNER), F.col("z"))).alias("interior_st"))
     original = peaks.where("level = 1.0 AND family = 'BRIGHTNESS'").select(
         "category", "image", F.col("st").alias("s0"), F.col("interior_st").alias("interior_s0"))
-    model, calibration = nuisance_state(spark, sf)
     held_out = pixel_units(with_variants(pixel_images(spark, sf).where("split = 'calibration'"))).where("variant = 'identity'")
     scores = M.image_scores(M.calibrated(M.raw_maps(held_out, model, KEYS), calibration, KEYS))
     pairs = P.paired(peaks, original.drop("interior_s0")).join(original.select("category", "image", "interior_s0"), ["category", "image"])

@@ -21,6 +21,8 @@ def session():
              .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE", "8")).config("spark.driver.memory", "8g")
              .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("NO_BROADCAST"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     return spark
 
 
