@@ -38,9 +38,6 @@ def running(df: DataFrame, keys: Sequence[str], order: Order, *, sums: Mapping[s
     # No fixed number: the session's shuffle width is the upper bound and AQE merges small ranges.
     spread = df.repartitionByRange(*[F.col(k) for k in keys], *sorts)
     sliced = kept(spread.withColumn("_slice", F.spark_partition_id()), "slices")
-    # One struct names the key and its slice: null keys are keys too, and the join and the window share a partitioning.
-    group = F.struct(*keys, "_slice").alias("_group")
-
     at_end = F.max_by if all(way != "desc" for _, way in order) else F.min_by
     place = F.struct(*[F.col(name) for name, _ in order])
     parts = [F.sum(column).alias(f"_sum_{out}") for out, column in sums.items()]
@@ -48,15 +45,19 @@ def running(df: DataFrame, keys: Sequence[str], order: Order, *, sums: Mapping[s
               for out, column in {**lasts, **lags}.items()]
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    carried = sliced.groupBy(*keys, "_slice").agg(*parts).select(
-        group,
+    # One row per key and slice; written, so that its size is known and the join need not shuffle the slices.
+    carried = kept(sliced.groupBy(*keys, "_slice").agg(*parts).select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_slice").alias("_key__slice"),
         *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_off_{out}") for out in sums],
         *[F.sum(f"_sum_{out}").over(whole).alias(f"{out}_total") for out in sums if totals],
-        *[F.last(f"_last_{out}", ignorenulls=True).over(earlier).alias(f"_off_{out}") for out in {**lasts, **lags}])
+        *[F.last(f"_last_{out}", ignorenulls=True).over(earlier).alias(f"_off_{out}") for out in {**lasts, **lags}]), "carried")
 
-    within = Window.partitionBy("_group").orderBy(*sorts)
+    within = Window.partitionBy(*keys, "_slice").orderBy(*sorts)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = sliced.select(*df.columns, group).join(carried, "_group")
+    same = F.lit(True)
+    for k in [*keys, "_slice"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))  # null keys are keys too
+    joined = sliced.join(carried, same)
     return joined.select(
         *df.columns,
         *[(F.col(f"_off_{out}") + F.sum(column).over(upto)).alias(out) for out, column in sums.items()],

@@ -102,9 +102,10 @@ SQL_UP = SQL_SCORED + """,
   grid AS (SELECT px, y, x, floor(sy)::INT AS y0, least(floor(sy) + 1, 1)::INT AS y1, sy - floor(sy) AS fy,
              floor(sx)::INT AS x0, least(floor(sx) + 1, 3)::INT AS x1, sx - floor(sx) AS fx FROM src),
   marr AS (SELECT category, image, defect, list(z ORDER BY cell) AS m FROM maps WHERE split = 'test' GROUP BY ALL),
-  up AS (SELECT category, image, defect, px, y, x, round(
+  up0 AS (SELECT category, image, defect, px, y, x,
            (m[y0 * 4 + x0 + 1] * (1 - fx) + m[y0 * 4 + x1 + 1] * fx) * (1 - fy)
-         + (m[y1 * 4 + x0 + 1] * (1 - fx) + m[y1 * 4 + x1 + 1] * fx) * fy, 9) AS score FROM marr, grid)"""
+         + (m[y1 * 4 + x0 + 1] * (1 - fx) + m[y1 * 4 + x1 + 1] * fx) * fy AS score FROM marr, grid),
+  up AS (SELECT * REPLACE (round(score, 9) AS score) FROM up0)"""
 
 
 def sql_pixels(support="TRUE"):
@@ -144,11 +145,11 @@ FROM metrics"""
 
 def upsampled_maps(spark, sf):
     arrays = E.map_arrays(scored(spark, sf).where("split = 'test'"), ["category", "image"])
-    return rounded(E.upsampled(arrays, HEIGHT, WIDTH, OUT_HEIGHT, OUT_WIDTH).withColumn("score", F.round("score", 9)))
+    return rounded(E.upsampled(arrays, HEIGHT, WIDTH, OUT_HEIGHT, OUT_WIDTH))
 
 
 QUERIES["upsampled_maps"] = upsampled_maps
-ORACLE["upsampled_maps"] = f"WITH {SQL_UP} SELECT category, image, CAST(px AS INTEGER) AS px, {r('score')} AS score FROM up"
+ORACLE["upsampled_maps"] = f"WITH {SQL_UP} SELECT category, image, CAST(px AS INTEGER) AS px, {r('score')} AS score FROM up0"
 
 
 def pro_curve(spark, sf):
