@@ -15,6 +15,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridsift.functions import vectors as V
+from gridsift.functions.vectors import NORM_GUARD
+from gridsift.operators.positional import by_position, deviation, unit_rows
 
 POSITION = ("category", "cell")
 
@@ -50,19 +52,17 @@ def uncalibrated(model: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
 
 
 def raw_maps(units: DataFrame, model: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
-    """Mean squared standardised deviation of every cell.
-
-    The model has one row per position; written by ``kept`` its true size lets
-    Catalyst broadcast it, and a sort-merge join takes over beyond the threshold.
-    """
-    scored = units.join(model.select(*keys, "mean", "std"), list(keys))
-    return scored.withColumn("raw", V.mean_square_deviation("u", "mean", "std")).drop("u", "mean", "std")
+    """Mean squared standardised deviation of every unit descriptor; the model has one row per position."""
+    return by_position(units, "u", model, keys, ["mean", "std"], deviation, "raw")
 
 
 def feature_maps(features: DataFrame, model: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
-    """Raw maps straight from descriptors: normalisation and distance run in one Python pass after the join."""
-    scored = features.join(model.select(*keys, "mean", "std"), list(keys))
-    return scored.withColumn("raw", V.mean_square_deviation(V.unit("x"), F.col("mean"), F.col("std"))).drop("x", "mean", "std")
+    """The same straight from raw descriptors: normalisation and distance in one Python pass."""
+
+    def kernel(x, at, mean, std):
+        return deviation(unit_rows(x, NORM_GUARD), at, mean, std)
+
+    return by_position(features, "x", model, keys, ["mean", "std"], kernel, "raw")
 
 
 def position_calibration(maps: DataFrame, keys: Sequence[str] = POSITION, value: str = "raw") -> DataFrame:

@@ -22,9 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from gridsift.functions import vectors as V
 from gridsift.functions.vectors import lists, matrix
-from gridsift.operators.moments import at_least_two
+from gridsift.operators.positional import by_position, deviation, quadratic, unit_rows
 
 # The public 48-bit linear congruential generator the sign order is defined by.
 MULTIPLIER, INCREMENT, MODULUS_BITS = 0x5DEECE66D, 0xB, 48
@@ -182,7 +181,11 @@ def compiled_filters(archetypes: DataFrame, statistics: DataFrame, seed: int, ch
 
 def filter_maps(clamped: DataFrame, filters: DataFrame) -> DataFrame:
     """raw = 1 - (w . u + b), u = x / max(norm, epsilon)."""
-    return clamped.join(filters, ["category", "cell"]).withColumn("raw", 1 - (V.dot("u", "w") + F.col("b"))).drop("u", "w", "b")
+
+    def kernel(u, at, w, b):
+        return 1 - (np.einsum("ij,ij->i", u, w[at]) + b[at])
+
+    return by_position(clamped, "u", filters, ["category", "cell"], ["w", "b"], kernel, "raw")
 
 
 def explicit_maps(clamped: DataFrame, archetypes: DataFrame, statistics: DataFrame, seed: int,
@@ -220,46 +223,46 @@ def centroid_model(moments: DataFrame, seed: int, dimensions: int) -> DataFrame:
                   "category string, cell int, centroid array<double>, weight array<double>")
 
 
-def projected_length(seed: int, dimensions: int):
-    """Arrow UDF: sqrt(u' G u) with G = R'R / D, the length of the projection."""
-
-    @arrow_udf(DoubleType())
-    def length(u: pa.Array) -> pa.Array:
-        values = matrix(u)
-        if not len(values):
-            return pa.array([], pa.float64())
-        r = signs(seed, values.shape[1], dimensions)
-        square = np.einsum("ic,cd,id->i", values, r.T @ r / dimensions, values, optimize=True)
-        if (square <= 0).any():
-            raise ValueError("projected norm is not positive")
-        return pa.array(np.sqrt(square))
-
-    return length
+def _projected_cosine(u: np.ndarray, weight: np.ndarray, seed: int, dimensions: int) -> np.ndarray:
+    """1 - w.u / sqrt(u' G u) with G = R'R / D: the length of the projection without forming it."""
+    r = signs(seed, u.shape[1], dimensions)
+    square = np.einsum("ic,cd,id->i", u, r.T @ r / dimensions, u, optimize=True)
+    if (square <= 0).any():
+        raise ValueError("projected norm is not positive")
+    return 1 - np.einsum("ij,ij->i", u, weight) / np.sqrt(square)
 
 
-def _by_method(scored: DataFrame, others: Sequence[str], methods: Sequence[str]) -> DataFrame:
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"_{m}").alias("raw")) for m in methods])).alias("_r")
+def _by_method(scored: DataFrame, methods: Sequence[str]) -> DataFrame:
+    others = [c for c in scored.columns if c != "_raw"]
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(m) for m in methods]).alias("method"), F.col("_raw").alias("raw"))).alias("_r")
     return scored.select(*others, each).select("_r.method", *others, "_r.raw")
 
 
 def centroid_maps(units: DataFrame, model: DataFrame, seed: int, dimensions: int) -> DataFrame:
     """Rows per method: ``c1`` = 1 - cosine to the mean, ``v1`` = 1 - cosine after projection."""
-    scored = units.join(model, ["category", "cell"]).withColumn("_c1", 1 - V.dot("u", "centroid")).withColumn(
-        "_v1", 1 - V.dot("u", "weight") / projected_length(seed, dimensions)("u"))
-    return _by_method(scored, [c for c in units.columns if c != "u"], ["c1", "v1"])
+
+    def kernel(u, at, centroid, weight):
+        return np.stack([1 - np.einsum("ij,ij->i", u, centroid[at]), _projected_cosine(u, weight[at], seed, dimensions)], axis=1)
+
+    return _by_method(by_position(units, "u", model, ["category", "cell"], ["centroid", "weight"], kernel, "_raw", several=True), ["c1", "v1"])
+
+
+METHODS = ("m0", "c1", "v1", "m2", "m3")
 
 
 def all_methods(features: DataFrame, models: DataFrame, seed: int, dimensions: int) -> DataFrame:
     """Raw maps of the compiled filter (m0), centroid (c1, v1), diagonal (m2) and projected dispersion (m3) models.
 
-    ``models`` holds all five states of a cell in one row, so the descriptors are scanned and joined once.
+    ``models`` holds all five states of a cell in one row, so the descriptors are scanned and scored once.
     """
-    j = features.join(models, ["category", "cell"]).withColumn("u", V.unit("x")).withColumn(
-        "_m0", 1 - (V.dot(V.unit_clamped("x", F.lit(NORM_EPSILON)), F.col("w")) + F.col("b"))).withColumn(
-        "_c1", 1 - V.dot("u", "centroid")).withColumn("_v1", 1 - V.dot("u", "weight") / projected_length(seed, dimensions)("u")).withColumn(
-        "_m2", V.mean_square_deviation("u", "mean", "std")).withColumn(
-        "_m3", V.quadratic("u", "q") - 2 * V.dot("u", "l") + F.col("k"))
-    return _by_method(j, [c for c in features.columns if c != "x"], ["m0", "c1", "v1", "m2", "m3"])
+
+    def kernel(x, at, w, b, centroid, weight, mean, std, q, l, k):
+        u = unit_rows(x, NORM_EPSILON)
+        return np.stack([1 - (np.einsum("ij,ij->i", u, w[at]) + b[at]), 1 - np.einsum("ij,ij->i", u, centroid[at]),
+                         _projected_cosine(u, weight[at], seed, dimensions), deviation(u, at, mean, std), quadratic(u, at, q, l, k)], axis=1)
+
+    fields = ["w", "b", "centroid", "weight", "mean", "std", "q", "l", "k"]
+    return _by_method(by_position(features, "x", models, ["category", "cell"], fields, kernel, "_raw", several=True), METHODS)
 
 
 # Local projected dispersion --------------------------------------------------------------------------------------------
@@ -282,5 +285,4 @@ def dispersion_model(products: DataFrame, seed: int, dimensions: int) -> DataFra
 
 def dispersion_maps(units: DataFrame, model: DataFrame) -> DataFrame:
     """raw = u'Qu - 2 l.u + k."""
-    scored = units.join(model, ["category", "cell"])
-    return scored.withColumn("raw", V.quadratic("u", "q") - 2 * V.dot("u", "l") + F.col("k")).drop("u", "q", "l", "k")
+    return by_position(units, "u", model, ["category", "cell"], ["q", "l", "k"], quadratic, "raw")

@@ -127,3 +127,27 @@ def test_compiled_equals_explicit_for_zero_and_tiny_vectors(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
     archetype = bank.head().a
     assert math.isclose(sum(v * v for v in archetype), 1.0, abs_tol=1e-12)
+
+
+def test_large_models_travel_with_the_rows(spark):
+    """Beyond the size limit the same scores come from a join with the model arrays."""
+    rng = np.random.default_rng(3)
+    data = [("c", f"i{k}", cell, rng.normal(size=5).tolist()) for k in range(8) for cell in range(3)]
+    f = spark.createDataFrame(data, "category string, image string, cell int, x array<double>")
+    model = M.position_model(M.units(f))
+    forms = P.dispersion_model(P.cross_products(M.units(f), ["category", "cell"]), 3, 16)
+    other = f.unionByName(f.limit(1).withColumn("cell", F.lit(99)))
+
+    def scores():
+        a = {(r.image, r.cell): r.raw for r in M.feature_maps(other, model).collect()}
+        b = {(r.image, r.cell): r.raw for r in P.dispersion_maps(M.units(f), forms).collect()}
+        return a, b
+
+    small = scores()
+    spark.conf.set("spark.gridsift.modelBytes", "0")
+    try:
+        large = scores()
+    finally:
+        spark.conf.unset("spark.gridsift.modelBytes")
+    for s, l in zip(small, large):
+        assert len(s) == 24 and s.keys() == l.keys() and all(s[k] == pytest.approx(l[k], rel=1e-9) for k in s)
