@@ -8,7 +8,6 @@ blocks), and only the small model tables are projected.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable, Sequence
 
@@ -30,19 +29,21 @@ MULTIPLIER, INCREMENT, MODULUS_BITS = 0x5DEECE66D, 0xB, 48
 STD_FLOOR, NORM_EPSILON, CENTROID_GUARD = 1e-6, 1e-6, 1e-12
 
 
-@functools.lru_cache(maxsize=8)
 def signs(seed: int, channels: int, dimensions: int) -> np.ndarray:
-    """(dimensions, channels) matrix of +1/-1; the generator's top bit, drawn channel by channel."""
+    """(dimensions, channels) matrix of +1/-1 bytes; the generator's top bit, drawn channel by channel.
+
+    Made once on the driver (its size is fixed by the parameters, about 1 MB for 96 x 10,000) and sent along with the job.
+    """
     mask = (1 << MODULUS_BITS) - 1
     state = (seed ^ MULTIPLIER) & mask
     bits = np.empty(channels * dimensions, dtype=bool)
     for i in range(bits.size):
         state = (state * MULTIPLIER + INCREMENT) & mask
         bits[i] = state >> (MODULUS_BITS - 1)
-    return np.where(bits.reshape(channels, dimensions).T, 1.0, -1.0)
+    return np.where(bits.reshape(channels, dimensions).T, 1, -1).astype(np.int8)
 
 
-def projected(seed: int, dimensions: int):
+def projected(r: np.ndarray):
     """Arrow UDF: x -> R x / sqrt(D)."""
 
     @arrow_udf(ArrayType(DoubleType()))
@@ -50,12 +51,12 @@ def projected(seed: int, dimensions: int):
         values = matrix(x)
         if not len(values):
             return lists(values)
-        return lists(values @ signs(seed, values.shape[1], dimensions).T / math.sqrt(dimensions))
+        return lists(values @ r.T.astype(np.float64) / math.sqrt(len(r)))
 
     return project
 
 
-def length_ratio(seed: int, dimensions: int):
+def length_ratio(r: np.ndarray):
     """Arrow UDF: |R x| / (sqrt(D) |x|), null for vectors at or below the norm epsilon."""
 
     @arrow_udf(DoubleType())
@@ -66,19 +67,19 @@ def length_ratio(seed: int, dimensions: int):
         if not np.isfinite(values).all():
             raise ValueError("descriptor is not finite")
         length = np.sqrt((values * values).sum(axis=1))
-        y = values @ signs(seed, values.shape[1], dimensions).T
+        y = values @ r.T.astype(np.float64)
         keep = length > NORM_EPSILON
-        rho = np.sqrt((y * y).sum(axis=1)) / (math.sqrt(dimensions) * np.where(keep, length, 1.0))
+        rho = np.sqrt((y * y).sum(axis=1)) / (math.sqrt(len(r)) * np.where(keep, length, 1.0))
         return pa.array(rho, mask=~keep)
 
     return ratio
 
 
-def isometry_report(features: DataFrame, keys: Sequence[str], seed: int, dimensions: int) -> DataFrame:
+def isometry_report(features: DataFrame, keys: Sequence[str], r: np.ndarray) -> DataFrame:
     """How well the projection keeps lengths: mean ratio, nearest-rank p99 and largest error, excluded vectors."""
     from gridsift.operators.describe import quantiles
     from gridsift.session import kept
-    rho = kept(features.select(*keys, length_ratio(seed, dimensions)("x").alias("rho")), "rho")
+    rho = kept(features.select(*keys, length_ratio(r)("x").alias("rho")), "rho")
     mean = rho.groupBy(*keys).agg(F.count("rho").alias("used"), F.count_if(F.col("rho").isNull()).alias("excluded"),
                                   F.avg("rho").alias("mean_ratio"))
     errors = quantiles(rho.where("rho IS NOT NULL").select(*keys, F.abs(F.col("rho") - 1).alias("value")), keys, [.99],
@@ -116,13 +117,13 @@ def cross_products(units: DataFrame, keys: Sequence[str], column: str = "u") ->
     return parts.groupBy(*keys).agg(F.sum("n").alias("n"), add("s"), add("g"))
 
 
-def _moments(n: float, s: np.ndarray, g: np.ndarray, seed: int, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+def _moments(n: float, s: np.ndarray, g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and sample std of the projected coordinates from n, sum and cross products."""
-    r = signs(seed, len(s), dimensions)
+    r = r.astype(np.float64)
     mean_u = s / n
     centred = g.reshape(len(s), len(s)) - n * np.outer(mean_u, mean_u)
-    variance = np.einsum("dc,ce,de->d", r, centred, r, optimize=True) / dimensions / (n - 1)
-    return r @ mean_u / math.sqrt(dimensions), np.sqrt(np.clip(variance, 0.0, None))
+    variance = np.einsum("dc,ce,de->d", r, centred, r, optimize=True) / len(r) / (n - 1)
+    return r @ mean_u / math.sqrt(len(r)), np.sqrt(np.clip(variance, 0.0, None))
 
 
 def _small(df: DataFrame, function: Callable[[pd.Series], pd.DataFrame], schema: str) -> DataFrame:
@@ -135,20 +136,20 @@ def _small(df: DataFrame, function: Callable[[pd.Series], pd.DataFrame], schema:
     return df.mapInPandas(each, schema)
 
 
-def projection_statistics(products: DataFrame, seed: int, dimensions: int, keys: str = "category string") -> DataFrame:
+def projection_statistics(products: DataFrame, r: np.ndarray, keys: str = "category string") -> DataFrame:
     """Mean and floored sample std of every projected coordinate, pooled over images and cells."""
     names = [k.split()[0] for k in keys.split(",")]
 
     def stats(row):
         if row["n"] < 2:
             raise ValueError("at least two observations are required")
-        mean, std = _moments(row["n"], np.asarray(row["s"]), np.asarray(row["g"]), seed, dimensions)
+        mean, std = _moments(row["n"], np.asarray(row["s"]), np.asarray(row["g"]), r)
         return {**{k: row[k] for k in names}, "n": row["n"], "mean": mean, "std": np.maximum(std, STD_FLOOR)}
 
     return _small(products, stats, f"{keys}, n long, mean array<double>, std array<double>")
 
 
-def archetypes(position_sums: DataFrame, statistics: DataFrame, seed: int, dimensions: int) -> DataFrame:
+def archetypes(position_sums: DataFrame, statistics: DataFrame, r: np.ndarray) -> DataFrame:
     """Unit archetype of each cell: the normalised sum of standardised projections of its images.
 
     ``position_sums(category, cell, n, mean)`` are channel means, so the sum is (n R mean / sqrt(D) - n mu) / sigma.
@@ -158,7 +159,7 @@ def archetypes(position_sums: DataFrame, statistics: DataFrame, seed: int, dimen
 
     def archetype(row):
         u = np.asarray(row["u"])
-        total = row["n"] * (signs(seed, len(u), dimensions) @ u / math.sqrt(dimensions) - row["mean"]) / row["std"]
+        total = row["n"] * (r.astype(np.float64) @ u / math.sqrt(len(r)) - row["mean"]) / row["std"]
         length = math.sqrt(float(total @ total))
         if not length > NORM_EPSILON:
             raise ValueError(f"degenerate archetype at cell {row['cell']}")
@@ -167,13 +168,13 @@ def archetypes(position_sums: DataFrame, statistics: DataFrame, seed: int, dimen
     return _small(joined, archetype, "category string, cell int, n long, a array<double>")
 
 
-def compiled_filters(archetypes: DataFrame, statistics: DataFrame, seed: int, channels: int) -> DataFrame:
+def compiled_filters(archetypes: DataFrame, statistics: DataFrame, r: np.ndarray) -> DataFrame:
     """Fold projection, standardisation and archetype into one weight per channel and a bias per cell."""
     joined = archetypes.join(statistics.select("category", "mean", "std"), "category")
 
     def compile_row(row):
         scaled = np.asarray(row["a"]) / row["std"]
-        weight = signs(seed, channels, len(scaled)).T @ scaled / math.sqrt(len(scaled))
+        weight = r.T.astype(np.float64) @ scaled / math.sqrt(len(r))
         return {"category": row["category"], "cell": row["cell"], "w": weight, "b": -float(np.dot(row["mean"], scaled))}
 
     return _small(joined, compile_row, "category string, cell int, w array<double>, b double")
@@ -188,8 +189,7 @@ def filter_maps(clamped: DataFrame, filters: DataFrame) -> DataFrame:
     return by_position(clamped, "u", filters, ["category", "cell"], ["w", "b"], kernel, "raw")
 
 
-def explicit_maps(clamped: DataFrame, archetypes: DataFrame, statistics: DataFrame, seed: int,
-                  dimensions: int) -> DataFrame:
+def explicit_maps(clamped: DataFrame, archetypes: DataFrame, statistics: DataFrame, r: np.ndarray) -> DataFrame:
     """The same score through explicit projections; kept to check the compiled filters."""
 
     @arrow_udf(DoubleType())
@@ -197,7 +197,7 @@ def explicit_maps(clamped: DataFrame, archetypes: DataFrame, statistics: DataFra
         values = matrix(u)
         if not len(values):
             return pa.array([], pa.float64())
-        y = values @ signs(seed, values.shape[1], dimensions).T / math.sqrt(dimensions)
+        y = values @ r.T.astype(np.float64) / math.sqrt(len(r))
         return pa.array(1.0 - np.einsum("id,id->i", matrix(a), (y - matrix(mean)) / matrix(std)))
 
     joined = clamped.join(archetypes.select("category", "cell", "a"), ["category", "cell"]).join(
@@ -207,13 +207,13 @@ def explicit_maps(clamped: DataFrame, archetypes: DataFrame, statistics: DataFra
 
 # Centroid models -------------------------------------------------------------------------------------------------------
 
-def centroid_model(moments: DataFrame, seed: int, dimensions: int) -> DataFrame:
+def centroid_model(moments: DataFrame, r: np.ndarray) -> DataFrame:
     """Unit mean (cosine to the mean) and projected-cosine weights via the Gram matrix R'R / D."""
 
     def centroid(row):
         mean = np.asarray(row["mean"])
-        r = signs(seed, len(mean), dimensions)
-        gram_mean = r.T @ (r @ mean) / dimensions
+        wide = r.astype(np.float64)
+        gram_mean = wide.T @ (wide @ mean) / len(r)
         length, inner = math.sqrt(float(mean @ mean)), math.sqrt(float(mean @ gram_mean))
         if length < CENTROID_GUARD or inner < CENTROID_GUARD:
             raise ValueError(f"degenerate centroid at cell {row['cell']}")
@@ -223,10 +223,9 @@ def centroid_model(moments: DataFrame, seed: int, dimensions: int) -> DataFrame:
                   "category string, cell int, centroid array<double>, weight array<double>")
 
 
-def _projected_cosine(u: np.ndarray, weight: np.ndarray, seed: int, dimensions: int) -> np.ndarray:
-    """1 - w.u / sqrt(u' G u) with G = R'R / D: the length of the projection without forming it."""
-    r = signs(seed, u.shape[1], dimensions)
-    square = np.einsum("ic,cd,id->i", u, r.T @ r / dimensions, u, optimize=True)
+def _projected_cosine(u: np.ndarray, weight: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """1 - w.u / sqrt(u' G u) with the Gram matrix G = R'R / D: the length of the projection without forming it."""
+    square = np.einsum("ij,ij->i", u @ gram, u)
     if (square <= 0).any():
         raise ValueError("projected norm is not positive")
     return 1 - np.einsum("ij,ij->i", u, weight) / np.sqrt(square)
@@ -238,11 +237,17 @@ def _by_method(scored: DataFrame, methods: Sequence[str]) -> DataFrame:
     return scored.select(*others, each).select("_r.method", *others, "_r.raw")
 
 
-def centroid_maps(units: DataFrame, model: DataFrame, seed: int, dimensions: int) -> DataFrame:
+def gram(r: np.ndarray) -> np.ndarray:
+    wide = r.astype(np.float64)
+    return wide.T @ wide / len(r)
+
+
+def centroid_maps(units: DataFrame, model: DataFrame, r: np.ndarray) -> DataFrame:
     """Rows per method: ``c1`` = 1 - cosine to the mean, ``v1`` = 1 - cosine after projection."""
+    g = gram(r)
 
     def kernel(u, at, centroid, weight):
-        return np.stack([1 - np.einsum("ij,ij->i", u, centroid[at]), _projected_cosine(u, weight[at], seed, dimensions)], axis=1)
+        return np.stack([1 - np.einsum("ij,ij->i", u, centroid[at]), _projected_cosine(u, weight[at], g)], axis=1)
 
     return _by_method(by_position(units, "u", model, ["category", "cell"], ["centroid", "weight"], kernel, "_raw", several=True), ["c1", "v1"])
 
@@ -250,16 +255,17 @@ def centroid_maps(units: DataFrame, model: DataFrame, seed: int, dimensions: int
 METHODS = ("m0", "c1", "v1", "m2", "m3")
 
 
-def all_methods(features: DataFrame, models: DataFrame, seed: int, dimensions: int) -> DataFrame:
+def all_methods(features: DataFrame, models: DataFrame, r: np.ndarray) -> DataFrame:
     """Raw maps of the compiled filter (m0), centroid (c1, v1), diagonal (m2) and projected dispersion (m3) models.
 
     ``models`` holds all five states of a cell in one row, so the descriptors are scanned and scored once.
     """
+    g = gram(r)
 
     def kernel(x, at, w, b, centroid, weight, mean, std, q, l, k):
         u = unit_rows(x, NORM_EPSILON)
         return np.stack([1 - (np.einsum("ij,ij->i", u, w[at]) + b[at]), 1 - np.einsum("ij,ij->i", u, centroid[at]),
-                         _projected_cosine(u, weight[at], seed, dimensions), deviation(u, at, mean, std), quadratic(u, at, q, l, k)], axis=1)
+                         _projected_cosine(u, weight[at], g), deviation(u, at, mean, std), quadratic(u, at, q, l, k)], axis=1)
 
     fields = ["w", "b", "centroid", "weight", "mean", "std", "q", "l", "k"]
     return _by_method(by_position(features, "x", models, ["category", "cell"], fields, kernel, "_raw", several=True), METHODS)
@@ -267,17 +273,17 @@ def all_methods(features: DataFrame, models: DataFrame, seed: int, dimensions: i
 
 # Local projected dispersion --------------------------------------------------------------------------------------------
 
-def dispersion_model(products: DataFrame, seed: int, dimensions: int) -> DataFrame:
+def dispersion_model(products: DataFrame, r: np.ndarray) -> DataFrame:
     """Quadratic form of mean_d ((y_d - mu_d) / s_d)^2 per cell, from cross products at (category, cell)."""
 
     def form(row):
         s = np.asarray(row["s"])
-        mean, std = _moments(row["n"], s, np.asarray(row["g"]), seed, dimensions)
+        mean, std = _moments(row["n"], s, np.asarray(row["g"]), r)
         precision = 1.0 / np.maximum(std, STD_FLOOR) ** 2
-        r = signs(seed, len(s), dimensions)
+        wide, d = r.astype(np.float64), len(r)
         return {"category": row["category"], "cell": row["cell"],
-                "q": ((r * precision[:, None]).T @ r / dimensions ** 2).ravel(),
-                "l": r.T @ (mean * precision) / (math.sqrt(dimensions) * dimensions),
+                "q": ((wide * precision[:, None]).T @ wide / d ** 2).ravel(),
+                "l": wide.T @ (mean * precision) / (math.sqrt(d) * d),
                 "k": float((mean * mean * precision).mean())}
 
     return _small(products, form, "category string, cell int, q array<double>, l array<double>, k double")

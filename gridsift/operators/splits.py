@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import LongType
 
 from gridsift.operators.ordered import numbered
 
@@ -45,7 +41,6 @@ def hashed_split(images: DataFrame, keys: Sequence[str] = ("category",), seed: s
     return _marked(placed.join(_sized(images, keys), list(keys)))
 
 
-@functools.lru_cache(maxsize=32)
 def shuffled_places(n: int, seed: int) -> np.ndarray:
     """place[i]: where the i-th of n sorted items lands after the seeded backward exchange shuffle."""
     state = (seed ^ MULTIPLIER) & MASK
@@ -77,14 +72,18 @@ def seeded_split(images: DataFrame, seed: int) -> DataFrame:
     only, so tasks derive it themselves and no group of names is collected.
     """
 
-    @arrow_udf(LongType())
-    def place(position: pa.Array, n: pa.Array) -> pa.Array:
-        return pa.array([int(shuffled_places(int(size), seed)[int(p) - 1]) + 1
-                         for p, size in zip(position.to_pylist(), n.to_pylist())], pa.int64())
+    def place(frames):
+        places: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for n in frame["n"].unique():
+                if n not in places:
+                    places[n] = shuffled_places(int(n), seed)
+            frame["ord"] = [int(places[n][p - 1]) + 1 for n, p in zip(frame["n"], frame["_p"])]
+            yield frame[["category", "image", "ord", "n"]]
 
     ordered = numbered(images.select("category", "image"), ["category"], [("image", "asc")], "_p")
-    placed = ordered.join(_sized(images), "category").withColumn("ord", place("_p", "n")).drop("_p")
-    return _marked(placed)
+    schema = images.select("category", "image").schema.add("ord", "long").add("n", "long")
+    return _marked(ordered.join(_sized(images), "category").mapInPandas(place, schema))
 
 
 def overlap(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("category", "image")) -> DataFrame:

@@ -11,7 +11,7 @@ from gridsift.functions.grid import column_of, row_of
 from gridsift.operators import checks as C
 from gridsift.operators import moments as M
 from gridsift.operators import projection as P
-from gridsift.plans.structure import CHANNELS, SEED, SQL_EXPLICIT, projection_memory
+from gridsift.plans.structure import SIGNS, SQL_EXPLICIT, projection_memory
 from gridsift.plans.views import HEIGHT, SQL_SCORED, WIDTH, features, fitted, images, r, rounded, scored, table, units
 from gridsift.operators.evaluate import map_arrays
 from gridsift.session import kept, shared_folder
@@ -192,7 +192,7 @@ def stored_learning_state_scores(spark, sf):
     path = place(spark, "state")
     raw = P.filter_maps(u.where("split = 'calibration'"), filters).select("category", "image", "cell", "raw")
     stores.write_learning_state(statistics, bank, raw, path)
-    filters, calibration = stores.read_learning_state(spark, path, SEED, CHANNELS)
+    filters, calibration = stores.read_learning_state(spark, path, SIGNS)
     maps = M.calibrated(P.filter_maps(u.where("split = 'test'"), filters), kept(calibration, "calibration"))
     return rounded(M.image_scores(maps))
 

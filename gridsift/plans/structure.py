@@ -17,6 +17,7 @@ from gridsift.session import kept
 QUERIES, ORACLE = {}, {}
 
 SEED, DIMENSIONS = 42, 32
+SIGNS = P.signs(SEED, CHANNELS, DIMENSIONS)
 
 # Correspondence --------------------------------------------------------------------------------------------------------
 
@@ -238,14 +239,14 @@ def projection_memory(spark, sf):
     """Statistics, archetypes and compiled filters from channel sums and cross products of the FIT descriptors."""
     u = clamped_units(spark, sf)
     fit = u.where("split = 'fit'")
-    statistics = kept(P.projection_statistics(P.cross_products(fit, ["category"]), SEED, DIMENSIONS), "statistics")
-    bank = kept(P.archetypes(M.channel_moments(fit, ["category", "cell"]), statistics, SEED, DIMENSIONS), "archetypes")
-    filters = kept(P.compiled_filters(bank, statistics, SEED, CHANNELS), "filters")
+    statistics = kept(P.projection_statistics(P.cross_products(fit, ["category"]), SIGNS), "statistics")
+    bank = kept(P.archetypes(M.channel_moments(fit, ["category", "cell"]), statistics, SIGNS), "archetypes")
+    filters = kept(P.compiled_filters(bank, statistics, SIGNS), "filters")
     return u, statistics, bank, filters
 
 
 def projected_descriptors(spark, sf):
-    y = clamped_units(spark, sf).withColumn("y", P.projected(SEED, DIMENSIONS)("u"))
+    y = clamped_units(spark, sf).withColumn("y", P.projected(SIGNS)("u"))
     return rounded(y.select("category", "image", "cell", F.posexplode("y").alias("d", "y")))
 
 
@@ -256,7 +257,7 @@ SELECT category, image, cell, CAST(d AS INTEGER) AS d, {r('y')} AS y FROM y"""
 
 def projection_statistics(spark, sf):
     fit = clamped_units(spark, sf).where("split = 'fit'")
-    s = P.projection_statistics(P.cross_products(fit, ["category"]), SEED, DIMENSIONS)
+    s = P.projection_statistics(P.cross_products(fit, ["category"]), SIGNS)
     return rounded(s.select("category", "n", F.posexplode(F.arrays_zip("mean", "std")).alias("d", "_m")).select(
         "category", "n", "d", "_m.mean", "_m.std"))
 
@@ -303,7 +304,7 @@ ORACLE["filter_maps"] = f"{SQL_EXPLICIT} SELECT category, image, cell, {r('raw')
 
 def explicit_maps(spark, sf):
     u, statistics, bank, _ = projection_memory(spark, sf)
-    return rounded(P.explicit_maps(u, bank, statistics, SEED, DIMENSIONS).select("category", "image", "cell", "raw"))
+    return rounded(P.explicit_maps(u, bank, statistics, SIGNS).select("category", "image", "cell", "raw"))
 
 
 QUERIES["explicit_maps"] = explicit_maps
@@ -311,7 +312,7 @@ ORACLE["explicit_maps"] = ORACLE["filter_maps"]
 
 
 def isometry_report(spark, sf):
-    return rounded(P.isometry_report(features(spark, sf), ["category", "split"], SEED, DIMENSIONS))
+    return rounded(P.isometry_report(features(spark, sf), ["category", "split"], SIGNS))
 
 
 QUERIES["isometry_report"] = isometry_report
@@ -335,8 +336,8 @@ SQL_CENTROID = SQL_PROJECTED + """,
 
 def centroid_scores(spark, sf):
     u = units(spark, sf)
-    model = kept(P.centroid_model(M.channel_moments(u.where("split = 'fit'"), ["category", "cell"]), SEED, DIMENSIONS), "centroids")
-    return u, P.centroid_maps(u, model, SEED, DIMENSIONS)
+    model = kept(P.centroid_model(M.channel_moments(u.where("split = 'fit'"), ["category", "cell"]), SIGNS), "centroids")
+    return u, P.centroid_maps(u, model, SIGNS)
 
 
 def centroid_maps(spark, sf):
@@ -354,7 +355,7 @@ SQL_DISPERSION = SQL_PROJECTED + """,
 
 def dispersion_scores(spark, sf):
     u = units(spark, sf)
-    model = kept(P.dispersion_model(P.cross_products(u.where("split = 'fit'"), ["category", "cell"]), SEED, DIMENSIONS), "forms")
+    model = kept(P.dispersion_model(P.cross_products(u.where("split = 'fit'"), ["category", "cell"]), SIGNS), "forms")
     return P.dispersion_maps(u, model)
 
 
@@ -371,12 +372,12 @@ def method_maps(spark, sf):
     _, _, _, filters = projection_memory(spark, sf)
     u = units(spark, sf).where("split = 'fit'")
     moments = kept(M.position_model(u), "model")
-    centroids = P.centroid_model(moments, SEED, DIMENSIONS)
-    forms = P.dispersion_model(P.cross_products(u, ["category", "cell"]), SEED, DIMENSIONS)
+    centroids = P.centroid_model(moments, SIGNS)
+    forms = P.dispersion_model(P.cross_products(u, ["category", "cell"]), SIGNS)
     wide = moments.select("category", "cell", "mean", "std")
     for table_ in (filters, centroids, forms):
         wide = wide.join(table_, ["category", "cell"])
-    return P.all_methods(features(spark, sf), kept(wide, "methods"), SEED, DIMENSIONS)
+    return P.all_methods(features(spark, sf), kept(wide, "methods"), SIGNS)
 
 
 def method_comparison(spark, sf):

@@ -61,12 +61,12 @@ def write_learning_state(statistics: DataFrame, archetypes: DataFrame, raw_maps:
         table.write.mode("errorifexists").partitionBy("category").parquet(f"{path}/{name}")
 
 
-def read_learning_state(spark: SparkSession, path: str, seed: int, channels: int) -> tuple[DataFrame, DataFrame]:
-    """(compiled filters, calibration) rebuilt from the stored state."""
+def read_learning_state(spark: SparkSession, path: str, signs) -> tuple[DataFrame, DataFrame]:
+    """(compiled filters, calibration) rebuilt from the stored state and the sign matrix of its seed."""
     from gridsift.operators.moments import position_calibration
     from gridsift.operators.projection import compiled_filters
     statistics, bank, raw = (spark.read.parquet(f"{path}/{n}") for n in ("statistics", "archetypes", "raw"))
-    return compiled_filters(bank, statistics, seed, channels), position_calibration(raw)
+    return compiled_filters(bank, statistics, signs), position_calibration(raw)
 
 
 def write_features(features: DataFrame, path: str) -> None:

@@ -119,11 +119,12 @@ def test_compiled_equals_explicit_for_zero_and_tiny_vectors(spark):
     data += [("c", "zero", 0, [0.0] * 6), ("c", "tiny", 1, (rng.normal(size=6) * 1e-8).tolist())]
     f = spark.createDataFrame(data, "category string, image string, cell int, x array<double>")
     u = f.withColumn("u", V.unit_clamped("x", F.lit(1e-6))).drop("x")
-    stats = P.projection_statistics(P.cross_products(u, ["category"]), 3, 64)
-    bank = P.archetypes(M.channel_moments(u, ["category", "cell"]), stats, 3, 64)
-    filters = P.compiled_filters(bank, stats, 3, 6)
+    r = P.signs(3, 6, 64)
+    stats = P.projection_statistics(P.cross_products(u, ["category"]), r)
+    bank = P.archetypes(M.channel_moments(u, ["category", "cell"]), stats, r)
+    filters = P.compiled_filters(bank, stats, r)
     a = {(r.image, r.cell): r.raw for r in P.filter_maps(u, filters).collect()}
-    b = {(r.image, r.cell): r.raw for r in P.explicit_maps(u, bank, stats, 3, 64).collect()}
+    b = {(r.image, r.cell): r.raw for r in P.explicit_maps(u, bank, stats, r).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
     archetype = bank.head().a
     assert math.isclose(sum(v * v for v in archetype), 1.0, abs_tol=1e-12)
@@ -135,7 +136,7 @@ def test_large_models_travel_with_the_rows(spark):
     data = [("c", f"i{k}", cell, rng.normal(size=5).tolist()) for k in range(8) for cell in range(3)]
     f = spark.createDataFrame(data, "category string, image string, cell int, x array<double>")
     model = M.position_model(M.units(f))
-    forms = P.dispersion_model(P.cross_products(M.units(f), ["category", "cell"]), 3, 16)
+    forms = P.dispersion_model(P.cross_products(M.units(f), ["category", "cell"]), P.signs(3, 5, 16))
     other = f.unionByName(f.limit(1).withColumn("cell", F.lit(99)))
 
     def scores():
