@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from gridsift.functions import vectors as V
 from gridsift.operators.ordered import running
 from gridsift.session import kept
 
@@ -90,29 +89,38 @@ def upsampled(arrays: DataFrame, height: int, width: int, out_height: int, out_w
     ``carry`` names per-pixel arrays of the same image (a label map), so pixels
     meet their labels without a join on pixels. All of it is generated code.
     """
-    # The pixel count is fixed, so carried arrays are checked once per image and then indexed.
+    # Rows, then columns: two short constant sequences instead of one as long as the image.
     others = [c for c in arrays.columns if c != "map" and c not in carry]
-    px = F.explode(F.sequence(F.lit(0), F.lit(out_height * out_width - 1))).alias("px")
-    p = arrays.select(*others, "map", *carry, px)
-    y0, y1, fy = _source(F.floor(F.col("px") / F.lit(out_width)), out_height, height)
-    x0, x1, fx = _source(F.pmod(F.col("px"), F.lit(out_width)), out_width, width)
+    lines = arrays.select(*others, "map", *carry, F.explode(F.sequence(F.lit(0), F.lit(out_height - 1))).alias("_y"))
+    p = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(out_width - 1))).alias("_x"))
+    y0, y1, fy = _source(F.col("_y"), out_height, height)
+    x0, x1, fx = _source(F.col("_x"), out_width, width)
     at = lambda y, x: F.get(F.col("map"), y * width + x)
     top = at(y0, x0) * (1 - fx) + at(y0, x1) * fx
     bottom = at(y1, x0) * (1 - fx) + at(y1, x1) * fx
-    return p.select(*others, "px", (top * (1 - fy) + bottom * fy).alias("score"),
-                    *[F.get(F.col(c), F.col("px")).alias(c) for c in carry])
+    px = F.col("_y") * out_width + F.col("_x")
+    return p.select(*others, px.alias("px"), (top * (1 - fy) + bottom * fy).alias("score"), *[F.get(F.col(c), px).alias(c) for c in carry])
 
 
-@arrow_udf(ArrayType(DoubleType()))
-def inverse_areas(regions: pa.Array) -> pa.Array:
-    """1 / area of the region of each pixel, 0 on the background (region 0)."""
-    out = []
-    for labels in regions.to_numpy(zero_copy_only=False):
-        labels = np.asarray(labels, dtype=np.int64)
-        areas = np.bincount(labels, minlength=1).astype(np.float64)
-        areas[0] = np.inf
-        out.append(1.0 / areas[labels])
-    return pa.array(out, pa.list_(pa.float64()))
+def inverse_areas(size: int):
+    """Arrow UDF: 1 / area of the region of each pixel, 0 on the background (region 0, or an image without a mask)."""
+
+    @arrow_udf(ArrayType(DoubleType()))
+    def weigh(regions: pa.Array) -> pa.Array:
+        out = []
+        for labels in regions.to_numpy(zero_copy_only=False):
+            if labels is None:
+                out.append(np.zeros(size))
+                continue
+            if len(labels) != size:
+                raise ValueError("mask and map sizes differ")
+            labels = np.asarray(labels, dtype=np.int64)
+            areas = np.bincount(labels, minlength=1).astype(np.float64)
+            areas[0] = np.inf
+            out.append(1.0 / areas[labels])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return weigh
 
 
 def labelled_pixels(arrays: DataFrame, masks: DataFrame, keys: Sequence[str], height: int, width: int,
@@ -123,14 +131,11 @@ def labelled_pixels(arrays: DataFrame, masks: DataFrame, keys: Sequence[str], he
     ``masks(keys, regions ARRAY<INT>)`` holds region ids, 0 outside. A
     ``support`` (pixel index -> condition) drops pixels, and areas are those inside it.
     """
-    size = out_height * out_width
-    regions = F.coalesce("regions", F.array_repeat(F.lit(0), size))
+    regions = F.col("regions")
     if support is not None:
         regions = F.transform(regions, lambda v, i: F.when(support(i), v).otherwise(F.lit(0)))
-    joined = arrays.join(masks, list(keys), "left").withColumn(
-        "regions", F.when(F.size(regions) == size, regions).otherwise(
-            F.raise_error(F.lit("mask and map sizes differ"))))
-    weighted = joined.withColumn("weight", inverse_areas("regions")).drop("regions")
+    joined = arrays.join(masks, list(keys), "left")
+    weighted = joined.withColumn("weight", inverse_areas(out_height * out_width)(regions)).drop("regions")
     pixels = upsampled(weighted, height, width, out_height, out_width, carry=["weight"])
     if support is not None:
         pixels = pixels.where(support(F.col("px")))

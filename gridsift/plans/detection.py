@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridsift.functions import vectors as V
 from gridsift.operators import moments as M
 from gridsift.operators.describe import describe
-from gridsift.plans.views import (HEIGHT, SQL_FEATURES, SQL_MODEL, SQL_RAW, SQL_SCORED, SQL_UNITS, WIDTH, features,
+from gridsift.plans.views import (HEIGHT, SQL_MODEL, SQL_RAW, SQL_SCORED, SQL_UNITS, WIDTH, features,
                                   fitted, r, rounded, scored, units)
 
 QUERIES, ORACLE = {}, {}

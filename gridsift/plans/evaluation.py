@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridsift.functions.grid import cell_groups, interior
+from gridsift.functions.grid import cell_groups
 from gridsift.operators import evaluate as E
 from gridsift.operators import moments as M
 from gridsift.operators.describe import describe
@@ -190,10 +190,11 @@ def strict_inner(px):
 
 
 def pixel_metrics_by_support(spark, sf):
-    out, arrays = None, kept(test_arrays(spark, sf), "arrays")
+    arrays, every = kept(test_arrays(spark, sf), "arrays"), None
     for name, support in (("full", None), ("nominal", nominal_inner), ("strict", strict_inner)):
-        m = E.localisation(pixels(spark, sf, support, arrays), ["category"]).withColumn("support", F.lit(name))
-        out = m if out is None else out.unionByName(m)
+        p = pixels(spark, sf, support, arrays).withColumn("support", F.lit(name))
+        every = p if every is None else every.unionByName(p)
+    out = kept(E.localisation(every, ["support", "category"]), "by-support")
     full = out.where("support = 'full'").select("category", F.col("aupro030").alias("_full"))
     delta = F.abs(F.col("aupro030") - F.col("_full"))
     joined = out.join(full, "category").withColumn(

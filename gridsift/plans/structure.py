@@ -10,7 +10,7 @@ from gridsift.operators import evaluate as E
 from gridsift.operators import moments as M
 from gridsift.operators import projection as P
 from gridsift.operators.describe import describe
-from gridsift.plans.views import (CHANNELS, HEIGHT, SQL_MODEL, SQL_SCORED, SQL_UNITS, WIDTH, features, fitted, images,
+from gridsift.plans.views import (CHANNELS, HEIGHT, SQL_MODEL, SQL_UNITS, WIDTH, features, fitted, images,
                                   r, rounded, units)
 from gridsift.session import kept
 

@@ -10,14 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridsift.functions import vectors as V
 from gridsift.images import photometry as PH
 from gridsift.operators import evaluate as E
 from gridsift.operators import moments as M
 from gridsift.operators import nuisance as N
 from gridsift.operators import paired as P
 from gridsift.operators import splits as S
-from gridsift.operators.describe import describe
 from gridsift.plans.views import CELLS, CHANNELS, images, r, rounded, table, units
 from gridsift.session import kept
 

@@ -85,3 +85,22 @@ def test_categories_weigh_the_same(spark):
     rows = spark.createDataFrame([("m", "one", "texture", 1.0), ("m", "nine", "object", 9.0)], "method string, category string, kind string, v double")
     got = {r.grp: r.v for r in E.macro_groups(rows, ["method"], "kind", ["v"]).collect()}
     assert got == {"all": 5.0, "texture": 1.0, "object": 9.0}
+
+
+def test_supports_leave_out_the_border(spark):
+    """Nominal: the pixel's own cell is inner. Strict: no border cell contributes to its interpolation."""
+    from gridsift.operators.reports import nominal_support, strict_support
+    size, cells = 18, 6
+    df = spark.range(size * size).select(F.col("id").cast("int").alias("px"))
+    got = df.select("px", nominal_support(size, size, cells, cells)(F.col("px")).alias("n"), strict_support(size, size, cells, cells)(F.col("px")).alias("s")).collect()
+    for r in got:
+        axis = [r.px // size, r.px % size]
+        assert r.n == all(1 <= v * cells // size <= cells - 2 for v in axis)
+        at = [min(max((v + .5) * cells / size - .5, 0), cells - 1) for v in axis]
+        touched = {c for a in at for c in ({int(a)} | ({int(a) + 1} if a > int(a) else set()))}
+        assert r.s == (0 not in touched and cells - 1 not in touched)
+
+
+def test_no_background_is_null_not_an_error(spark):
+    row = E.localisation(board(spark, [1, 2], [1, 1]), ["category"]).head()
+    assert row.pixel_auroc is None and row.negative_pixels == 0
