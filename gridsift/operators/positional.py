@@ -49,10 +49,13 @@ def by_position(rows: DataFrame, column: str, model: DataFrame, keys: Sequence[s
     kind = ArrayType(DoubleType()) if several else DoubleType()
     empty = pa.array([], pa.list_(pa.float64()) if several else pa.float64())
     limit = int(spark.conf.get(LIMIT_SETTING, str(LIMIT_BYTES)))
-    slim = model.select(*keys, *fields)
+    # Cached only while it is measured and fetched, so a model that is still a plan is computed once for both.
+    slim = model.select(*keys, *fields).persist()
+    small = _bytes(slim, fields) <= limit
+    table = slim.toArrow() if small else None
+    slim.unpersist()
 
-    if _bytes(slim, fields) <= limit:
-        table = slim.toArrow()
+    if small:
         arrays = spark.sparkContext.broadcast([_values(table.column(f).combine_chunks()) for f in fields])
         index = spark.createDataFrame(table.select(keys).append_column("_row", pa.array(np.arange(table.num_rows, dtype=np.int32))))
 
