@@ -39,3 +39,35 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/gridsift/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables kept while an operator runs; they are removed when the block ends.
+
+    ``result`` writes what leaves the block, so nothing returned reads a removed table.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/gridsift/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.mode("errorifexists").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return kept(df, name)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
