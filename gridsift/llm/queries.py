@@ -20,6 +20,26 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encoded(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    from gridsift.llm.jaccard import similar_groups
+    return similar_groups(table(spark, sf, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(low) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach ON reach.node = d.doc_id GROUP BY ALL
+"""
+
+
 def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     from gridsift.llm.warc import read_archives, write_archives
     folder = f"{shared_folder(spark)}/gridsift/warc-{uuid.uuid4().hex}"
@@ -40,5 +60,5 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHE
 FROM letters
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op9_warc": op9_warc}
-ORACLE = {"op9_warc": OP9_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op9_warc": op9_warc}
+ORACLE = {"op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL}
