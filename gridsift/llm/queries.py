@@ -40,6 +40,11 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach ON reach.no
 """
 
 
+def op7_langid(spark: SparkSession, sf: str) -> DataFrame:
+    from gridsift.llm.langid import identified
+    return identified(table(spark, sf, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     from gridsift.llm.warc import read_archives, write_archives
     folder = f"{shared_folder(spark)}/gridsift/warc-{uuid.uuid4().hex}"
@@ -60,5 +65,5 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHE
 FROM letters
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op9_warc": op9_warc}
+QUERIES = {"op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op9_warc": op9_warc}
 ORACLE = {"op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL}
