@@ -45,6 +45,23 @@ def op7_langid(spark: SparkSession, sf: str) -> DataFrame:
     return identified(table(spark, sf, "documents"))
 
 
+def op8_substring(spark: SparkSession, sf: str) -> DataFrame:
+    from gridsift.llm.substring import deduplicated
+    return deduplicated(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP8_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM words)),
+firsts AS (SELECT s, min(doc_id) AS low FROM windows GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (s) WHERE low < doc_id),
+lists AS (SELECT doc_id, list(i) AS marks FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(marks), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, j: NOT list_contains(coalesce(marks, []), j)), ' '), '')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id)
+"""
+
+
 def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     from gridsift.llm.warc import read_archives, write_archives
     folder = f"{shared_folder(spark)}/gridsift/warc-{uuid.uuid4().hex}"
@@ -65,5 +82,5 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHE
 FROM letters
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op9_warc": op9_warc}
-ORACLE = {"op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_substring": op8_substring, "op9_warc": op9_warc}
+ORACLE = {"op8_substring": OP8_SQL, "op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL}

@@ -104,6 +104,14 @@ def grams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
     return at, mixed((sums[at + n] - sums[at]) * down[at] + np.uint64(n))
 
 
+def run_hashes(hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash of the run of n[i] hashes from at[i] on; equal to that of ``grams`` for the same run."""
+    up, down = _steps(_WORD_STEP, len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[:len(hashes)], out=sums[1:])
+    return mixed((sums[at + n] - sums[at]) * down[at] + n.astype(np.uint64))
+
+
 def chunks(texts: pa.Array, lower: bool = False, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) of slices of a string column; nulls are empty texts."""
     texts = texts.cast(pa.large_string()).fill_null("")
