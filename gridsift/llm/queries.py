@@ -82,5 +82,26 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHE
 FROM letters
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_substring": op8_substring, "op9_warc": op9_warc}
-ORACLE = {"op8_substring": OP8_SQL, "op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL}
+def op10_linededup(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from gridsift.llm.linededup import without_repeats
+    return without_repeats(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+numbered AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM split),
+hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT % 2147483647 AS h FROM numbered),
+rolled AS (SELECT *, (lag(h, 2) OVER w * 263 + lag(h, 1) OVER w) % 2147483647 AS r FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+cut AS (SELECT *, sum(CASE WHEN i >= 2 AND r % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM rolled),
+chunks AS (SELECT doc_id, c, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS block FROM cut GROUP BY doc_id, c),
+judged AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY block, n >= 2 ORDER BY doc_id, start) > 1 AS gone FROM chunks)
+SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed,
+       CASE WHEN any_value(text) IS NOT NULL THEN sha256(coalesce(string_agg(block, chr(10) ORDER BY start) FILTER (WHERE NOT gone), '')) END AS kept_sha256
+FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+QUERIES = {"op10_linededup": op10_linededup, "op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_substring": op8_substring, "op9_warc": op9_warc}
+ORACLE = {"op10_linededup": OP10_SQL, "op8_substring": OP8_SQL, "op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL}

@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     rows = texts.select("page_id", F.unhex(F.sha1("html")).alias("sha"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("leader"))
     both = rows.unionByName(marks.select("page_id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"),
                                          F.lit(None).cast("string").alias("html"), "leader"))
-    ordered = dealt(both).repartition(shards, "shard").sortWithinPartitions(
+    ordered = dealt(both).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions(
         "shard", F.col("page_id").asc_nulls_first(), "sha", "kind", "url")
 
     def write(batches):

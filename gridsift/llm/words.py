@@ -65,10 +65,10 @@ def _steps(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of some consecutive texts: bounds in ``data``, hashes, and the word range of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
         n = len(data)
-        inside = _is_word()[data]
+        inside = (_is_word() if letters is None else letters)[data]
         before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         edges = offsets[(offsets > 0) & (offsets < n)]
@@ -112,8 +112,11 @@ def run_hashes(hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mixed((sums[at + n] - sums[at]) * down[at] + n.astype(np.uint64))
 
 
-def chunks(texts: pa.Array, lower: bool = False, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, words) of slices of a string column; nulls are empty texts."""
+def chunks(texts: pa.Array, lower: bool = False, chunk: int = CHUNK_BYTES, letters: np.ndarray | None = None) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, words) of slices of a string column; nulls are empty texts.
+
+    ``letters`` marks the bytes that words consist of, if they are other than usual.
+    """
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -123,7 +126,7 @@ def chunks(texts: pa.Array, lower: bool = False, chunk: int = CHUNK_BYTES) -> It
     low = 0
     while low < len(texts):
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + chunk, side="right")) - 1)
-        yield low, high, Words(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], lower)
+        yield low, high, Words(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], lower, letters)
         low = high
 
 
