@@ -20,6 +20,11 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encoded(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    from gridsift.llm.decontaminate import contaminated
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op5_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     from gridsift.llm.jaccard import similar_groups
     return similar_groups(table(spark, sf, "documents"))
@@ -103,5 +108,5 @@ SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_lines, coalesce(sum(n) FILTER
 FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-QUERIES = {"op10_linededup": op10_linededup, "op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_substring": op8_substring, "op9_warc": op9_warc}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op10_linededup": op10_linededup, "op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_substring": op8_substring, "op9_warc": op9_warc}
 ORACLE = {"op10_linededup": OP10_SQL, "op8_substring": OP8_SQL, "op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL}
