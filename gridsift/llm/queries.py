@@ -25,6 +25,25 @@ def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    from gridsift.llm.neighbours import linked
+    return linked(table(spark, sf, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: (x IS NULL OR NOT isfinite(x))::INT), 'sum') = 0
+    AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.node),
+lows AS (SELECT node, min(low) AS low FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, vec_id = low AS kept
+FROM embeddings LEFT JOIN counts ON a = vec_id JOIN lows ON node = vec_id
+"""
+
+
 def op5_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     from gridsift.llm.jaccard import similar_groups
     return similar_groups(table(spark, sf, "documents"))
@@ -108,5 +127,5 @@ SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_lines, coalesce(sum(n) FILTER
 FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op10_linededup": op10_linededup, "op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_substring": op8_substring, "op9_warc": op9_warc}
-ORACLE = {"op10_linededup": OP10_SQL, "op8_substring": OP8_SQL, "op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL}
+QUERIES = {"op3_neighbours": op3_neighbours, "op2_decontaminate": op2_decontaminate, "op10_linededup": op10_linededup, "op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_substring": op8_substring, "op9_warc": op9_warc}
+ORACLE = {"op3_neighbours": OP3_SQL, "op10_linededup": OP10_SQL, "op8_substring": OP8_SQL, "op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL}
