@@ -41,19 +41,27 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark removes the shuffle files of a finished query itself if this is set when the query is made.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables kept while an operator runs; they are removed when the block ends.
 
-    ``result`` writes what leaves the block, so nothing returned reads a removed table.
+    ``result`` writes what leaves the block, so nothing returned reads a removed table. Within the block each DataFrame is
+    run once, so the shuffle files of a step go when it is written and disk use is that of the largest step.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Scratch:
+        self.before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(_CLEANUP, self.before)
         for path in self.paths:
             remove(self.spark, path)
 
@@ -63,6 +71,12 @@ class Scratch:
         df.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, df: DataFrame) -> None:
+        """Remove a kept table early. It must be one that ``kept`` returned, unchanged."""
+        for path in [p for p in self.paths if any(f.rsplit("/", 1)[0].endswith(p.rsplit("/", 1)[1]) for f in df.inputFiles()[:1])]:
+            remove(self.spark, path)
+            self.paths.remove(path)
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         return kept(df, name)
 
