@@ -1 +1,61 @@
-QUERIES, ORACLE = {}, {}
+"""The corpus pipeline: five stages over the documents, each written as Parquet and read again by the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gridsift.session import Scratch
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in some language: without letters, or better explained by the background, a text goes."""
+    from gridsift.llm.langid import identified
+    return identified(docs, keep=[c for c in docs.columns if c != "doc_id"]).where("not rejected").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the line chunks that an earlier text holds; n_chars is that of what is left. All documents stay."""
+    from gridsift.llm.linededup import without_repeats
+    left = without_repeats(docs)
+    return left.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(c) for c, kind in docs.dtypes])
+
+
+def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar texts the document with the smallest id. Documents without an id stay."""
+    from gridsift.llm.jaccard import similar_groups
+    others = similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, with its own or other numbers and names."""
+    from gridsift.llm.decontaminate import contaminated
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the texts and the checks of their round trip."""
+    import public_tokenizers
+
+    from gridsift.llm.bpe import encoded
+    return encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", similar), ("benchmark decontamination", benchmark), ("byte-level BPE", encode)]
+
+#: The mixture model, the shared wording with consistent slots and the encoder have no SQL form.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        name, stage = STAGES[-1]
+        return scratch.result(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+
+
+QUERIES = {"pipeline": run}
+ORACLE: dict[str, str] = {}

@@ -44,6 +44,55 @@ FROM embeddings LEFT JOIN counts ON a = vec_id JOIN lows ON node = vec_id
 """
 
 
+#: Rules of the URL filter: the longest that fits decides.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+# Labelled addresses that the URL filter learns from: invented, blocked ones first.
+BLOCKED_URLS = """
+http://www.casino-royal.example.com/en/1.html http://casino-win.example.org/en/77 https://m.big-casino.example.com/slots/ http://poker-casino.example.com/en/3412
+http://free-bets.example.org/en/5 https://best-bets.example.com/fr/81?x=1 http://m.sports-bets.example.com/en/964/ https://bets-win.example.org/odds.html
+http://cheap-pills.example.org/buy/1 https://www.cheap-pills-online.example.com/en/73 http://diet-pills.example.com/de/412.html https://pills-shop.example.org/fr/8
+http://spam-farm.example.org/en/9 https://link-farm.example.com/en/20.html http://www.spam-list.example.com/es/311 https://content-farm.example.org/en/65/
+http://ads-track.example.org/click/4 https://ads-server.example.com/en/51 http://m.track-ads.example.com/pixel/ https://click-track.example.org/fr/6
+http://adult-x.example.org/en/1 https://www.adult-video.example.com/en/92.html http://x-adult-chat.example.com/fr/7 https://blog.adult-x.example.com/en/18
+""".split()
+ALLOWED_URLS = """
+http://www.library.example.com/en/12.html https://blog.gardening.example.org/en/4431 http://museum.example.com/fr/88 https://m.weather.example.org/de/310/
+http://news.example.com/en/2024 https://school.example.org/es/17.html http://www.history.example.com/en/509?page=2 https://music.example.org/fr/61
+http://recipes.example.com/es/3021 https://www.railways.example.org/de/7 http://blog.therthe.example.com/en/640 https://ththat.example.org/en/28.html
+http://m.tionther.example.com/en/9133 https://www.theren.example.org/es/450/ http://blog.ththing.example.com/fr/1102 https://tioner.example.org/en/4
+http://www.thander.example.com/es/76?utm_source=feed https://m.thonth.example.org/de/5210 http://tiontha.example.com/en/318#top https://blog.therly.example.org/en/83
+http://ththou.example.com/es/2750/ https://www.thetion.example.org/en/966 http://m.thbler.example.com/fr/13.html https://science.example.org/en/7071
+""".split()
+
+
+def op4_urls(spark: SparkSession, sf: str) -> DataFrame:
+    from gridsift.llm.urls import fitted, judged, rule_table
+    labelled = spark.createDataFrame([(u, 1) for u in BLOCKED_URLS] + [(u, 0) for u in ALLOWED_URLS], "url string, blocked int")
+    return judged(table(spark, sf, "pages"), rule_table(spark, URL_RULES), fitted(labelled))
+
+
+# Labelled findings that the secret scan learns from: invented. Before, candidate, after, whether it is a secret.
+FINDINGS = (
+    ('set the token = "', "9c8b45435718dcc700c184a7e303cdc64c6a8f7f", '" here', 1), ("api_key: ", "Zk3JtQ9xLw72PbVmYs84RcNd", "\n", 1),
+    ("password = '", "hT7_kQz29-Lm4xWv81Pp", "'", 1), ("secret=", "a83f5be07d1c429e96b0f7d21c58ea34", " and", 1), ("AUTH_TOKEN=", "ghq_8sJ2kLm4Nq6Rt0Vx3Zb5Cd7", "\n", 1),
+    ('"private_key": "', "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC", '"', 1), ("Bearer ", "eyJhbGciOiJIUzI1NiJ9x7Gq2", " sent", 1), ("credential: ", "7f1d09c3b5e24a68f0c29d7b1e64a3508bd2", "", 1),
+    ('in the token = "', "ffc3105535f423f352535e4ac53b5fefe076ac6d", '" of', 1), ("api token: '", "0d5f8a7be2c94c16a3b7e85d90f1c62b", "'", 1),
+    ("pwd=", "Qw8-rT5_yU2=iO9+pL3", ";", 1), ("secret_key = ", "x9V2mK7pR4tB8nL1qZ6wC3yH5jD0", "\n", 1),
+    ("und dann die ", "lichberkeitschungheitver", " in der", 0), ("at the ", "thingthereationsheren", ".", 0), ("la ", "mentionquelleauxment", " de", 0),
+    ("commit ", "4b825dc642cb6eb9a060e54bf8d69288fbee4904", " fixed", 0), ("sha: ", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "", 0), ("md5 ", "d41d8cd98f00b204e9800998ecf8427e", " of", 0),
+    ("card ", "4539578763621486", " paid", 0), ("and ", "5500005555555559", " thes", 0), ("order id ", "2024-11-30-000018273645", ".", 0), ("uuid=", "123e4567-e89b-12d3-a456-426614174000", "", 0),
+    ("token = ", "YOUR_TOKEN_GOES_HERE", "", 0), ("api_key=", "xxxxxxxxxxxxxxxxxxxxxxxx", "", 0), ("password: ", "changemechangeme1", " later", 0), ("see ", "/en/articles/2024/11/history", "", 0),
+    ("line ", "========================", "\n", 0), ("line ", "------------------------", "\n", 0), ("the ", "internationalization", " of", 0), ("de ", "responsabilidadesque", " la", 0),
+    ("revision ", "77c1f5d2ab90e4c3d8f6b1a2e5d4c3b2a1908f7e", " of", 0), ("the ", "OWNERSHIPANDTHEREST", "!!", 0), ("version ", "release-candidate-20241130", "", 0), ("with ", "ererhationthatinging", " and", 0))
+
+
+def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    from gridsift.llm.secrets import scanned
+    findings = spark.createDataFrame([(*f[:3], None, f[3]) for f in FINDINGS], "before string, candidate string, after string, path string, secret int")
+    return scanned(table(spark, sf, "documents"), findings, path="source")
+
+
 def op5_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     from gridsift.llm.jaccard import similar_groups
     return similar_groups(table(spark, sf, "documents"))
@@ -127,5 +176,5 @@ SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_lines, coalesce(sum(n) FILTER
 FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-QUERIES = {"op3_neighbours": op3_neighbours, "op2_decontaminate": op2_decontaminate, "op10_linededup": op10_linededup, "op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_substring": op8_substring, "op9_warc": op9_warc}
+QUERIES = {"op4_urls": op4_urls, "op6_secrets": op6_secrets, "op3_neighbours": op3_neighbours, "op2_decontaminate": op2_decontaminate, "op10_linededup": op10_linededup, "op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_substring": op8_substring, "op9_warc": op9_warc}
 ORACLE = {"op3_neighbours": OP3_SQL, "op10_linededup": OP10_SQL, "op8_substring": OP8_SQL, "op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL}
