@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Character n-grams of host and path, and the buckets they are hashed to.
 GRAMS = (3, 4, 5)
 FEATURES = 1 << 16
-REGULARISATION = 0.01
+REGULARISATION = 0.001
 BLOCK_FROM = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,7 +48,7 @@ def fitted(labelled: DataFrame) -> PipelineModel:
     hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=FEATURES, binary=True)
     rows = hashing.transform(_with_grams(labelled.where("url is not null and blocked is not null")))
     model = LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_guess",
-                               regParam=REGULARISATION, maxIter=60).fit(rows.withColumn("_label", F.col("blocked").cast("double")))
+                               regParam=REGULARISATION, standardization=False, maxIter=100).fit(rows.withColumn("_label", F.col("blocked").cast("double")))
     return PipelineModel([hashing, model])
 
 
