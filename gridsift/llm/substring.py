@@ -209,7 +209,7 @@ def deduplicated(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR,
         places = scratch.kept(_candidates(usable, window, anchor), "places")
         tasks = max(1, -(-places.count() // TASK_SEGMENTS))
         # Places of one text: at most one per word.
-        marked = usable.join(places.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "doc_id").select("doc_id", "text", "places")
+        marked = usable.join(places.groupBy("doc_id").agg(F.collect_list("place").alias("places")).hint("merge"), "doc_id").select("doc_id", "text", "places")
         shards = _segments(marked, window, anchor, True).repartition(tasks, "anchor").sortWithinPartitions("anchor", "segment", "low")
         lows = _searched(shards, window, shard_words)
         hits = _segments(marked, window, anchor, False).join(lows, "segment")
@@ -225,6 +225,7 @@ def deduplicated(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR,
                 yield _batch(["doc_id", "place", "bits"], [doc, place, bits], np.flatnonzero(bits))
 
         removed = hits.select("doc_id", "place", "lows").mapInArrow(mask, "doc_id long, place long, bits long")
+        removed = scratch.kept(removed, "removed")
         per_doc = removed.groupBy("doc_id").agg(F.collect_list(F.struct("place", "bits")).alias("removed"))
 
         def cut(batches):
@@ -258,6 +259,6 @@ def deduplicated(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR,
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(r, k) for r, k in zip(rows, kinds)]],
                                                  names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
-        result = texts.join(per_doc, "doc_id", "left").select("doc_id", "text", "removed").mapInArrow(
+        result = texts.join(per_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "removed").mapInArrow(
             cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, stop: long>>")
         return scratch.result(result, "substring")
