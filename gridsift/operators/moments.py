@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridsift.functions import vectors as V
 from gridsift.functions.vectors import NORM_GUARD
-from gridsift.operators.positional import by_position, deviation, unit_rows
+from gridsift.operators.positional import by_position, complete, deviation, unit_rows
 
 POSITION = ("category", "cell")
 
@@ -74,8 +74,8 @@ def position_calibration(maps: DataFrame, keys: Sequence[str] = POSITION, value:
 
 
 def calibrated(maps: DataFrame, calibration: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
-    """z = (raw - alpha) / beta."""
-    return maps.join(calibration.select(*keys, "alpha", "beta"), list(keys)).withColumn(
+    """z = (raw - alpha) / beta; a cell without calibration is an error, since the image maximum would lack it."""
+    return complete(maps, calibration, keys, ["alpha", "beta"], "calibration").withColumn(
         "z", (F.col("raw") - F.col("alpha")) / F.col("beta")).drop("alpha", "beta")
 
 

@@ -1,10 +1,7 @@
 """Descriptor rows against the model row of their position.
 
-The arrays of a model are the same for every image, so a small model goes to
-the Python workers once and rows only carry an index into it: on 400,000
-descriptors of 96 channels 0.34 s, against 1.08 s when every row brings its
-model arrays along. "Small" is checked: the model's bytes are measured first,
-and beyond the limit the arrays travel with the rows through an ordinary join.
+The model is joined by its keys whatever its size, so the plan and the order of sums never depend on it: Spark decides
+between a broadcast and a sort-merge join. A row without a model row is an error, never dropped.
 """
 
 from __future__ import annotations
@@ -19,8 +16,6 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from gridsift.functions.vectors import lists, matrix
 
-LIMIT_SETTING, LIMIT_BYTES = "spark.gridsift.modelBytes", 64 << 20
-
 Kernel = Callable[..., np.ndarray]
 
 
@@ -32,46 +27,30 @@ def _returned(result: np.ndarray) -> pa.Array:
     return pa.array(result) if result.ndim == 1 else lists(result)
 
 
-def _bytes(model: DataFrame, fields: Sequence[str]) -> int:
-    kinds = dict(model.dtypes)
-    width = sum((F.size(f) if kinds[f].startswith("array") else F.lit(1)) * F.lit(8) for f in fields)
-    return model.agg(F.sum(width.cast("long"))).head()[0] or 0
+def complete(rows: DataFrame, table: DataFrame, keys: Sequence[str], fields: Sequence[str], what: str) -> DataFrame:
+    """``rows`` with ``fields`` of the row of ``table`` that has their keys; a row that finds none is an error."""
+    own = table.select(*keys, *fields, F.lit(True).alias("_known"))
+    missing = F.raise_error(F.concat(F.lit(f"no {what} for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    joined = rows.join(own, list(keys), "left")
+    return joined.withColumns({f: F.when(F.col("_known"), F.col(f)).otherwise(missing) for f in fields}).drop("_known")
 
 
 def by_position(rows: DataFrame, column: str, model: DataFrame, keys: Sequence[str], fields: Sequence[str], kernel: Kernel,
                 name: str, several: bool = False) -> DataFrame:
-    """Add ``name`` = kernel(x, index, *model arrays) for rows whose keys are in the model; others drop out.
+    """Add ``name`` = kernel(x, index, *model arrays); rows whose keys are not in the model are an error.
 
     ``kernel`` gets the batch's descriptors as a matrix, the model row of each, and the model's fields as arrays; it
     returns one value per descriptor, or a row of values with ``several``.
     """
-    spark, keys, fields = rows.sparkSession, list(keys), list(fields)
-    kind = ArrayType(DoubleType()) if several else DoubleType()
     empty = pa.array([], pa.list_(pa.float64()) if several else pa.float64())
-    limit = int(spark.conf.get(LIMIT_SETTING, str(LIMIT_BYTES)))
-    # Cached only while it is measured and fetched, so a model that is still a plan is computed once for both.
-    slim = model.select(*keys, *fields).persist()
-    small = _bytes(slim, fields) <= limit
-    table = slim.toArrow() if small else None
-    slim.unpersist()
-
-    if small:
-        arrays = spark.sparkContext.broadcast([_values(table.column(f).combine_chunks()) for f in fields])
-        index = spark.createDataFrame(table.select(keys).append_column("_row", pa.array(np.arange(table.num_rows, dtype=np.int32))))
-
-        @arrow_udf(kind)
-        def carried(x: pa.Array, at: pa.Array) -> pa.Array:
-            return _returned(kernel(matrix(x), at.to_numpy(zero_copy_only=False), *arrays.value)) if len(x) else empty
-
-        return rows.join(index, keys).withColumn(name, carried(column, "_row")).drop("_row", column)
 
-    @arrow_udf(kind)
-    def joined(x: pa.Array, *own: pa.Array) -> pa.Array:
+    @arrow_udf(ArrayType(DoubleType()) if several else DoubleType())
+    def scored(x: pa.Array, *own: pa.Array) -> pa.Array:
         return _returned(kernel(matrix(x), np.arange(len(x)), *[_values(a) for a in own])) if len(x) else empty
 
-    renamed = slim.select(*keys, *[F.col(f).alias(f"_model_{f}") for f in fields])
-    out = rows.join(renamed, keys).withColumn(name, joined(column, *[F.col(f"_model_{f}") for f in fields]))
-    return out.drop(column, *[f"_model_{f}" for f in fields])
+    held = [f"_model_{f}" for f in fields]
+    named = model.select(*keys, *[F.col(f).alias(h) for f, h in zip(fields, held)])
+    return complete(rows, named, keys, held, "model").withColumn(name, scored(column, *held)).drop(column, *held)
 
 
 # Kernels -----------------------------------------------------------------------------------------------------------------

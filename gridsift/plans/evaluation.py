@@ -90,8 +90,7 @@ def test_arrays(spark, sf):
 
 def pixels(spark, sf, support=None, arrays=None):
     arrays = test_arrays(spark, sf) if arrays is None else arrays
-    p = E.labelled_pixels(arrays, masks(spark, sf), ["category", "image"], HEIGHT, WIDTH, OUT_HEIGHT, OUT_WIDTH, support)
-    return p.withColumn("score", F.round("score", 9))
+    return E.labelled_pixels(arrays, masks(spark, sf), ["category", "image"], HEIGHT, WIDTH, OUT_HEIGHT, OUT_WIDTH, support)
 
 
 SQL_UP = SQL_SCORED + """,
@@ -102,10 +101,9 @@ SQL_UP = SQL_SCORED + """,
   grid AS (SELECT px, y, x, floor(sy)::INT AS y0, least(floor(sy) + 1, 1)::INT AS y1, sy - floor(sy) AS fy,
              floor(sx)::INT AS x0, least(floor(sx) + 1, 3)::INT AS x1, sx - floor(sx) AS fx FROM src),
   marr AS (SELECT category, image, defect, list(z ORDER BY cell) AS m FROM maps WHERE split = 'test' GROUP BY ALL),
-  up0 AS (SELECT category, image, defect, px, y, x,
+  up AS (SELECT category, image, defect, px, y, x,
            (m[y0 * 4 + x0 + 1] * (1 - fx) + m[y0 * 4 + x1 + 1] * fx) * (1 - fy)
-         + (m[y1 * 4 + x0 + 1] * (1 - fx) + m[y1 * 4 + x1 + 1] * fx) * fy AS score FROM marr, grid),
-  up AS (SELECT * REPLACE (round(score, 9) AS score) FROM up0)"""
+         + (m[y1 * 4 + x0 + 1] * (1 - fx) + m[y1 * 4 + x1 + 1] * fx) * fy AS score FROM marr, grid)"""
 
 
 def sql_pixels(support="TRUE"):
@@ -149,7 +147,7 @@ def upsampled_maps(spark, sf):
 
 
 QUERIES["upsampled_maps"] = upsampled_maps
-ORACLE["upsampled_maps"] = f"WITH {SQL_UP} SELECT category, image, CAST(px AS INTEGER) AS px, {r('score')} AS score FROM up0"
+ORACLE["upsampled_maps"] = f"WITH {SQL_UP} SELECT category, image, CAST(px AS INTEGER) AS px, {r('score')} AS score FROM up"
 
 
 def pro_curve(spark, sf):

@@ -84,12 +84,12 @@ def smallest_sigma(spark, sf):
     """The cells with the smallest calibration deviation of each category."""
     _, _, calibration = fitted(spark, sf)
     report = M.parameter_report(calibration, HEIGHT, WIDTH)
-    return rounded(R.ranked_rows(report, ["category"], [F.col("sigma").asc(), F.col("cell").asc()], 3).select("category", "place", "cell", "mu", "sigma"))
+    return rounded(R.ranked_rows(report, ["category"], [F.col("sigma").asc(), F.col("cell").asc()], 10).select("category", "place", "cell", "mu", "sigma"))
 
 
 QUERIES["smallest_sigma"] = smallest_sigma
 ORACLE["smallest_sigma"] = f"""WITH {SQL_SCORED}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY beta, cell) AS INTEGER) AS place FROM calibration)
-SELECT category, place, cell, {r('alpha')} AS mu, {r('beta')} AS sigma FROM k WHERE place <= 3"""
+SELECT category, place, cell, {r('alpha')} AS mu, {r('beta')} AS sigma FROM k WHERE place <= 10"""
 
 
 def frequent_peaks(spark, sf):
@@ -121,8 +121,7 @@ FROM scores WHERE split = 'test' GROUP BY ALL"""
 def component_peaks(spark, sf):
     """Peak of every annotated rectangle and its percentile in the map."""
     arrays = EV.test_arrays(spark, sf).join(EV.masks(spark, sf), ["category", "image"])
-    px = kept(E.upsampled(arrays, HEIGHT, WIDTH, EV.OUT_HEIGHT, EV.OUT_WIDTH, carry=["regions"]).withColumnRenamed("regions", "region").withColumn(
-        "score", F.round("score", 9)), "pixels")
+    px = kept(E.upsampled(arrays, HEIGHT, WIDTH, EV.OUT_HEIGHT, EV.OUT_WIDTH, carry=["regions"]).withColumnRenamed("regions", "region"), "pixels")
     return rounded(R.component_peaks(px, ["category", "image"]))
 
 

@@ -570,11 +570,24 @@ ORACLE["hashed_split"] = f"WITH {SQL_SPLIT} SELECT category, image, ord, split F
 
 
 def seeded_split(spark, sf):
-    """The seeded shuffle of sorted names, exact order; iterative, so checked on fixtures rather than in SQL."""
+    """The seeded shuffle of sorted names, exact order."""
     return S.seeded_split(document_names(spark, sf), 42)
 
 
 QUERIES["seeded_split"] = seeded_split
+# One step of the shuffle, or one refused draw, per round; the list holds the sorted names' places.
+ORACLE["seeded_split"] = f"""WITH RECURSIVE n AS (SELECT lang AS category, lang || '_' || source || '_' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS image FROM documents),
+  o AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY image) AS p, count(*) OVER (PARTITION BY category) AS n FROM n),
+  c AS (SELECT DISTINCT category, n FROM o),
+  s AS (SELECT category, n AS i, CAST(xor(42, {S.MULTIPLIER}) AS HUGEINT) AS state, range(1, n + 1) AS items FROM c
+    UNION ALL SELECT category, CASE WHEN taken THEN i - 1 ELSE i END, state,
+      CASE WHEN taken THEN list_transform(items, lambda x, k: CASE WHEN k = i THEN items[j + 1] WHEN k = j + 1 THEN items[i] ELSE x END) ELSE items END
+    FROM (SELECT *, CASE WHEN two THEN (i * bits) // 2147483648 ELSE bits % i END AS j, two OR bits - bits % i + i - 1 < 2147483648 AS taken
+      FROM (SELECT category, i, items, next AS state, CAST(next // 131072 AS BIGINT) AS bits, (i & (i - 1)) = 0 AS two
+        FROM (SELECT *, (state * {S.MULTIPLIER} + {S.INCREMENT}) % {S.MASK + 1} AS next FROM s WHERE i > 1)))),
+  placed AS (SELECT category, unnest(items) AS p, unnest(range(1, len(items) + 1)) AS ord FROM s WHERE i = 1)
+SELECT category, image, ord, CASE WHEN ord <= greatest(1, least(n - 2, n * 4 // 5)) THEN 'fit' ELSE 'calibration' END AS split
+FROM o JOIN placed USING (category, p)"""
 
 
 def split_checks(spark, sf):

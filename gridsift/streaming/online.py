@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.streaming import StreamingQuery
@@ -90,10 +89,10 @@ def model_of(state: DataFrame) -> DataFrame:
 
 def latest_moments(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The newest version of the moment table (below ``before``), None when there is none yet."""
-    try:
-        versions = spark.read.schema(f"{STATE}, version bigint").parquet(path)
-    except AnalysisException:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return None
+    versions = spark.read.schema(f"{STATE}, version bigint").parquet(path)
     if before is not None:
         versions = versions.where(F.col("version") < before)
     newest = versions.agg(F.max("version")).head()[0]

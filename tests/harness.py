@@ -22,9 +22,7 @@ def session():
              .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     if os.environ.get("NO_BROADCAST"):
-        # Every size check fails: sort-merge joins, and model arrays that travel with the rows.
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        spark.conf.set("spark.gridsift.modelBytes", "0")
     return spark
 
 

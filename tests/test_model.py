@@ -130,25 +130,30 @@ def test_compiled_equals_explicit_for_zero_and_tiny_vectors(spark):
     assert math.isclose(sum(v * v for v in archetype), 1.0, abs_tol=1e-12)
 
 
-def test_large_models_travel_with_the_rows(spark):
-    """Beyond the size limit the same scores come from a join with the model arrays."""
+def test_one_path_with_and_without_broadcast_and_no_row_lost(spark):
+    """Scores do not depend on how the model is joined; a cell without model or calibration is an error."""
     rng = np.random.default_rng(3)
     data = [("c", f"i{k}", cell, rng.normal(size=5).tolist()) for k in range(8) for cell in range(3)]
     f = spark.createDataFrame(data, "category string, image string, cell int, x array<double>")
     model = M.position_model(M.units(f))
     forms = P.dispersion_model(P.cross_products(M.units(f), ["category", "cell"]), P.signs(3, 5, 16))
-    other = f.unionByName(f.limit(1).withColumn("cell", F.lit(99)))
 
     def scores():
-        a = {(r.image, r.cell): r.raw for r in M.feature_maps(other, model).collect()}
+        a = {(r.image, r.cell): r.raw for r in M.feature_maps(f, model).collect()}
         b = {(r.image, r.cell): r.raw for r in P.dispersion_maps(M.units(f), forms).collect()}
         return a, b
 
-    small = scores()
-    spark.conf.set("spark.gridsift.modelBytes", "0")
+    usual, before = scores(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        large = scores()
+        sorted_joins = scores()
     finally:
-        spark.conf.unset("spark.gridsift.modelBytes")
-    for s, l in zip(small, large):
-        assert len(s) == 24 and s.keys() == l.keys() and all(s[k] == pytest.approx(l[k], rel=1e-9) for k in s)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for s, l in zip(usual, sorted_joins):
+        assert len(s) == 24 and s == l
+    other = f.unionByName(f.limit(1).withColumn("cell", F.lit(99)))
+    with pytest.raises(Exception, match="no model for c, 99"):
+        M.feature_maps(other, model).collect()
+    maps = M.feature_maps(f, model)
+    with pytest.raises(Exception, match="no calibration for c, 2"):
+        M.calibrated(maps, M.position_calibration(maps).where("cell < 2")).collect()
