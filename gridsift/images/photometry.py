@@ -43,13 +43,16 @@ def to_bytes(values: np.ndarray) -> np.ndarray:
 @arrow_udf(CHANGED)
 def photometric(pixels: pa.Array, family: pa.Array, level: pa.Array) -> pa.Array:
     """Changed channel values of every image and how many of them were clipped."""
-    out, clipped = [], []
-    for values, name, amount in zip(pixels.to_numpy(zero_copy_only=False), family.to_pylist(), level.to_pylist()):
-        changed = change(np.asarray(values, dtype=np.float64), name, amount)
-        clipped.append(int(((changed < 0) | (changed > 255)).sum()))
-        out.append(to_bytes(changed))
-    return pa.StructArray.from_arrays([pa.array(out, pa.list_(pa.int32())), pa.array(clipped, pa.int64())],
-                                      ["pixels", "clipped"])
+    values = pixels.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    owner = np.repeat(np.arange(len(pixels)), np.diff(pixels.offsets.to_numpy()))
+    names, amount = np.asarray(family.to_pylist(), dtype=object)[owner], level.to_numpy(zero_copy_only=False)[owner]
+    changed = values.copy()
+    for name in set(family.to_pylist()):
+        own = names == name
+        changed[own] = change(values[own], name, amount[own])
+    clipped = np.bincount(owner, weights=(changed < 0) | (changed > 255), minlength=len(pixels)).astype(np.int64)
+    offsets = pa.array((pixels.offsets.to_numpy() - pixels.offsets[0].as_py()).astype(np.int32))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(to_bytes(changed))), pa.array(clipped)], ["pixels", "clipped"])
 
 
 def luminance_of(rgb: np.ndarray) -> np.ndarray:

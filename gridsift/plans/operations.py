@@ -212,14 +212,14 @@ CHANGES = ((-.02, 0, 0), (.02, 0, 0), (0, -.02, 0), (0, .02, 0), (0, 0, -10), (0
 
 
 def pose_changes(spark, sf):
-    """Every pose under every geometric change; the re-estimated pose is read from other entries of the vector."""
+    """Every pose under every geometric change; the second pose is read from other entries of the vector and knows nothing of the first."""
     e = images(spark, sf).select("image", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
     grid = F.array(*[F.struct(F.lit(float(a)).alias("dx"), F.lit(float(b)).alias("dy"), F.lit(float(c)).alias("turn")) for a, b, c in CHANGES])
     rows = poses(spark, sf).join(e, "image").withColumn("_g", F.explode(grid)).select("*", "_g.*").drop("_g")
     x, y = R.expected_centre(F.col("cx"), F.col("cy"), F.col("dx"), F.col("dy"), F.col("turn"), 700)
     at = lambda i: F.col("e")[i]
-    rows = rows.withColumn("cx1", x + at(11)).withColumn("cy1", y + at(12)).withColumn(
-        "angle1", F.col("angle") + F.col("turn") + 20 * at(13)).withColumn("polarity1", F.col("polarity") + at(14) / 2).withColumn(
+    rows = rows.withColumn("cx1", 349.5 + 300 * at(11)).withColumn("cy1", 349.5 + 300 * at(12)).withColumn(
+        "angle1", 90 + 200 * at(13)).withColumn("polarity1", F.col("polarity") + at(14) / 2).withColumn(
         "border1", at(15) > 0.15).withColumn("state0", F.col("state")).withColumn(
         "state1", F.when(at(16) > 0.2, "SEGMENTATION_FAILURE").otherwise("OK"))
     seen = (F.col("state0") != "SEGMENTATION_FAILURE") & (F.col("state1") != "SEGMENTATION_FAILURE")
@@ -245,8 +245,8 @@ SQL_CHANGES = SQL_POSES + """,
   chg AS (SELECT poses.*, g.l AS level, g.t AS turn, CASE WHEN e[17] > .2 THEN 'SEGMENTATION_FAILURE' ELSE 'OK' END AS state1, e[16] > .15 AS border1,
       cos(radians(g.t)) * (cx - 349.5::DOUBLE) - sin(radians(g.t)) * (cy - 349.5::DOUBLE) + 349.5::DOUBLE + g.dx * 700 AS ex,
       sin(radians(g.t)) * (cx - 349.5::DOUBLE) + cos(radians(g.t)) * (cy - 349.5::DOUBLE) + 349.5::DOUBLE + g.dy * 700 AS ey,
-      angle + g.t + 20 * e[14] AS angle1, polarity + e[15] / 2 AS polarity1 FROM poses, gr),
-  er AS (SELECT *, state <> 'SEGMENTATION_FAILURE' AND state1 <> 'SEGMENTATION_FAILURE' AS seen, ex + e[12] AS cx1, ey + e[13] AS cy1 FROM chg),
+      90 + 200 * e[14] AS angle1, polarity + e[15] / 2 AS polarity1 FROM poses, gr),
+  er AS (SELECT *, state <> 'SEGMENTATION_FAILURE' AND state1 <> 'SEGMENTATION_FAILURE' AS seen, 349.5::DOUBLE + 300 * e[12] AS cx1, 349.5::DOUBLE + 300 * e[13] AS cy1 FROM chg),
   e2 AS (SELECT *, CASE WHEN seen THEN sqrt((cx1 - ex) ** 2 + (cy1 - ey) ** 2) END AS ce,
       CASE WHEN seen THEN abs((angle1 - angle - turn) - 180 * floor((angle1 - angle - turn) / 180 + .5)) END AS ae,
       seen AND (polarity < 0) <> (polarity1 < 0) AS flip FROM er)"""

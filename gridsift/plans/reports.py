@@ -23,8 +23,7 @@ QUERIES, ORACLE = {}, {}
 
 
 def variant_maps(spark, sf):
-    maps, _, _ = ST.nuisance_maps(spark, sf, split="test")
-    return maps.where("level = 1.0 AND family = 'BRIGHTNESS'")
+    return ST.nuisance_maps(spark, sf, split="test", levels=(1.0,), families=("BRIGHTNESS",))[0]
 
 
 SQL_VARIANTS = ST.sql_nuisance("test", (1.0,)) + """,

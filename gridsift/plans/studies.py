@@ -30,12 +30,16 @@ def pixel_images(spark, sf):
     return images(spark, sf).withColumn("pixels", px).drop("embedding")
 
 
-def with_variants(rows):
-    """Identity, and turned so that the brighter half is on top."""
+LEVELS = (0.8, 0.9, 1.0, 1.1, 1.2)
+VARIANTS = ("identity", "canonical")
+
+
+def with_variants(rows, variants=VARIANTS):
+    """Identity, and turned so that the brighter half is on top; only the ``variants`` asked for are made."""
     half = lambda a, b: F.aggregate(F.slice("pixels", a, b), F.lit(0), lambda s, v: s + v)
     turned = F.when(half(33, 32) > half(1, 32), F.reverse("pixels")).otherwise(F.col("pixels"))
-    both = F.explode(F.array(F.struct(F.lit("identity").alias("variant"), F.col("pixels").alias("pixels")),
-                             F.struct(F.lit("canonical").alias("variant"), turned.alias("pixels")))).alias("_v")
+    made = {"identity": F.col("pixels"), "canonical": turned}
+    both = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), made[v].alias("pixels")) for v in variants])).alias("_v")
     return rows.select(*[c for c in rows.columns if c != "pixels"], both).select(
         *[c for c in rows.columns if c != "pixels"], "_v.variant", "_v.pixels")
 
@@ -47,31 +51,29 @@ def pixel_units(rows):
     return M.units(rows.select(*others, F.posexplode(cells).alias("cell", "x")))
 
 
-def conditions(rows, levels):
-    grid = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(float(v)).alias("level")) for f in PH.PHOTOMETRIC for v in levels])
+def conditions(rows, levels, families=PH.PHOTOMETRIC):
+    grid = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(float(v)).alias("level")) for f in families for v in levels])
     spread = rows.select(*rows.columns, F.explode(grid).alias("_g")).select(*rows.columns, "_g.family", "_g.level")
     return spread.withColumn("_c", PH.photometric("pixels", "family", "level")).withColumn(
         "pixels", F.col("_c.pixels")).withColumn("clipped", F.col("_c.clipped")).drop("_c")
 
 
-LEVELS = (0.8, 0.9, 1.0, 1.1, 1.2)
 
 
-def nuisance_state(spark, sf):
-    """(model, calibration) of both variants, from unchanged images."""
-    u = pixel_units(with_variants(pixel_images(spark, sf)))
+def nuisance_state(spark, sf, variants=VARIANTS):
+    """(model, calibration) of the variants, from unchanged images."""
+    u = pixel_units(with_variants(pixel_images(spark, sf), variants))
     model = kept(M.position_model(u.where("split = 'fit'"), KEYS), "model")
     raw = M.raw_maps(u.where("split = 'calibration'"), model, KEYS)
     return model, kept(M.position_calibration(raw, KEYS), "calibration")
 
 
-def nuisance_maps(spark, sf, split="calibration", keep_units=False):
-    """Maps of every image of the split under every condition; level 1 is the baseline."""
-    model, calibration = nuisance_state(spark, sf)
+def nuisance_maps(spark, sf, split="calibration", keep_units=False, variants=VARIANTS, levels=LEVELS, families=PH.PHOTOMETRIC):
+    """Maps of every image of the split under every condition asked for; level 1 is the baseline."""
+    model, calibration = nuisance_state(spark, sf, variants)
     # The change is applied before the variant turns the image, as a camera would.
-    rows = conditions(pixel_images(spark, sf).where(F.col("split") == split), LEVELS).withColumn(
-        "defect", F.col("defect"))
-    u = pixel_units(with_variants(rows))
+    rows = conditions(pixel_images(spark, sf).where(F.col("split") == split), levels, families)
+    u = pixel_units(with_variants(rows, variants))
     if keep_units:
         u = u.withColumn("unit", F.col("u"))
     maps = M.calibrated(M.raw_maps(u, model, KEYS), calibration, KEYS)
@@ -312,13 +314,12 @@ INNER = "cell % 4 IN (1, 2)"
 
 def robustness_pairs(spark, sf):
     """Perturbed and original peak of every test image (whole map and inner columns), identity variant."""
-    maps, model, calibration = nuisance_maps(spark, sf, split="test")
-    maps = maps.where("variant = 'identity'")
+    maps, model, calibration = nuisance_maps(spark, sf, split="test", variants=("identity",))
     peaks = maps.groupBy("category", "image", "anomaly", "family", "level").agg(
         F.max("z").alias("st"), F.max(F.when(F.expr(INNER), F.col("z"))).alias("interior_st"))
     original = peaks.where("level = 1.0 AND family = 'BRIGHTNESS'").select(
         "category", "image", F.col("st").alias("s0"), F.col("interior_st").alias("interior_s0"))
-    held_out = pixel_units(with_variants(pixel_images(spark, sf).where("split = 'calibration'"))).where("variant = 'identity'")
+    held_out = pixel_units(with_variants(pixel_images(spark, sf).where("split = 'calibration'"), ("identity",)))
     scores = M.image_scores(M.calibrated(M.raw_maps(held_out, model, KEYS), calibration, KEYS))
     pairs = P.paired(peaks, original.drop("interior_s0")).join(original.select("category", "image", "interior_s0"), ["category", "image"])
     pairs = pairs.withColumn("interior_delta", F.col("interior_st") - F.col("interior_s0"))
@@ -368,16 +369,28 @@ SELECT family, level, grp, count(*) AS categories, {r('avg(m)', 5)} AS median_de
   {r('avg(e)', 5)} AS exceedance FROM g GROUP BY ALL"""
 
 
+# Broken rules put into the pairs, so that each count has something to find: column, new value, and in which images.
+PLANTED = (("delta", "delta + 1", 41), ("exceeds", "NOT exceeds", 43), ("level", "level * 7", 47), ("s0", "s0 + level - 1", 53))
+PLANTED_TWICE = 37
+
+
 def pairing_problems(spark, sf):
-    return P.pairing_problems(robustness_pairs(spark, sf), {f: LEVELS for f in PH.PHOTOMETRIC})
+    """Counts of broken pairing rules in pairs of which some were broken on purpose."""
+    pairs = robustness_pairs(spark, sf)
+    pairs = pairs.select(*[F.expr(next((f"CASE WHEN image % {every} = 0 THEN {value} ELSE {name} END" for name, value, every in PLANTED if name == c), c)).alias(c)
+                           for c in pairs.columns])
+    return P.pairing_problems(pairs.unionByName(pairs.where(f"image % {PLANTED_TWICE} = 0")), {f: LEVELS for f in PH.PHOTOMETRIC})
 
 
 QUERIES["pairing_problems"] = pairing_problems
+_BROKEN = ", ".join(f"CASE WHEN image % {every} = 0 THEN {value} ELSE {name} END AS {name}" for name, value, every in PLANTED)
 ORACLE["pairing_problems"] = f"""WITH {SQL_PAIRS},
-  o AS (SELECT category, image, family, level, count(*) AS n, min(s0) AS lo, max(s0) AS hi FROM rp GROUP BY ALL),
-  i AS (SELECT category, image, max(hi) - min(lo) > 1e-9 AS moved, count_if(n > 1) AS dup, sum(n) AS n FROM o GROUP BY ALL)
+  b AS (SELECT * REPLACE ({_BROKEN}) FROM rp), bp AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE image % {PLANTED_TWICE} = 0),
+  o AS (SELECT category, image, family, level, count(*) AS n, min(s0) AS lo, max(s0) AS hi, count_if(abs(delta - (st - s0)) > 1e-12) AS d,
+      count_if(exceeds <> (st > reference)) AS f, count_if(level NOT IN ({", ".join(str(v) for v in LEVELS)})) AS u FROM bp GROUP BY ALL),
+  i AS (SELECT category, image, max(hi) - min(lo) > 1e-9 AS moved, count_if(n > 1) AS dup, sum(n) AS n, sum(d) AS d, sum(f) AS f, sum(u) AS u FROM o GROUP BY ALL)
 SELECT category, CAST(sum(n) AS BIGINT) AS observations, count_if(moved) AS changed_originals, CAST(sum(dup) AS BIGINT) AS duplicates,
-  CAST(0 AS BIGINT) AS wrong_deltas, CAST(0 AS BIGINT) AS wrong_flags, CAST(0 AS BIGINT) AS unknown_levels FROM i GROUP BY ALL"""
+  CAST(sum(d) AS BIGINT) AS wrong_deltas, CAST(sum(f) AS BIGINT) AS wrong_flags, CAST(sum(u) AS BIGINT) AS unknown_levels FROM i GROUP BY ALL"""
 
 
 def line_level(q):
@@ -590,11 +603,15 @@ SELECT category, image, ord, CASE WHEN ord <= greatest(1, least(n - 2, n * 4 //
 FROM o JOIN placed USING (category, p)"""
 
 
+#: FIT names at multiples of this place are planted in the calibration half, too.
+TAKEN_TWICE = 25
+
+
 def split_checks(spark, sf):
-    """FIT and calibration are disjoint and together are all names; the first three of each category lead the manifest."""
+    """Names in both FIT and calibration, and names that the two hold not as often as they should; some are put in twice on purpose."""
     names = document_names(spark, sf)
     split = kept(S.hashed_split(names.withColumn("seed", F.lit(42))), "split")
-    fit, cal = split.where("split = 'fit'"), split.where("split = 'calibration'")
+    fit, cal = split.where("split = 'fit'"), split.where(f"split = 'calibration' OR ord % {TAKEN_TWICE} = 0")
     both = S.overlap(fit, cal).groupBy("category").agg(F.count(F.lit(1)).alias("overlap"))
     off = S.set_difference(fit.unionByName(cal), names).groupBy("category").agg(F.count(F.lit(1)).alias("mismatch"))
     count = split.groupBy("category").agg(F.count_if(F.col("split") == "fit").alias("fit"),
@@ -605,8 +622,16 @@ def split_checks(spark, sf):
 
 
 QUERIES["split_checks"] = split_checks
-ORACLE["split_checks"] = f"""WITH {SQL_SPLIT} SELECT category, count_if(split = 'fit') AS fit, count_if(split = 'calibration') AS calibration,
-  CAST(0 AS BIGINT) AS overlap, CAST(0 AS BIGINT) AS mismatch FROM sp GROUP BY ALL"""
+ORACLE["split_checks"] = f"""WITH {SQL_SPLIT}, fit AS (SELECT category, image FROM sp WHERE split = 'fit'),
+  cal AS (SELECT category, image FROM sp WHERE split = 'calibration' OR ord % {TAKEN_TWICE} = 0),
+  have AS (SELECT category, image, count(*) AS k FROM (SELECT * FROM fit UNION ALL SELECT * FROM cal) GROUP BY ALL),
+  want AS (SELECT category, image, count(*) AS k FROM n GROUP BY ALL),
+  off AS (SELECT coalesce(h.category, w.category) AS category, sum(abs(coalesce(h.k, 0) - coalesce(w.k, 0))) AS m
+    FROM have h FULL JOIN want w ON h.category = w.category AND h.image = w.image GROUP BY ALL),
+  common AS (SELECT category, count(*) AS c FROM (SELECT * FROM fit INTERSECT SELECT * FROM cal) GROUP BY ALL)
+SELECT category, count_if(split = 'fit') AS fit, count_if(split = 'calibration') AS calibration,
+  CAST(coalesce(any_value(c), 0) AS BIGINT) AS overlap, CAST(coalesce(any_value(m), 0) AS BIGINT) AS mismatch
+FROM sp LEFT JOIN common USING (category) LEFT JOIN off USING (category) GROUP BY category"""
 
 
 def first_of_split(spark, sf):
