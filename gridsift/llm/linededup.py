@@ -53,6 +53,7 @@ def without_repeats(docs: DataFrame, *, divisor: int = DIVISOR, least_lines: int
     Null texts stay null, with 0 lines; an empty text is one empty line. Every row of ``docs`` comes back. Columns named
     like the results (n_lines, n_removed) are replaced; an n_chars column is not brought up to date.
 
+    The texts are joined by sorting at every size, so that a job does the same on a small corpus as on a large one.
     Only hashes of all chunks are shuffled; texts of chunks whose hash repeats are then compared byte by byte, by grouping
     on the text itself, added up map-side, so a chunk of many copies arrives with few rows.
     """
@@ -74,7 +75,7 @@ def without_repeats(docs: DataFrame, *, divisor: int = DIVISOR, least_lines: int
             return [a["_id"].eqNullSafe(b["_id"]), a["_row"] == b["_row"]]
 
         keyed = slim.withColumn("_row", F.xxhash64("text"))
-        wanted = keyed.join(marked, same(keyed, marked)).select(keyed["_id"], "text", "_wanted")
+        wanted = keyed.join(marked.hint("merge"), same(keyed, marked)).select(keyed["_id"], "text", "_wanted")
         chunks = _with_chunks(wanted, divisor).select("_id", "_row", F.explode(F.filter(
             "_chunks", lambda c: F.array_contains("_wanted", c["start"]))).alias("_chunk"), "_lines").select("_id", "_row", "_chunk", _text(F.col("_chunk")).alias("block"))
         chunks = chunks.select("block", F.xxhash64("block").alias("hash"), place.alias("place"))
@@ -83,7 +84,7 @@ def without_repeats(docs: DataFrame, *, divisor: int = DIVISOR, least_lines: int
         gone = scratch.kept(gone.groupBy("_id", "_row").agg(F.collect_set("start").alias("_gone")), "gone")
 
         rows = base.withColumn("_id", F.col("doc_id")).withColumn("_row", F.xxhash64("text"))
-        joined = rows.join(gone.withColumnsRenamed({"_id": "_gone_id", "_row": "_gone_row"}),
+        joined = rows.join(gone.withColumnsRenamed({"_id": "_gone_id", "_row": "_gone_row"}).hint("merge"),
                            F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row")), "left")
         cut = _with_chunks(joined, divisor)
         kept = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["start"]))
