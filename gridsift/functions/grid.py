@@ -30,12 +30,6 @@ def neighbours(cell: Column, height: int, width: int) -> Column:
     return F.transform(inside, lambda p: (p["r"] * width + p["c"]).cast("int"))
 
 
-def right_and_down(cell: Column, height: int, width: int) -> Column:
-    """The following cell in the row and in the column, where they exist."""
-    row, column = row_of(cell, width), column_of(cell, width)
-    return F.array_compact(F.array(F.when(column < width - 1, cell + 1), F.when(row < height - 1, cell + width)))
-
-
 def displacement(cell: Column, reference: Column, width: int) -> Column:
     return F.hypot((column_of(cell, width) - column_of(reference, width)).cast("double"),
                    (row_of(cell, width) - row_of(reference, width)).cast("double"))
@@ -69,10 +63,6 @@ def rigid_about(angle: Column, cx: Column, cy: Column, to_x: Column, to_y: Colum
                     (to_x - (c * cx - s * cy)).alias("tx"), (to_y - (s * cx + c * cy)).alias("ty"))
 
 
-def rigid_valid(t: Column) -> Column:
-    return F.abs(t["cos"] * t["cos"] + t["sin"] * t["sin"] - 1.0) <= 1e-12
-
-
 def forward_x(t: Column, x: Column, y: Column) -> Column:
     return t["cos"] * x - t["sin"] * y + t["tx"]
 

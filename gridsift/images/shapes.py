@@ -76,13 +76,6 @@ def silhouette(gray: np.ndarray, dark: bool = False) -> tuple[np.ndarray, int]:
     return filled(largest(components(gray <= threshold if dark else gray > threshold))), threshold
 
 
-def box_reduced(luminance: np.ndarray, factor: int = 4) -> np.ndarray:
-    """Box mean rounded after the horizontal and again after the vertical pass."""
-    h, w = luminance.shape
-    rows = (luminance.reshape(h, w // factor, factor).sum(axis=2) + factor // 2) // factor
-    return (rows.reshape(h // factor, factor, -1).sum(axis=1) + factor // 2) // factor
-
-
 def touches_border(mask: np.ndarray) -> bool:
     return bool(mask[0].any() or mask[-1].any() or mask[:, 0].any() or mask[:, -1].any())
 

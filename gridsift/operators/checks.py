@@ -127,3 +127,22 @@ def drift(now: DataFrame, before: DataFrame, key: str = "path", digest: str = "s
     state = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").when(
         F.col("now") != F.col("before"), "changed")
     return j.select(key, state.alias("state")).where("state IS NOT NULL")
+
+
+def selection_problems(selected: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """Selected names that are chosen twice or that do not exist: one row per name and problem."""
+    counts = selected.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    twice = counts.where("_n > 1").select(name, F.lit("duplicate").alias("problem"))
+    return twice.unionByName(counts.join(known.select(name).distinct(), name, "left_anti").select(name, F.lit("unknown").alias("problem")))
+
+
+def order_problems(attempted: DataFrame, exclusions: DataFrame, usable: DataFrame, keys: Sequence[str], place: str) -> DataFrame:
+    """Where the usable rows are not the attempted ones without the exclusions in the same order: expected and actual place.
+
+    Places are counted again among the rows that stay, so both sides count from 1 without gaps. ``keys`` are the group
+    and then the row's own name.
+    """
+    from gridsift.operators.ordered import numbered
+    left = numbered(attempted.join(exclusions.select(*keys).distinct(), list(keys), "left_anti"), keys[:-1], [(place, "asc"), (keys[-1], "asc")], "expected")
+    right = numbered(usable, keys[:-1], [(place, "asc"), (keys[-1], "asc")], "actual")
+    return left.select(*keys, "expected").join(right.select(*keys, "actual"), list(keys), "full").where("NOT (expected <=> actual)")

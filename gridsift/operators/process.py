@@ -75,16 +75,23 @@ def lifetime_peaks(samples: DataFrame) -> DataFrame:
     return samples.where(complete()).groupBy("run", "process").agg(F.max("lifetime_peak_bytes").alias("lifetime_peak_bytes"))
 
 
+def _pooled(rows: DataFrame, keys: Sequence[str], pooled: str, value: str, weight: str | None = None) -> DataFrame:
+    """Rows (keys, value, _weight) per key and with ``pooled`` = ALL; equal values are counted before they are doubled."""
+    amount = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = rows.withColumn(pooled, F.col(pooled).cast("string")).groupBy(*keys, value).agg(amount.cast("long").alias("_weight"))
+    return counted.withColumn(pooled, F.explode(F.array(F.col(pooled), F.lit("ALL"))))
+
+
 def latency_summary(rows: DataFrame, region: str, process: str, elapsed: str, weight: str | None = None) -> DataFrame:
     """Mean and linear p50/p95/p99 of every region, per process and pooled (process ``ALL``)."""
-    spread = rows.withColumn(process, F.explode(F.array(F.col(process), F.lit("ALL"))))
-    return describe(spread, [region, process], [elapsed], [.5, .95, .99], weight=weight).drop("field")
+    keys = [region, process]
+    return describe(_pooled(rows, keys, process, elapsed, weight), keys, [elapsed], [.5, .95, .99], weight="_weight").drop("field")
 
 
 def stage_timing(rows: DataFrame, stage: str, candidate: str, fork: str, elapsed: str) -> DataFrame:
     """Timing distribution per (stage, candidate, fork) and pooled over forks (fork ``ALL``)."""
-    spread = rows.withColumn(fork, F.explode(F.array(F.col(fork).cast("string"), F.lit("ALL"))))
-    return describe(spread, [stage, candidate, fork], [elapsed], [.5, .95, .99]).drop("field")
+    keys = [stage, candidate, fork]
+    return describe(_pooled(rows, keys, fork, elapsed), keys, [elapsed], [.5, .95, .99], weight="_weight").drop("field")
 
 
 def coverage(rows: DataFrame, keys: Sequence[str], group: str, usable: str) -> DataFrame:

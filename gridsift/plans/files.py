@@ -1,4 +1,4 @@
-"""Queries that write files from the given tables and read them through the library's sources."""
+"""Queries that write files from the given tables and read them through the library's sources, and small checks."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import functions as F
 
-from gridsift import schemas
+from gridsift.functions import grid as G
 from gridsift.operators import checks as C
+from gridsift.operators import reports as R
+from gridsift.operators.ordered import numbered
 from gridsift.plans.contracts import SQL_NAMES, annotation_documents, names, place
-from gridsift.plans.views import r, rounded, table
+from gridsift.plans.views import images, r, rounded, table
 from gridsift.sources import dataset, measurements
 
 QUERIES, ORACLE = {}, {}
@@ -167,3 +169,94 @@ def phase_files(spark, sf):
 
 QUERIES["phase_files"] = phase_files
 ORACLE["phase_files"] = """SELECT 'r1' AS run, event_type AS phase, count(*) AS changes, min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events GROUP BY ALL"""
+
+
+# Parameters, supports and selections.
+
+def inverse_parameters(spark, sf):
+    """Angle or factor that undoes a rotation or a scale, and what is left after both."""
+    e = table(spark, sf, "embeddings")
+    first = F.col("embedding")[0].cast("double")
+    rows = e.select(F.col("vec_id").alias("image"), F.when(F.col("label") % 2 == 0, "ROTATION").otherwise("SCALE").alias("family"),
+                    F.when(F.col("label") % 2 == 0, 90 * first).otherwise(1.25 + first).alias("level"))
+    back = rows.withColumn("inverse", R.inverse_level(F.col("family"), F.col("level")))
+    return rounded(back.withColumn("left", F.when(F.col("family") == "ROTATION", F.col("level") + F.col("inverse")).otherwise(F.col("level") * F.col("inverse"))))
+
+
+QUERIES["inverse_parameters"] = inverse_parameters
+ORACLE["inverse_parameters"] = f"""WITH v AS (SELECT vec_id AS image, CASE WHEN label % 2 = 0 THEN 'ROTATION' ELSE 'SCALE' END AS family,
+    CASE WHEN label % 2 = 0 THEN 90 * CAST(embedding[1] AS DOUBLE) ELSE 1.25 + CAST(embedding[1] AS DOUBLE) END AS level FROM embeddings),
+  i AS (SELECT *, CASE family WHEN 'ROTATION' THEN -level ELSE 1 / level END AS inverse FROM v)
+SELECT image, family, {r('level')} AS level, {r('inverse')} AS inverse, {r("CASE family WHEN 'ROTATION' THEN level + inverse ELSE level * inverse END")} AS "left" FROM i"""
+
+
+def interior_means(spark, sf):
+    """A vector as a grid of 8 by 8 cells: means of all cells, of those inside the outer ring, and of the ring."""
+    cells = images(spark, sf).select("category", "image", F.posexplode("embedding").alias("cell", "x"))
+    inside = G.interior(F.col("cell"), 8, 8)
+    return rounded(cells.groupBy("category", "image").agg(F.count_if(inside).alias("inner_cells"), F.avg(F.col("x").cast("double")).alias("whole"),
+                                                          F.avg(F.when(inside, F.col("x").cast("double"))).alias("inner"), F.avg(F.when(~inside, F.col("x").cast("double"))).alias("ring")))
+
+
+QUERIES["interior_means"] = interior_means
+ORACLE["interior_means"] = f"""WITH c AS (SELECT 'c' || label % 2 AS category, vec_id AS image, unnest(range(64)) AS cell, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+  i AS (SELECT *, cell // 8 BETWEEN 1 AND 6 AND cell % 8 BETWEEN 1 AND 6 AS inside FROM c)
+SELECT category, image, count_if(inside) AS inner_cells, {r('avg(x)')} AS whole, {r('avg(x) FILTER (inside)')} AS "inner", {r('avg(x) FILTER (NOT inside)')} AS ring FROM i GROUP BY ALL"""
+
+
+def support_means(spark, sf):
+    """The same grid on 20 by 28 pixels, each taking its nominal cell: pixels and mean on both inner supports."""
+    px = images(spark, sf).select("category", "image", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20 * 28 - 1))).alias("px"))
+    at = lambda i, out: F.floor(i * F.lit(8) / F.lit(out)).cast("int")
+    x = F.get("embedding", at(G.row_of(F.col("px"), 28), 20) * 8 + at(G.column_of(F.col("px"), 28), 28)).cast("double")
+    nominal, strict = (f(20, 28, 8, 8)(F.col("px")) for f in (R.nominal_support, R.strict_support))
+    return rounded(px.select("category", "image", x.alias("x"), nominal.alias("nominal"), strict.alias("strict")).groupBy("category", "image").agg(
+        F.count_if("nominal").alias("nominal_pixels"), F.avg(F.when(F.col("nominal"), F.col("x"))).alias("nominal_mean"),
+        F.count_if("strict").alias("strict_pixels"), F.avg(F.when(F.col("strict"), F.col("x"))).alias("strict_mean")))
+
+
+QUERIES["support_means"] = support_means
+ORACLE["support_means"] = f"""WITH p AS (SELECT 'c' || label % 2 AS category, vec_id AS image, embedding, unnest(range(560)) AS px FROM embeddings),
+  q AS (SELECT *, px // 28 AS y, px % 28 AS x, px // 28 * 8 // 20 AS cy, px % 28 * 8 // 28 AS cx FROM p),
+  s AS (SELECT *, CAST(embedding[cy * 8 + cx + 1] AS DOUBLE) AS v, cy BETWEEN 1 AND 6 AND cx BETWEEN 1 AND 6 AS nominal,
+    (y + .5::DOUBLE) * (8::DOUBLE / 20) - .5 BETWEEN 1 AND 6 AND (x + .5::DOUBLE) * (8::DOUBLE / 28) - .5 BETWEEN 1 AND 6 AS strict FROM q)
+SELECT category, image, count_if(nominal) AS nominal_pixels, {r('avg(v) FILTER (nominal)')} AS nominal_mean, count_if(strict) AS strict_pixels, {r('avg(v) FILTER (strict)')} AS strict_mean
+FROM s GROUP BY ALL"""
+
+
+def image_order(spark, sf):
+    """Stable order of the test images of each category: good ones first, then by name."""
+    rows = images(spark, sf).where("split = 'test'").select("category", "image", "anomaly")
+    return numbered(rows, ["category"], [("anomaly", "asc"), ("image", "asc")], "place")
+
+
+QUERIES["image_order"] = image_order
+ORACLE["image_order"] = """SELECT 'c' || label % 2 AS category, vec_id AS image, label >= 6 AS anomaly, row_number() OVER (PARTITION BY label % 2 ORDER BY label >= 6, vec_id) AS place
+FROM embeddings WHERE label >= 4"""
+
+
+def selection_problems(spark, sf):
+    """Names made from the suppliers against those of the nations: chosen twice or unknown."""
+    chosen = table(spark, sf, "supplier").select(F.concat(F.lit("n"), (F.col("s_nationkey") + F.col("s_suppkey") % 3 * 10).cast("string")).alias("name"))
+    known = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"))
+    return C.selection_problems(chosen, known, "name")
+
+
+QUERIES["selection_problems"] = selection_problems
+ORACLE["selection_problems"] = """WITH c AS (SELECT 'n' || CAST(s_nationkey + s_suppkey % 3 * 10 AS BIGINT) AS name, count(*) AS n FROM supplier GROUP BY ALL), k AS (SELECT 'n' || n_nationkey AS name FROM nation)
+SELECT name, 'duplicate' AS problem FROM c WHERE n > 1 UNION ALL SELECT name, 'unknown' FROM c WHERE name NOT IN (SELECT name FROM k)"""
+
+
+def population_order(spark, sf):
+    """Documents without the toxic ones, against a list in which every hundredth was put at the end."""
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("category"), F.col("doc_id").alias("image"), F.col("doc_id").alias("ord"))
+    out = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("image")).join(docs, "image").select("category", "image")
+    usable = docs.join(out, ["category", "image"], "left_anti").withColumn("ord", F.when(F.col("image") % 100 == 7, F.col("ord") + 100_000_000).otherwise(F.col("ord")))
+    return C.order_problems(docs, out, usable, ["category", "image"], "ord")
+
+
+QUERIES["population_order"] = population_order
+ORACLE["population_order"] = """WITH u AS (SELECT lang AS category, doc_id AS image FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+  p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY image) AS expected,
+    row_number() OVER (PARTITION BY category ORDER BY image + CASE WHEN image % 100 = 7 THEN 100000000 ELSE 0 END) AS actual FROM u)
+SELECT * FROM p WHERE expected <> actual"""
