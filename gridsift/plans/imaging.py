@@ -355,7 +355,9 @@ FROM pr a JOIN pr b USING (category, support) WHERE a.anomaly AND NOT b.anomaly
 def mask_cells(spark, sf):
     """Grid cells of the turned frame that the silhouette's pixels fall into."""
     t = posed(spark, sf).select("image", "transform")
-    px = masks(spark, sf).select("category", "image", F.posexplode("mask").alias("px", "inside")).where("inside").join(t, "image")
+    # The transform meets the image's row, before there are pixels: the size that Spark sees at the join is the true one.
+    whole = masks(spark, sf).select("category", "image", "mask").join(t, "image")
+    px = whole.select("category", "image", "transform", F.posexplode("mask").alias("px", "inside")).where("inside")
     x, y = G.column_of(F.col("px"), SIDE).cast("double"), G.row_of(F.col("px"), SIDE).cast("double")
     tf = F.col("transform")
     cell = G.cell_at(G.forward_x(tf, x, y), G.forward_y(tf, x, y), 2.0, 4, 4)
