@@ -51,8 +51,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with Scratch(spark) as scratch:
-        for name, stage in STAGES[:-1]:
-            docs = scratch.kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        for k, (name, stage) in enumerate(STAGES[:-1]):
+            before, docs = docs, scratch.kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            if k:
+                scratch.drop(before)
         name, stage = STAGES[-1]
         return scratch.result(stage(spark, docs, sf_dir), name.replace(" ", "-"))
 

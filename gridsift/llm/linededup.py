@@ -81,7 +81,8 @@ def without_repeats(docs: DataFrame, *, divisor: int = DIVISOR, least_lines: int
         chunks = chunks.select("block", F.xxhash64("block").alias("hash"), place.alias("place"))
         firsts = chunks.groupBy("hash", "block").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").drop("last")
         gone = chunks.join(firsts, ["hash", "block"]).where("place <> first").select(F.col("place.id").alias("_id"), F.col("place.row").alias("_row"), F.col("place.start").alias("start"))
-        gone = scratch.kept(gone.groupBy("_id", "_row").agg(F.collect_set("start").alias("_gone")), "gone")
+        # The one table that stays: the result reads it, and is made of the texts when it is used.
+        gone = scratch.result(gone.groupBy("_id", "_row").agg(F.collect_set("start").alias("_gone")), "gone")
 
         rows = base.withColumn("_id", F.col("doc_id")).withColumn("_row", F.xxhash64("text"))
         joined = rows.join(gone.withColumnsRenamed({"_id": "_gone_id", "_row": "_gone_row"}).hint("merge"),
@@ -90,7 +91,6 @@ def without_repeats(docs: DataFrame, *, divisor: int = DIVISOR, least_lines: int
         kept = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["start"]))
         left = F.array_join(F.flatten(F.transform(kept, lambda c: F.slice("_lines", c["start"] + 1, c["n"]))), "\n")
         removed = F.aggregate(F.filter("_chunks", lambda c: F.array_contains("_gone", c["start"])), F.lit(0).cast("long"), lambda total, c: total + c["n"])
-        result = cut.select(*[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in columns],
+        return cut.select(*[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in columns],
                             F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
                             F.when(F.col("_gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
-        return scratch.result(result, "lines")
