@@ -6,8 +6,9 @@ it is given: an exact segment (1 unit) is missed only if it differs, a segment w
 (2 units) only if two shingles differ there. With more units than possible differences one of them must be met.
 
 Costs decide twice. Per band, a model picks m and how many segments get one-deletion neighbourhoods. Per set, exact
-segments are taken in one global order, those with most shingles (the rarest) first, and only as many as are needed:
-since all sets follow the same order, as in prefix filtering, both sides need index no more than that.
+segments are taken in one global order, those with most rare shingles first, and only as many as are needed: since all
+sets follow the same order, as in prefix filtering, both sides need index no more than that. Which shingles are frequent
+is counted over all texts and told to all tasks as a bit map of fixed size; it steers costs and changes no result.
 """
 
 from __future__ import annotations
@@ -28,10 +29,21 @@ WORDS, THRESHOLD = 5, (80, 100)
 BAND = 3
 #: Margin of the units of a set over those needed, in standard deviations, in the cost model.
 MARGIN = 4.0
-#: Cost of an index entry of a single shingle against one of several: such entries meet unrelated sets.
-SINGLE_COST = 12.0
-
-SHINGLED = "doc_id long, n_shingles long, set_id long, check long, keys array<long>, short boolean"
+#: Share of frequent shingles that a set may hold before it must take segments of nothing else, and the cost of such an
+#: entry, or of a deletion that leaves a single shingle, against others: these meet unrelated sets.
+COMMON_SHARE, COMMON_COST = 0.7, 12.0
+#: A shingle is frequent from so many sets on; counts below the second number within one batch of texts are left out.
+FREQUENT, FREQUENT_IN_BATCH = 16, 3
+#: Bits of the map of frequent shingles (8 MB). Two shingles with one bit only cost time.
+MAP_BITS = 26
+#: Words of 64 bits of a set's parity sketch. Sets whose sketches differ in more bits than they may differ in shingles are
+#: told apart without their shingles.
+SKETCH = 8
+#: Where a key's sets are not connected yet, each is compared with so many others of it a round, in the order of a hash;
+#: rounds go on while they connect at least this share of the compared pairs. What is left is then compared in full.
+BESIDE, WORTH = 4, 0.02
+
+SHINGLED = "doc_id long, n_shingles long, set_id long, check long, sketch array<long>, rare int, keys array<long>, short boolean"
 GROUPED = "key long, member long, leader long"
 
 
@@ -46,7 +58,7 @@ def plan(band: int, threshold=THRESHOLD) -> tuple[int, int]:
     """(segments, those of them with one-deletion neighbourhoods) of a band, by least cost at its lower end, middle and top."""
     low, high = BAND ** band, BAND ** (band + 1) - 1
     best = None
-    for load in (0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 2.75, 3.0, 3.25, 4.0, 5.0, 6.0, 8.0):
+    for load in (0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 2.75, 3.0, 3.25, 4.0, 5.0, 6.0, 8.0):
         m = max(1, round(high / load))
         for share in (0.0, 0.25, 0.5, 1.0):
             d, cost = round(m * share), 0.0
@@ -64,8 +76,8 @@ def plan(band: int, threshold=THRESHOLD) -> tuple[int, int]:
                     cost = math.inf
                     break
                 taken = max(0.0, need - deep)
-                singles = max(0.0, taken - (m - d) * (1 - p0 - p1)) + d * (p1 + p1 * n / m)
-                cost += (taken + d * (1 - p0 - p1) + d * n / m + (SINGLE_COST - 1) * singles) / n
+                common = max(0.0, taken - (m - d) * (1 - p0 ** (1 - COMMON_SHARE))) + d * (p1 + p1 * n / m)
+                cost += (taken + d * (1 - p0 - p1) + d * n / m + (COMMON_COST - 1) * common) / n
             if best is None or cost < best[0]:
                 best = (cost, m, d)
     return (best[1], best[2]) if math.isfinite(best[0]) else (4 * high, 0)
@@ -107,7 +119,13 @@ def _sums(values: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def keys_of(text: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, bands: np.ndarray, threshold, seed: int):
+def frequent(shingles: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether the map has the bit of each shingle."""
+    place = (shingles >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return (known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def keys_of(text: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, bands: np.ndarray, threshold, seed: int, known: np.ndarray):
     """(text, index key) pairs of sets in their ``bands`` (-1: none), and which texts lack units."""
     texts = len(sizes)
     segments_of, deep_of = _bands(threshold)
@@ -129,9 +147,10 @@ def keys_of(text: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, bands: np
     deep = segment[starts] < deep_of[band[starts].astype(np.int64)]
     units = np.bincount(owner[deep], weights=np.minimum(count[deep], 2), minlength=texts).astype(np.int64)
     need = differences(sizes, threshold) + 1 - units
-    # Exact segments in the global order: most shingles first, then by key.
+    # Exact segments in the global order, which their content decides: most rare shingles first, then most, then by key.
+    rare = np.add.reduceat((~frequent(shingles, known)).astype(np.int64), starts) if len(starts) else count
     flat = np.flatnonzero(~deep)
-    flat = flat[np.lexsort((key[flat], -count[flat], owner[flat]))]
+    flat = flat[np.lexsort((key[flat], -count[flat], -rare[flat], owner[flat]))]
     first = np.searchsorted(owner[flat], np.arange(texts))
     rank = np.arange(len(flat)) - first[owner[flat]]
     taken = flat[rank < need[owner[flat]]]
@@ -148,7 +167,41 @@ def _band_of(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array([BAND ** k for k in range(1, 22)]), sizes, side="right")
 
 
-def _shingled(docs: DataFrame, size: int, threshold, seed: int, only: tuple[int, ...] | None) -> DataFrame:
+def _frequent_map(docs: DataFrame, size: int) -> np.ndarray:
+    """Bits of the shingles that many sets hold; at most 2 ** (MAP_BITS - 6) rows reach the driver."""
+    def count(batches):
+        for batch in batches:
+            every = [sets(words, size)[1] for _, _, words in chunks(batch.column(0), lower=True)]
+            shingles = np.sort(np.concatenate(every)) if every else np.zeros(0, dtype=np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(shingles) else np.zeros(0, dtype=np.int64)
+            n = np.diff(np.append(starts, len(shingles)))
+            often = n >= FREQUENT_IN_BATCH
+            yield pa.RecordBatch.from_arrays([pa.array(signed(shingles[starts[often]])), pa.array(n[often])], names=["shingle", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    places = counts.select(F.shiftrightunsigned("shingle", 64 - MAP_BITS).alias("place")).distinct()
+    table = places.groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    bits[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return bits.view(np.uint8)
+
+
+def _sketches(text: np.ndarray, shingles: np.ndarray, texts: int) -> np.ndarray:
+    """Parity of the number of shingles in each of 64 * SKETCH buckets, per text."""
+    odd = np.bincount(text * (64 * SKETCH) + (mixed(shingles ^ np.uint64(0x632BE59BD9B4E019)) % np.uint64(64 * SKETCH)).astype(np.int64),
+                      minlength=texts * 64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(texts, -1), axis=1, bitorder="little").view(np.int64).reshape(-1)
+
+
+def _apart(threshold, a: str, b: str):
+    """Whether two rows' sketches and sizes already tell that the sets are not similar."""
+    p, q = threshold
+    differing = sum((F.bit_count(F.get(f"sketch_{a}", i).bitwiseXOR(F.get(f"sketch_{b}", i))) for i in range(SKETCH)), F.lit(0))
+    n, m = F.col(f"n_shingles_{a}"), F.col(f"n_shingles_{b}")
+    return (F.greatest(n, m) * p > F.least(n, m) * q) | (differing * (p + q) > (n + m) * (q - p))
+
+
+def _shingled(docs: DataFrame, size: int, threshold, seed: int, only: tuple[int, ...] | None, known) -> DataFrame:
     def run(batches):
         for batch in batches:
             for low, high, words in chunks(batch.column(1), lower=True):
@@ -165,78 +218,110 @@ def _shingled(docs: DataFrame, size: int, threshold, seed: int, only: tuple[int,
                 lower = np.where(lives & (-(-sizes * threshold[0] // threshold[1]) < BAND ** band), band - 1, -1)
                 if only is not None:
                     bands, lower = np.where(np.isin(bands, only), bands, -1), np.where(np.isin(lower, only), lower, -1)
-                parts = [keys_of(text, shingles, sizes, b, threshold, seed) for b in (bands, lower)]
+                parts = [keys_of(text, shingles, sizes, b, threshold, seed, known.value) for b in (bands, lower)]
                 owner = np.concatenate([p[0] for p in parts])
                 order = np.argsort(owner, kind="stable")
                 keys = np.concatenate([p[1] for p in parts])[order]
                 offsets = np.searchsorted(owner[order], np.arange(texts + 1)).astype(np.int32)
-                # A set that is short in any of its bands is marked by the band: 0 if none.
+                rare = np.bincount(text, weights=~frequent(shingles, known.value), minlength=texts)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(texts + 1, dtype=np.int32) * SKETCH), pa.array(_sketches(text, shingles, texts)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, texts), pa.array(sizes.astype(np.int64)), pa.array(signed(own)), pa.array(signed(check)),
+                    [batch.column(0).slice(low, texts), pa.array(sizes.astype(np.int64)), pa.array(signed(own)), pa.array(signed(check)), sketch, pa.array(rare.astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys))), pa.array(parts[0][2] | parts[1][2])],
-                    names=["doc_id", "n_shingles", "set_id", "check", "keys", "short"])
+                    names=["doc_id", "n_shingles", "set_id", "check", "sketch", "rare", "keys", "short"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SHINGLED)
 
 
 def _stars(shingled: DataFrame) -> DataFrame:
-    """(key, member, leader): every set under a key with the smallest one there, for keys of several sets.
+    """(key, member, leader): every set under a key with the one of fewest rare shingles there, for keys of several sets.
 
-    Sets of one batch are first joined to the smallest of the batch, which alone goes on to the shuffle: however many
-    sets share a key, few rows of it arrive there.
+    In a group of near copies that one is most like the text they were made from. Sets of one batch are first joined to
+    the leader of the batch, which alone goes on to the shuffle: however many sets share a key, few rows of it arrive there.
     """
     def local(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(1)
-            member = np.repeat(ids, np.diff(lists.offsets.to_numpy()))
-            key = lists.flatten().to_numpy(zero_copy_only=False)
-            order = np.lexsort((member, key))
-            key, member = key[order], member[order]
+            ids, rares = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            lists = batch.column(2)
+            n = np.diff(lists.offsets.to_numpy())
+            member, rare, key = np.repeat(ids, n), np.repeat(rares, n), lists.flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((member, rare, key))
+            key, member, rare = key[order], member[order], rare[order]
             new = np.ones(len(key), dtype=bool)
             new[1:] = key[1:] != key[:-1]
             leader = member[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else member
             keep = new | (leader != member)
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(member[keep]), pa.array(leader[keep], mask=new[keep])], names=["key", "member", "leader"])
-
-    def across(batches):
-        last_key, last_leader = None, None
-        for batch in batches:
-            key, member = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(key):
-                continue
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = key[1:] != key[:-1]
-            new[0] = last_key is None or key[0] != last_key
-            starts = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            leader = np.where(starts >= 0, member[np.maximum(starts, 0)], last_leader if last_leader is not None else 0)
-            last_key, last_leader = key[-1], leader[-1]
-            keep = leader != member
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(member[keep]), pa.array(leader[keep])], names=["key", "member", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(member[keep]), pa.array(leader[keep], mask=new[keep]), pa.array(rare[keep])],
+                                             names=["key", "member", "leader", "rare"])
 
-    found = shingled.where(F.size("keys") > 0).select("set_id", "keys").mapInArrow(local, GROUPED)
-    heads = found.where("leader is null").select("key", "member").repartition("key").sortWithinPartitions("key", "member")
-    return found.where("leader is not null").unionByName(heads.mapInArrow(across, GROUPED))
+    found = shingled.where(F.size("keys") > 0).select("set_id", "rare", "keys").mapInArrow(local, GROUPED + ", rare int")
+    heads = found.where("leader is null").select("key", "member", "rare").repartition("key").sortWithinPartitions("key", "rare", "member")
+    return found.where("leader is not null").select("key", "member", "leader").unionByName(heads.select("key", "member").mapInArrow(_across, GROUPED))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, threshold, scratch: Scratch) -> DataFrame:
-    """``pairs`` (a, b of set ids) with ``similar``: the exact test on the whole sets, which are made again from the texts."""
-    needed = scratch.kept(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(reps.select("set_id", "doc_id"), "set_id"), "needed")
+def _across(batches):
+    """(key, member, leader) of rows (key, member) that come sorted by key: the first of a key leads the others."""
+    last_key, last_leader = None, 0
+    for batch in batches:
+        key, member = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(key):
+            continue
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        new[0] = last_key is None or key[0] != last_key
+        starts = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        leader = np.where(starts >= 0, member[np.maximum(starts, 0)], last_leader)
+        last_key, last_leader = key[-1], leader[-1]
+        keep = leader != member
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(member[keep]), pa.array(leader[keep])], names=["key", "member", "leader"])
+
+
+def _beside(batches):
+    """(a, b) of rows (key, member, part) that come sorted by key: each with the next few of its key, if of other parts."""
+    tail = None
+    for batch in batches:
+        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)])
+        key, member, part = now if tail is None else np.concatenate([tail, now], axis=1)
+        a, b = [], []
+        for step in range(1, BESIDE + 1):
+            near = (key[step:] == key[:-step]) & (part[step:] != part[:-step])
+            a.append(member[:-step][near])
+            b.append(member[step:][near])
+        tail = np.stack([key, member, part])[:, -BESIDE:]
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _sets_of(needed: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(set_id, shingles) of the sets in ``needed``, made again from one text of each."""
+    needed = needed.select("set_id").distinct().join(reps.select("set_id", "doc_id"), "set_id")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = own.join(needed.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").unionByName(
-        own.where("doc_id is null").join(needed.where("doc_id is null").limit(1).select(F.lit(1)), how="left_semi"))
+    schema = "set_id long, shingles array<long>"
 
     def run(batches):
         for batch in batches:
-            for low, high, words in chunks(batch.column(1), lower=True):
+            wanted = batch.column(1).to_numpy(zero_copy_only=False) if batch.num_columns > 1 else None
+            for low, high, words in chunks(batch.column(0), lower=True):
                 text, shingles, sizes = sets(words, size)
-                own = _sums(mixed(shingles ^ np.uint64(0x2545F4914F6CDD1D)), text, high - low)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(own)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(shingles)))],
-                                                 names=["set_id", "shingles"])
+                own = signed(_sums(mixed(shingles ^ np.uint64(0x2545F4914F6CDD1D)), text, high - low))
+                found = pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(signed(shingles)))],
+                                                   names=["set_id", "shingles"])
+                # Rows of one doc_id may differ in text: only the set that is asked for passes.
+                yield found if wanted is None else found.filter(pa.array(own == wanted[low:high]))
+
+    named = own.join(needed.where("doc_id is not null").hint("merge"), "doc_id").select("text", "set_id").mapInArrow(run, schema)
+    nameless = own.where("doc_id is null").select("text").mapInArrow(run, schema).join(needed.where("doc_id is null").select("set_id"), "set_id", "left_semi")
+    return named.unionByName(nameless).dropDuplicates(["set_id"])
+
+
+def _judged(pairs: DataFrame, reps: DataFrame, threshold) -> DataFrame:
+    """``pairs`` (a, b) with ``apart``: whether sizes and sketches alone tell that the sets are not similar."""
+    of = {s: reps.select(F.col("set_id").alias(s), F.col("n_shingles").alias(f"n_shingles_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"}
+    return pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", _apart(threshold, "a", "b").alias("apart"))
 
-    made = texts.mapInArrow(run, "set_id long, shingles array<long>").join(needed.select("set_id"), "set_id", "left_semi")
-    made = scratch.kept(made.dropDuplicates(["set_id"]), "sets")
+
+def _tested(pairs: DataFrame, shingles: DataFrame, threshold) -> DataFrame:
+    """``pairs`` (a, b) with ``similar``: the exact test on the whole sets."""
     p, q = threshold
 
     def test(batches):
@@ -250,9 +335,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, thr
                     same[i] = q * common >= p * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same)], names=["a", "b", "similar"])
 
-    joined = (pairs.join(made.select(F.col("set_id").alias("a"), F.col("shingles").alias("of_a")), "a")
-              .join(made.select(F.col("set_id").alias("b"), F.col("shingles").alias("of_b")), "b").select("a", "b", "of_a", "of_b"))
-    return scratch.kept(joined.mapInArrow(test, "a long, b long, similar boolean"), "tested")
+    joined = (pairs.join(shingles.select(F.col("set_id").alias("a"), F.col("shingles").alias("of_a")), "a")
+              .join(shingles.select(F.col("set_id").alias("b"), F.col("shingles").alias("of_b")), "b").select("a", "b", "of_a", "of_b"))
+    return joined.mapInArrow(test, "a long, b long, similar boolean")
 
 
 def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -264,15 +349,17 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
     component_id is null if no row of their group has an id. Repeated rows give repeated results. Columns besides
     doc_id and text are not read. An empty table gives an empty result.
 
-    Equal sets count as one from the start. Under each index key all sets are compared with the smallest, then, where
-    that failed, sets of different components with each other: every candidate pair is tested or already connected.
+    Equal sets count as one from the start. Under each index key all sets are compared with one leader, then, where that did
+    not connect them, with some others, and in the end all that are still of different components with each other: every
+    candidate pair is tested or already connected.
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        shingled = scratch.kept(_shingled(docs, size, threshold, 0, None), "shingled")
+        known = spark.sparkContext.broadcast(_frequent_map(docs, size))
+        shingled = scratch.kept(_shingled(docs, size, threshold, 0, None, known), "shingled")
         reps = scratch.kept(shingled.where("n_shingles > 0").groupBy("set_id", "n_shingles").agg(
-            F.min("doc_id").alias("doc_id"), F.min("check").alias("check"), F.max("check").alias("_check"), F.max("short").alias("short")).select(
-            "set_id", "n_shingles", "doc_id", "short", F.assert_true(F.col("check") == F.col("_check"), F.lit("two sets with one 64-bit id")).alias("ok")), "classes")
+            F.min("doc_id").alias("doc_id"), F.min("check").alias("check"), F.max("check").alias("_check"), F.max("short").alias("short"), F.min("sketch").alias("sketch")).select(
+            "set_id", "n_shingles", "doc_id", "short", "sketch", F.assert_true(F.col("check") == F.col("_check"), F.lit("two sets with one 64-bit id")).alias("ok")), "classes")
         grouped, seed, short = _stars(shingled), 0, reps.where("short")
         # Sets whose segments happened to be too full lack units; their bands are dealt anew until none does.
         lacking = short.select("set_id", "n_shingles")
@@ -282,39 +369,66 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
                 break
             seed += 1
             only = tuple(sorted({b for band in sizes for b in (band, band - 1)}))
-            again = scratch.kept(_shingled(docs, size, threshold, seed, only), "shingled")
+            again = scratch.kept(_shingled(docs, size, threshold, seed, only, known), "shingled")
             grouped = grouped.unionByName(_stars(again))
             lacking = lacking.join(again.where("short").select("set_id").distinct(), "set_id", "left_semi")
         grouped = scratch.kept(grouped, "grouped")
-
-        pairs = scratch.kept(grouped.select(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b")).distinct(), "pairs")
-        tested = _verified(pairs, docs, reps, size, threshold, scratch)
+        found = scratch.kept(shingled.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")), "texts")
+        scratch.drop(shingled)
+
+        sets_read: list[DataFrame] = []
+
+        def compared(pairs: DataFrame) -> DataFrame:
+            """Pairs with the exact answer; sets that no pair asked for yet are made first."""
+            asked = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+            for known in sets_read:
+                asked = asked.join(known.select("set_id"), "set_id", "left_anti")
+            asked = scratch.kept(asked, "asked")
+            if asked.head(1):
+                sets_read.append(scratch.kept(_sets_of(asked, docs, reps, size), "sets"))
+            made = functools.reduce(DataFrame.unionByName, sets_read)
+            return scratch.kept(_tested(pairs, made, threshold), "tested")
+
+        pairs = grouped.select(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b")).distinct()
+        pairs = scratch.kept(_judged(pairs, reps, threshold).where("not apart").select("a", "b"), "pairs")
+        tested = compared(pairs) if pairs.head(1) else pairs.withColumn("similar", F.lit(False))
         links = tested.where("similar").select("a", "b")
         parts = components(links, scratch)
 
-        # Keys under which some set is neither similar to nor connected with the leader.
+        # All sets under keys where some set is not connected with its leader; only those matter from here on.
         def placed(df, node, out):
             return df.join(parts.select(F.col("node").alias(node), F.col("component").alias("_part")), node, "left").withColumn(
                 out, F.coalesce("_part", node)).drop("_part")
 
-        apart = placed(placed(tested.where("not similar"), "a", "part_a"), "b", "part_b").where("part_a <> part_b").select("a", "b")
-        of_pair = [F.least("member", "leader") == F.col("a"), F.greatest("member", "leader") == F.col("b")]
-        open_keys = grouped.join(apart, of_pair, "left_semi").select("key").distinct()
-        members = grouped.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("member", "leader")).alias("node")).distinct()
-        members = placed(members, "node", "part").join(reps.select(F.col("set_id").alias("node"), "n_shingles"), "node")
-        members = scratch.kept(members, "members")
-        p, q = threshold
-        left, right = (members.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "part", "n_shingles")]) for s in "ab")
-        more = (left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("part_a") != F.col("part_b"))
-                                              & (F.greatest("n_shingles_a", "n_shingles_b") * p <= F.least("n_shingles_a", "n_shingles_b") * q))
-                .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        apart = placed(placed(grouped, "member", "part_m"), "leader", "part_l").where("part_m <> part_l").select("key").distinct()
+        members = scratch.kept(grouped.join(apart, "key", "left_semi").select("key", F.explode(F.array("member", "leader")).alias("node")).distinct(), "members")
+        scratch.drop(grouped)
+        while True:
+            open_members = placed(members, "node", "part")
+            still = open_members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+            members = scratch.kept(open_members.join(still, "key", "left_semi").select("key", "node"), "members")
+            near = placed(members, "node", "part").repartition("key").sortWithinPartitions("key", F.xxhash64("node", "part"))
+            more = near.select("key", "node", "part").mapInArrow(_beside, "a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            more = scratch.kept(_judged(more, reps, threshold).where("not apart").select("a", "b"), "pairs")
+            count = more.count()
+            if not count:
+                break
+            answered = compared(more)
+            tested, links = tested.unionByName(answered), links.unionByName(answered.where("similar").select("a", "b"))
+            parts = components(links, scratch)
+            if answered.where("similar").count() < WORTH * count:
+                break
+        sized = placed(members, "node", "part").join(reps.select(F.col("set_id").alias("node"), "n_shingles", "sketch"), "node")
+        left, right = (sized.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "part", "n_shingles", "sketch")]) for s in "ab")
+        more = (left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("part_a") != F.col("part_b")) & ~_apart(threshold, "a", "b"))
+                .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         more = scratch.kept(more, "pairs")
-        links = links.unionByName(_verified(more, docs, reps, size, threshold, scratch).where("similar").select("a", "b"))
+        if more.head(1):
+            links = links.unionByName(compared(more).where("similar").select("a", "b"))
 
         parts = components(links, scratch)
         ids = reps.select("set_id", "doc_id").join(parts.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn(
             "component", F.coalesce("component", "set_id"))
         lows = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         labels = ids.join(lows, "component").select("set_id", "component_id")
-        found = shingled.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(labels, "set_id", "left")
-        return scratch.result(found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "groups")
+        return scratch.result(found.join(labels, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "groups")
