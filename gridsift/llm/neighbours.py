@@ -3,7 +3,8 @@
 Vectors that lie close to a leader first become its ball: by the triangle inequality for angles, most pairs between balls
 need no look. The graph of the leaders starts from neighbours in several sorted random projections and is refined by
 local joins: every vector shows its neighbours, and those it is a neighbour of, to each other. A list that holds links only is
-saturated and grows. Links between leaders then decide their balls' pairs, which are counted as wholes where the angles
+saturated and grows. All links of a sample of leaders, found by comparing it with everything, tell which sizes of labels still
+lack links; those get further sorted projections until the sample's links are there. Links between leaders then decide their balls' pairs, which are counted as wholes where the angles
 allow and compared one by one where not.
 """
 
@@ -23,8 +24,12 @@ THRESHOLD = 0.93
 NEIGHBOURS = 8
 #: Sorted projections that seed the graph, sign bits of each, and neighbours taken on each side.
 TABLES, CODE_BITS, BESIDE = 8, 12, 2
-#: Rounds of local joins at most; it ends earlier once a round adds less than ``STILL`` of the links' and lists' entries.
+#: Rounds of local joins before the first audit; they end earlier once one adds less than ``STILL`` of the links' and lists' entries.
 ROUNDS, STILL = 6, 0.002
+#: Share of the audited links that must be found, and leaders that are audited per class of label sizes (powers of two).
+TARGET, AUDIT = 0.95, 4096
+#: Neighbours on each side in the tables that an audit asks for; their codes have as many bits as their label needs.
+BESIDE_MORE = 4
 #: Balls: sign bits that must agree with the leader, and the least cosine to it.
 BALL_BITS, BALL_COSINE = 16, 0.9995
 #: Vectors of one local join; larger neighbourhoods are dealt anew into such blocks each round.
@@ -88,7 +93,32 @@ def _cosines(pairs: DataFrame, a: str, b: str, keep: list[str], name: str = "cos
 def _seeds(leaders: DataFrame) -> DataFrame:
     """(u, v): neighbours in the order of each table's codes, within a label. Slices of the order are cut at partition ends."""
     coded = leaders.select("vec_id", "label", F.posexplode("codes").alias("table", "code"))
-    sorted_codes = coded.repartitionByRange("table", "label", "code", "vec_id").sortWithinPartitions("table", "label", "code", "vec_id")
+    return _beside(coded, ["table", "label", "code", "vec_id"], BESIDE)
+
+
+def _more_seeds(leaders: DataFrame, first: int, tables: int) -> DataFrame:
+    """(u, v): neighbours in ``tables`` further tables, for leaders with ``bits``: sign bits as many as tell a label's vectors
+    apart, so that the neighbours are those of one code, and a further projection as the order within a code."""
+    def run(batches):
+        for batch in batches:
+            vec, label, bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            length = np.diff(batch.column(2).offsets.to_numpy())
+            for size in np.unique(length):
+                at = np.flatnonzero(length == size)
+                unit = _matrix(batch.column(2).take(pa.array(at)))
+                for table in range(first, first + tables):
+                    shown = unit @ _planes(64, int(size), SEED + 1 + table)
+                    signs = (shown[:, :63] > 0) @ (1 << np.arange(62, -1, -1, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(vec[at]), pa.array(label[at]), pa.array(np.full(len(at), table, dtype=np.int32)),
+                         pa.array(signs >> (63 - bits[at])), pa.array(shown[:, 63])], names=["vec_id", "label", "table", "code", "within"])
+
+    coded = leaders.select("vec_id", "label", "unit", "bits").mapInArrow(run, "vec_id long, label long, table int, code long, within double")
+    return _beside(coded, ["table", "label", "code", "within", "vec_id"], BESIDE_MORE)
+
+
+def _beside(coded: DataFrame, order: list[str], beside: int) -> DataFrame:
+    sorted_codes = coded.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
         tail = None
@@ -97,10 +127,10 @@ def _seeds(leaders: DataFrame) -> DataFrame:
             both = now if tail is None else np.concatenate([tail, now], axis=1)
             vec, label, table = both
             pairs = []
-            for step in range(1, BESIDE + 1):
+            for step in range(1, beside + 1):
                 same = (label[step:] == label[:-step]) & (table[step:] == table[:-step]) & (vec[step:] != vec[:-step])
                 pairs.append(np.stack([vec[:-step][same], vec[step:][same]]))
-            tail = both[:, -BESIDE:]
+            tail = both[:, -beside:]
             u, v = np.concatenate(pairs, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
@@ -142,11 +172,45 @@ def _local_joins(graph: DataFrame, leaders: DataFrame, round_no: int, threshold:
     return rows.select("ids", "fresh", "units").mapInArrow(run, "u long, v long, cosine double").where("u <> v").groupBy("u", "v").agg(F.max("cosine").alias("cosine"))
 
 
-def neighbour_graph(leaders: DataFrame, scratch: Scratch, *, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
+def _audit(leaders: DataFrame, labels: DataFrame, threshold: float, sample: int) -> DataFrame:
+    """(size_class, u, v): all links of about ``sample`` leaders per class of label sizes, by comparing them with their whole label.
+
+    The sample is drawn by a hash of the id. It is sent to all tasks: its size follows from the number of classes alone.
+    """
+    spark = leaders.sparkSession
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < F.ceil(F.lit(float(sample)) / F.col("total") * (1 << 30))
+    held = leaders.select("vec_id", "label", "unit").join(labels, "label").where(drawn).select("vec_id", "label", "unit", "size_class").toArrow()
+    rows: dict[tuple[int, int], list] = {}
+    for vec_id, label, unit, size_class in zip(*[c.to_pylist() for c in held.columns]):
+        rows.setdefault((label, len(unit)), []).append((vec_id, unit, size_class))
+    shared = spark.sparkContext.broadcast({k: (np.array([r[0] for r in v]), np.array([r[1] for r in v]), v[0][2]) for k, v in rows.items()})
+
+    def run(batches):
+        for batch in batches:
+            vec, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            length = np.diff(batch.column(2).offsets.to_numpy())
+            for key in set(zip(label.tolist(), length.tolist())) & set(shared.value):
+                ids, x, size_class = shared.value[key]
+                at = np.flatnonzero((label == key[0]) & (length == key[1]))
+                for part in np.array_split(at, -(-len(at) // 512)):
+                    i, j = np.nonzero(_matrix(batch.column(2).take(pa.array(part))) @ x.T >= threshold + 1e-9)
+                    u, v = vec[part[i]], ids[j]
+                    other = u != v
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(other.sum(), size_class, dtype=np.int32)), pa.array(np.minimum(u, v)[other]), pa.array(np.maximum(u, v)[other])],
+                        names=["size_class", "u", "v"])
+
+    return leaders.select("vec_id", "label", "unit").mapInArrow(run, "size_class int, u long, v long").distinct()
+
+
+def neighbour_graph(leaders: DataFrame, scratch: Scratch, *, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS,
+                    target: float = TARGET, sample: int = AUDIT) -> DataFrame:
     """(u, v, cosine) with u < v: neighbour lists of the leaders (vec_id, label, unit, codes), all found links among them.
 
     A list holds ``neighbours`` entries, and as long as all of them are links it takes twice as many: all links of a
-    vector stay. Links found are always exact; whether all are found is what ``recall`` measures.
+    vector stay. Links found are always exact. Whether all are found is audited per class of label sizes on about ``sample``
+    leaders each: classes with less than ``target`` of their links get twice as many tables as before and a further round of
+    local joins, until every class has it. Each table finds each link with a chance that no table before it changes.
     """
     def pruned(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         each = pairs.select(F.col("u").alias("x"), F.col("v").alias("y"), "cosine").unionByName(pairs.select(F.col("v").alias("x"), F.col("u").alias("y"), "cosine"))
@@ -169,7 +233,27 @@ def neighbour_graph(leaders: DataFrame, scratch: Scratch, *, threshold: float =
         total, fresh = graph.agg(F.count(F.lit(1)), F.sum(F.col("fresh").cast("long"))).head()
         if not total or (fresh or 0) <= STILL * total:
             break
-    return graph.select("u", "v", "cosine")
+
+    labels = leaders.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("size_class", F.floor(F.log2("n")).cast("int"))
+    labels = scratch.kept(labels.join(labels.groupBy("size_class").agg(F.sum("n").alias("total")), "size_class"), "labels")
+    audited = scratch.kept(_audit(leaders, labels, threshold, sample), "audited")
+    bits = F.greatest(F.lit(CODE_BITS), F.least(F.lit(62), F.col("size_class") + 1)).cast("long")
+    first, tables = TABLES, TABLES
+    while True:
+        found = F.sum(F.col("cosine").isNotNull().cast("long")) / F.count(F.lit(1))
+        short = audited.join(graph, ["u", "v"], "left").groupBy("size_class").agg(found.alias("recall")).where(F.col("recall") < target)
+        short = [row.size_class for row in short.collect()]  # at most 63 classes
+        if not short:
+            return graph.select("u", "v", "cosine")
+        of_short = leaders.join(labels.where(F.col("size_class").isin(short)).select("label", bits.alias("bits")), "label")
+        more = _more_seeds(of_short, first, tables).join(units.withColumnsRenamed({"vec_id": "u", "unit": "of_u"}), "u").join(
+            units.withColumnsRenamed({"vec_id": "v", "unit": "of_v"}), "v")
+        merged = graph.select("u", "v", "cosine").unionByName(_cosines(more, "of_u", "of_v", ["u", "v"])).groupBy("u", "v").agg(F.max("cosine").alias("cosine"))
+        graph = scratch.kept(pruned(merged, graph), "graph")
+        found = _local_joins(graph, leaders, first, threshold)
+        merged = graph.select("u", "v", "cosine").unionByName(found).groupBy("u", "v").agg(F.max("cosine").alias("cosine"))
+        graph = scratch.kept(pruned(merged, graph), "graph")
+        first, tables = first + tables, 2 * tables
 
 
 def linked(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:

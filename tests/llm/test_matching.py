@@ -191,6 +191,21 @@ def test_vectors(spark):
     assert neighbours.linked(vectors.limit(0)).count() == 0
 
 
+def test_vectors_of_a_large_label(spark):
+    """Pairs just above the threshold, far from all else: nothing leads to them but the tables."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((20000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((400, 64))
+    side -= (side * base[:400]).sum(1, keepdims=True) * base[:400]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.932, 0.97, (400, 1))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, cosine * base[:400] + np.sqrt(1 - cosine**2) * side]))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(8)
+    got = {r.vec_id for r in neighbours.linked(vectors).where("n_links > 0").collect()}
+    assert len(got & set(range(400))) >= 0.9 * 400 and got <= {*range(400), *range(20000, 20400)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 200)]
     with Scratch(spark) as scratch:
