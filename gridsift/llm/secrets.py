@@ -1,4 +1,4 @@
-"""Secret scan: long tokens are candidates, and a random forest removes those that are none.
+"""Secret scan: long tokens and values assigned to key words are candidates, and a random forest removes those that are none.
 
 The forest sees a candidate's length, its runs of character classes, how much of it the corpus's common words cover, the
 path, and the words around it. Everything is DataFrame expressions and Spark ML, which runs in the JVM.
@@ -12,7 +12,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
 #: Characters around a candidate that are looked at.
 BEFORE, AFTER = 32, 16
 #: Common words: so many, of such lengths. A fixed number of short words, found by counting all documents.
@@ -25,6 +24,15 @@ KEY_WORDS = "key token secret passw pwd api auth credential bearer private"
 OTHER_WORDS = "commit sha md5 checksum hash digest uuid guid etag revision version isbn order invoice card phone id"
 EXAMPLE_WORDS = "example sample dummy placeholder your test fake mock fixture changeme xxxx"
 
+#: Name with a key word, sign of an assignment and opening quote: what stands before an assigned value.
+ASSIGNMENT = (r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{0,40}?(?i:" + "|".join(KEY_WORDS.split()) + r")[A-Za-z0-9_\-]{0,40}[\"']?\s{0,4}(?::=|=>|[=:])\s{0,4}")
+#: Assigned values: whatever the quotes hold, or all up to a blank, quote or separator, without the stop of a sentence.
+_VALUE = r"(?:\"[^\"\n]{4,}+(?=\")|'[^'\n]{4,}+(?=')|[^\s\"'<>;,&]{3,}(?<=[^\s\"'<>;,&.:!?)\]}]))"
+#: Tokens: several with dots between them, or a long one; '=' belongs to it as padding at its end only.
+_DOTTED = r"[A-Za-z0-9_\-]{2,}+(?:\.[A-Za-z0-9_\-]{10,}+)+"
+_TOKEN = r"[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=\-\"']))?"
+CANDIDATE = f"{ASSIGNMENT}{_VALUE}|{_DOTTED}|{_TOKEN}"
+
 FEATURES = ("length", "runs", "digits", "upper", "distinct", "hex", "words", "key_near", "assigned", "quoted", "other_near", "example_near", "example_path")
 
 
@@ -37,12 +45,20 @@ def dictionary(docs: DataFrame) -> list[str]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row per candidate: doc_id, path, start (character, from 0), candidate, before, after."""
+    """One row per candidate: doc_id, path, start (character, from 0), candidate, before, after.
+
+    Of an assignment the value is the candidate; its name and quote belong to what is before.
+    """
     found = docs.where("text is not null").select(
         "doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("_found"), F.split("text", CANDIDATE, -1).alias("_between"))
     found = found.where(F.size("_found") > 0)
+    # The whole match decides: a token that only looks like an assignment at its start has no value behind it.
+    led = F.transform("_found", lambda c: F.regexp_extract(c, f"^({ASSIGNMENT}(?:\"(?=[^\"\\n]{{4,}}$)|'(?=[^'\\n]{{4,}}$))?)(?s:.{{3,}})$", 1))
+    found = found.withColumn("_led", led)
     each = F.transform("_found", lambda c, i: F.struct(
-        c.alias("candidate"), F.right(F.get("_between", i), F.lit(BEFORE)).alias("before"), F.left(F.get("_between", i + 1), F.lit(AFTER)).alias("after"),
+        F.substring(c, F.length(F.get("_led", i)) + 1, F.length(c)).alias("candidate"),
+        F.right(F.concat(F.get("_between", i), F.get("_led", i)), F.lit(BEFORE)).alias("before"),
+        F.left(F.concat(F.get("_between", i + 1), F.coalesce(F.get("_found", i + 1), F.lit(""))), F.lit(AFTER)).alias("after"),
         (F.length(F.get("_between", i)) + F.length(c)).alias("step")))
     # A candidate starts behind all text before it: summed up along the list.
     placed = F.aggregate(each, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
@@ -53,6 +69,21 @@ def candidates(docs: DataFrame) -> DataFrame:
                        F.col("_row.c.before").alias("before"), F.col("_row.c.after").alias("after"))
 
 
+def labelled(findings: DataFrame) -> DataFrame:
+    """The candidates of the labelled texts (before, candidate and after, joined) with their label ``secret``.
+
+    The labelled candidate has its label, others beside it are none; what only overlaps with it teaches nothing.
+    """
+    texts = findings.where("secret is not null and candidate is not null").select(
+        F.struct(F.coalesce("before", F.lit("")).alias("before"), "candidate", "secret").alias("doc_id"), "path",
+        F.concat(F.coalesce("before", F.lit("")), "candidate", F.coalesce("after", F.lit(""))).alias("text"))
+    start, size, low = F.length("doc_id.before"), F.length("doc_id.candidate"), F.col("start")
+    rows = candidates(texts)
+    same = (low == start) & (F.col("candidate") == F.col("doc_id.candidate"))
+    apart = (low + F.length("candidate") <= start) | (low >= start + size)
+    return rows.where(same | apart).select("path", "candidate", "before", "after", F.when(same, F.col("doc_id.secret")).otherwise(0).alias("secret"))
+
+
 def _any(words: str) -> str:
     return "(?i)(" + "|".join(words.split()) + ")"
 
@@ -79,7 +110,7 @@ def featured(rows: DataFrame, words: list[str]) -> DataFrame:
 
 def fitted(findings: DataFrame, words: list[str]) -> PipelineModel:
     """Forest from labelled findings (candidate, before, after, path, secret: 0 or 1); rows without a label are not used."""
-    rows = featured(findings.where("secret is not null and candidate is not null"), words)
+    rows = featured(labelled(findings), words)
     assembler = VectorAssembler(inputCols=[f"_f_{name}" for name in FEATURES], outputCol="_features")
     forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_guess",
                                     numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(assembler.transform(rows).withColumn("_label", F.col("secret").cast("double")))
