@@ -33,7 +33,7 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg lb lbs
 
 _NUMBER, _NAME, _UNIT = 1, 2, 3
 _KIND_HASH = mixed(np.array([0, 11, 22, 33], dtype=np.uint64))
-_HIT = "hash long, position int, slots array<int>, kinds array<int>, values array<long>"
+_HIT = "hash long, position int, slots array<int>, kinds array<int>, values array<long>, reading int"
 
 
 @functools.cache
@@ -49,11 +49,12 @@ def _units() -> np.ndarray:
     return np.sort(Words(data, np.array([0, len(data)]), lower=True).hashes)
 
 
-def canonical(words: Words):
+def canonical(words: Words, opening: bool = False):
     """(text, hash, kind, value) of the canonical tokens; the kind is 0 for a word, the value tells fillings apart.
 
     A number is a token of digits; parts joined by one of ``.,:/`` are one number. A unit is one of the list behind a
-    number. A name starts with an upper-case letter (A-Z), goes on with something else than one and does not start a sentence.
+    number. A name starts with an upper-case letter (A-Z), goes on with something else than one and does not start a sentence,
+    unless ``opening`` says that what starts one is read as a name as well.
     """
     _, digit, upper, ends, joins = _classes()
     data, starts, stops = words.data, words.starts, words.ends
@@ -72,7 +73,7 @@ def canonical(words: Words):
     part[1:] = number[1:] & number[:-1] & ~new[1:] & (gap[1:] == 1) & joins[before[1:]]
     opens = new | (before == 10) | ((before == 32) & ends[second])
     after = data[np.minimum(starts + 1, len(data) - 1)]
-    name = upper[data[starts]] & (stops - starts > 1) & ~upper[after] & ~opens
+    name = upper[data[starts]] & (stops - starts > 1) & ~upper[after] & (opening | ~opens)
     unit = np.zeros(len(starts), dtype=bool)
     unit[1:] = number[:-1] & ~new[1:] & np.isin(words.hashes[1:], _units())
     kind = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, 0)))
@@ -85,31 +86,39 @@ def canonical(words: Words):
     return text[first], np.where(kind == 0, words.hashes[first], _KIND_HASH[kind]), kind, value
 
 
-def windows(words: Words, window: int, least_words: int):
+def windows(words: Words, window: int, least_words: int, opening: bool = False):
     """(text, position, hash, first token) of the windows with enough words that are no placeholders, and all tokens."""
-    text, h, kind, value = canonical(words)
+    text, h, kind, value = canonical(words, opening)
     first = np.searchsorted(text, np.arange(len(words.first)))
     at, key = grams(h, first, window)
-    plain = np.concatenate([[0], np.cumsum(kind == 0)])
+    # What starts a sentence counts as a word under either reading, so both have the same windows.
+    plain = np.concatenate([[0], np.cumsum((canonical(words)[2] if opening else kind) == 0)])
     enough = plain[at + window] - plain[at] >= least_words
     at, key = at[enough], key[enough]
     return text[at], at - first[text[at]], key, at, kind, value
 
 
-def _rows(batch, chunk_from, words, window, least_words, bits):
-    """Windows of one slice as Arrow columns (id, hash, position, slots, kinds, values)."""
-    text, position, key, at, kind, value = windows(words, window, least_words)
+#: Readings of a capitalised token that starts a sentence: a word, a name; windows without one are the same in both.
+_AS_WORD, _AS_NAME, _BOTH = 0, 1, 2
+
+
+def _rows(batch, chunk_from, words, window, least_words, bits, opening):
+    """Windows of one slice under one reading as Arrow columns (id, hash, position, slots, kinds, values, reading)."""
+    text, position, key, at, kind, value = windows(words, window, least_words, opening)
+    differs = np.concatenate([[0], np.cumsum(kind != canonical(words, not opening)[2])])
+    reading = np.where(differs[at + window] > differs[at], _AS_NAME if opening else _AS_WORD, _BOTH)
+    keep = ~(opening & (reading == _BOTH))
     if bits is not None:
         place = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-        keep = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-        text, position, key, at = text[keep], position[keep], key[keep], at[keep]
+        keep &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    text, position, key, at, reading = text[keep], position[keep], key[keep], at[keep], reading[keep]
     grid = at[:, None] + np.arange(window)
     filled = kind[grid] > 0 if len(at) else np.zeros((0, window), dtype=bool)
     row, slot = np.nonzero(filled)
     offsets = pa.array(np.concatenate([[0], np.cumsum(filled.sum(1))]).astype(np.int32))
     inner = grid[row, slot] if len(at) else row
     lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (slot.astype(np.int32), kind[inner].astype(np.int32), signed(value[inner]))]
-    return [batch.column(0).take(pa.array(chunk_from + text)), pa.array(signed(key)), pa.array(position.astype(np.int32)), *lists]
+    return [batch.column(0).take(pa.array(chunk_from + text)), pa.array(signed(key)), pa.array(position.astype(np.int32)), *lists, pa.array(reading.astype(np.int32))]
 
 
 def _hits(rows: DataFrame, window: int, least_words: int, bits=None, key: str = "doc_id") -> DataFrame:
@@ -117,8 +126,9 @@ def _hits(rows: DataFrame, window: int, least_words: int, bits=None, key: str =
         held = bits.value if bits is not None else None
         for batch in batches:
             for low, _, words in chunks(batch.column(1), lower=True, letters=_classes()[0]):
-                yield pa.RecordBatch.from_arrays(_rows(batch, low, words, window, least_words, held),
-                                                 names=[key, "hash", "position", "slots", "kinds", "values"])
+                for opening in (False, True):
+                    yield pa.RecordBatch.from_arrays(_rows(batch, low, words, window, least_words, held, opening),
+                                                     names=[key, "hash", "position", "slots", "kinds", "values", "reading"])
 
     return rows.mapInArrow(run, f"{key} long, {_HIT}")
 
@@ -150,11 +160,14 @@ def contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, lea
 
         texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         found = _hits(texts, window, least_words, shared)
-        theirs = wanted.select("item_id", "hash", F.col("position").alias("item_position"), F.col("values").alias("item_values"))
+        theirs = wanted.select("item_id", "hash", F.col("position").alias("item_position"), F.col("values").alias("item_values"), F.col("reading").alias("item_reading"))
+        # Copies are judged under each reading by itself, so that one reading spoils none of the other.
+        readings = F.when((F.col("reading") == _AS_NAME) | (F.col("item_reading") == _AS_NAME), F.array(F.lit(_AS_NAME))).when(
+            (F.col("reading") == _BOTH) & (F.col("item_reading") == _BOTH), F.array(F.lit(_AS_WORD), F.lit(_AS_NAME))).otherwise(F.array(F.lit(_AS_WORD)))
         met = found.join(theirs, "hash").select(
             "doc_id", "item_id", (F.col("position") - F.col("item_position")).alias("distance"), "item_position",
-            F.arrays_zip(F.col("kinds").alias("kind"), F.col("item_values").alias("item"), F.col("values").alias("doc")).alias("filled"))
-        copies = met.groupBy("doc_id", "item_id", "distance").agg(F.collect_set("item_position").alias("positions"),
+            F.arrays_zip(F.col("kinds").alias("kind"), F.col("item_values").alias("item"), F.col("values").alias("doc")).alias("filled"), F.explode(readings).alias("as"))
+        copies = met.groupBy("doc_id", "item_id", "distance", "as").agg(F.collect_set("item_position").alias("positions"),
                                                                   F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
         # Units may be others from place to place; numbers and names may not.
         named = F.filter("filled", lambda f: f["kind"] != _UNIT)

@@ -227,6 +227,16 @@ def test_benchmark(spark):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_benchmark_names_that_open_sentences(spark):
+    items = [(1, "Alice has 5 apples. Bob gives Alice 7 apples. Carol takes 3 apples. How many apples are left?"),
+             (2, "Weng earns 12 dollars an hour. Weng worked 50 minutes of babysitting yesterday. How much did Weng earn?")]
+    rows = [(1, "Dave has 8 apples. Erin gives Dave 9 apples. Frank takes 2 apples. How many apples are left?"),
+            (2, "Tina earns 15 dollars an hour. Tina worked 40 minutes of babysitting yesterday. How much did Tina earn?"),
+            (3, "Dave has 8 apples. Erin gives Zoe 9 apples. Frank takes 2 apples. How many apples are left?")]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2)}
+
+
 def test_benchmark_query_finds_whole_items(spark):
     from gridsift.llm.queries import op2_decontaminate
     sf = "/root/testdata/sf0.01"
