@@ -181,5 +181,41 @@ SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_lines, coalesce(sum(n) FILTER
 FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-QUERIES = {"op4_urls": op4_urls, "op6_secrets": op6_secrets, "op3_neighbours": op3_neighbours, "op2_decontaminate": op2_decontaminate, "op10_linededup": op10_linededup, "op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_substring": op8_substring, "op9_warc": op9_warc}
-ORACLE = {"op3_neighbours": OP3_SQL, "op10_linededup": OP10_SQL, "op8_substring": OP8_SQL, "op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL}
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridsift.llm.alignment import scored
+    return scored(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridsift.llm.packing import packed
+    return packed(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_search(spark: SparkSession, sf: str) -> DataFrame:
+    from gridsift.llm.search import searched
+    return searched(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+totals AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_all FROM words),
+item_words AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+asked AS (SELECT item_id, t, count(*) AS q FROM item_words GROUP BY ALL),
+held AS (SELECT doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM words) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM held, totals GROUP BY t, n_docs),
+scores AS (
+  SELECT item_id, doc_id, sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_all))))::BIGINT AS score
+  FROM asked JOIN held USING (t) JOIN weights USING (t), totals GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20
+"""
+
+QUERIES = {"op4_urls": op4_urls, "op6_secrets": op6_secrets, "op3_neighbours": op3_neighbours, "op2_decontaminate": op2_decontaminate, "op10_linededup": op10_linededup, "op1_bpe": op1_bpe, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_substring": op8_substring, "op9_warc": op9_warc, "op11_alignment": op11_alignment,
+           "op12_packing": op12_packing, "op13_search": op13_search}
+ORACLE = {"op3_neighbours": OP3_SQL, "op10_linededup": OP10_SQL, "op8_substring": OP8_SQL, "op5_jaccard": OP5_SQL, "op9_warc": OP9_SQL, "op13_search": OP13_SQL}
