@@ -12,8 +12,8 @@ import array
 import functools
 import heapq
 import json
-import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gridsift.session import Scratch
 
 #: Ids of so many words are remembered by a worker, none longer than LONG bytes. It bounds memory and changes no result.
-WORDS, LONG = 1 << 18, 64
-#: A lone mark between an ASCII letter and white space is a word of its own.
-_MARK = re.compile(rb"(?<=[A-Za-z])[.,;:!?](?=[ \t\n\r\x0b\x0c]|\Z)")
-#: Tokens of a table slice that are held at once; a longer text is handled alone.
-SLICE_TOKENS = 1 << 19
+WORDS, LONG = 1 << 19, 64
+_LETTER, _MARK, _SPACE = (np.isin(np.arange(256), list(some)) for some in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b".,;:!?", b" \t\n\r\x0b\x0c"))
+
+
+def _parted(data: bytes) -> bytes:
+    """A space before each lone mark between an ASCII letter and white space, which is a word of its own."""
+    byte = np.frombuffer(data, dtype=np.uint8)
+    at = np.flatnonzero(_MARK[byte[1:-1]] & _LETTER[byte[:-2]] & _SPACE[byte[2:]]) + 1 if len(byte) > 2 else []
+    return np.insert(byte, at, 32).tobytes() if len(at) else data
+
+#: Characters of text handled at once; a longer text is handled alone.
+SLICE = 1 << 20
 
 
 class WordEncoder:
@@ -50,18 +57,33 @@ class WordEncoder:
         self.known.update((w, ids) for w, ids in found.items() if len(w) <= LONG)
         return found
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        data = text.encode()
-        if self.lowers and not any(t in data.lower() for t in self.added):
-            data = data.lower()  # A-Z alone; the rest is left to the tokenizer
-        words = _MARK.sub(rb" \g<0>", data).split()  # only ASCII white space; the rest is left to the tokenizer
-        parts = list(map(self.known.get, words))
-        if None in parts:
-            have = dict(zip(words, parts))
-            have |= self._learn([w for w, ids in have.items() if ids is None])
-            parts = list(map(have.get, words))
-        return b"".join(parts)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; words that are new are encoded together."""
+        split = []
+        for text in texts:
+            data = text.encode()
+            if self.lowers and not any(t in data.lower() for t in self.added):
+                data = data.lower()  # A-Z alone; the rest is left to the tokenizer
+            split.append(_parted(data).split())  # only ASCII white space; the rest is left to the tokenizer
+        every: set[bytes] = set()
+        for words in split:
+            every.update(words)
+        coded = {w: self.known.get(w) for w in every}
+        coded |= self._learn([w for w, ids in coded.items() if ids is None])
+        return [b"".join(map(coded.__getitem__, words)) for words in split]
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of parts of a column, nulls as empty texts."""
+    low, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= SLICE:
+            yield low, held
+            low, held, size = i + 1, [], 0
+    if held:
+        yield low, held
 
 
 @functools.lru_cache(maxsize=2)
@@ -102,17 +124,13 @@ def pieces(docs: DataFrame, path: str, *, capacity: int, end_id: int, with_ids:
             return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         for batch in batches:
-            rows, held = [], 0
-            for i, text in enumerate(batch.column(1)):
-                ids = memoryview(encoder.encode(text.as_py() or "") + end)
-                for number, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start:start + 4 * capacity]
-                    rows.append((i, number, start // 4, len(part) // 4, zlib.crc32(part), bytes(part) if with_ids else None))
-                held += len(ids)
-                if held >= 4 * SLICE_TOKENS:
-                    yield table(batch, rows)
-                    rows, held = [], 0
-            if rows:
+            for low, texts in slices(batch.column(1)):
+                rows = []
+                for i, coded in enumerate(encoder.encode(texts), low):
+                    ids = memoryview(coded + end)
+                    for number, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[start:start + 4 * capacity]
+                        rows.append((i, number, start // 4, len(part) // 4, zlib.crc32(part), bytes(part) if with_ids else None))
                 yield table(batch, rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
