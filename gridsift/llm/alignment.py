@@ -28,7 +28,7 @@ HEAD = 1 << 19
 #: Bytes of text and links handled at once; one document may exceed the first alone. They bound memory and change no result.
 SLICE_BYTES, SLICE_LINKS = 1 << 20, 1 << 22
 #: Pieces of text whose ids a worker remembers, none longer than LONG characters.
-KNOWN, LONG = 1 << 18, 64
+KNOWN, LONG = 1 << 19, 64
 
 #: A pair is (id of A) * 2^B_BITS + (id of B) in a signed 64-bit integer.
 B_BITS = 31
@@ -104,17 +104,18 @@ class Both:
         self.known.update((part, ids) for part, ids in found.items() if len(part) <= LONG)
         return found
 
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """32-bit ids of both sides; none at all if a side does not give back the text."""
-        if not text:
-            return b"", b""
-        text = " " + text
-        parts = _PARTS.split(text) if self.a.parts and self.b.parts else [text]
-        coded = list(map(self.known.get, parts))
-        if None in coded:
-            have = dict(zip(parts, coded))
-            have |= self._learn([part for part, ids in have.items() if ids is None])
-            coded = list(map(have.get, parts))
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """32-bit ids of both sides for each text; none at all if a side does not give back the text. New parts are encoded together."""
+        whole = [" " + text if text else "" for text in texts]
+        split = [(_PARTS.split(text) if self.a.parts and self.b.parts else [text]) if text else [] for text in whole]
+        every: set[str] = set()
+        for parts in split:
+            every.update(parts)
+        coded = {part: self.known.get(part) for part in every}
+        coded |= self._learn([part for part, ids in coded.items() if ids is None])
+        return [self._joined(text, [coded[part] for part in parts]) if parts else (b"", b"") for text, parts in zip(whole, split)]
+
+    def _joined(self, text: str, coded: list[tuple[bytes, bytes, bool]]) -> tuple[bytes, bytes]:
         a, b, same = zip(*coded)
         a, b = b"".join(a), b"".join(b)
         if not all(same):
@@ -271,7 +272,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         both = _both(a_path, b_path)
         for batch in batches:
             for low, texts in _slices(batch):
-                found = Aligned(both, [both.encode(t) for t in texts])
+                found = Aligned(both, both.encode(texts))
                 a0, b0, g0 = (np.concatenate([[0], np.cumsum(n)]) for n in (found.n_a, found.n_b, found.n_groups))
                 groups = [_lists(found.a_ids, a0, pa.int32()), _lists(found.b_ids, b0, pa.int32()), _lists(found.a_upto - a0[found.group_doc], g0, pa.int32()),
                           _lists(found.b_upto - b0[found.group_doc], g0, pa.int32()), _lists(found.group_end, g0, pa.int64())]
@@ -296,7 +297,7 @@ def linked(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             texts_only = batch.select(["doc_id", "text"])
             for low, texts in _slices(texts_only):
-                found = Aligned(both, [both.encode(t) for t in texts])
+                found = Aligned(both, both.encode(texts))
                 sha, seen = found.wording(both), np.zeros(len(texts), dtype=bool)
                 for doc, pair, times in found.pairs(0, len(texts)):
                     have, start = np.unique(doc, return_index=True)

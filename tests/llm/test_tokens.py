@@ -58,16 +58,16 @@ def groups(both, text):
 
 def test_ids_of_parts_are_those_of_whole_texts(both):
     rng = random.Random(5)
-    for text in [joined(rng, 12) for _ in range(3000)] + TEXTS:
+    texts = [joined(rng, 12) for _ in range(3000)] + TEXTS
+    for text, got in zip(texts, both.encode(texts)):
         (a, _), (b, _) = tokens(both, text)
-        got = both.encode(text)
         assert [np.frombuffer(g, "<i4").tolist() for g in got] == [a, b], repr(text)
 
 
 def test_links_of_long_documents(both, monkeypatch):
     rng = random.Random(6)
     texts = [joined(rng, 60) for _ in range(40)] + TEXTS
-    found = alignment.Aligned(both, [both.encode(t) for t in texts])
+    found = alignment.Aligned(both, both.encode(texts))
     want = collections.Counter()
     for d, text in enumerate(texts):
         for a, b, _ in groups(both, text):
