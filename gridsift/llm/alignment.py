@@ -144,7 +144,8 @@ class Aligned:
         b = pd.DataFrame({"doc": self.b_doc, "at": b_end - both.b.lengths[self.b_ids], "b": np.arange(len(b_end))})
         # Documents follow each other on one scale of bytes, the same for both sides as their bytes are.
         over = np.concatenate([(x.a.to_numpy() << 32) + x.b.to_numpy() for x in (pd.merge_asof(a, b, on="at", by="doc"), pd.merge_asof(b, a, on="at", by="doc"))])
-        over = np.unique(over)
+        over.sort(kind="stable")  # two rising runs
+        over = over[np.concatenate([[True], over[1:] != over[:-1]])] if len(over) else over
         i, j = over >> 32, over & 0xFFFFFFFF
         #: Overlaps, and those that close a group.
         self.overlaps, closing = (i, j), a_end[i] == b_end[j]
