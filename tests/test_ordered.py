@@ -91,3 +91,40 @@ def test_latency_quantiles(spark):
     df = spark.createDataFrame([(1, float(v)) for v in (1, 2, 3, 4)], "k int, value double")
     row = D.quantiles(df, ["k"], [.5, .95]).head()
     assert row.p50 == 2.5 and row.p95 == pytest.approx(3.85)
+
+
+def test_scan_goes_on_over_batches_and_slices(spark, many_slices):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = rows(spark, 900).withColumn("x", F.col("v") / 8.0)
+        got = O.running(df, ["key"], [("v", "asc"), ("id", "asc")], sums={"run": "v", "real": "x"}, lasts={"seen": "mark"}, lags={"before": "id"}, totals=True)
+        w = Window.partitionBy("key").orderBy("v", "id")
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        want = df.select(*df.columns, F.sum("v").over(upto).alias("run"), F.sum("x").over(upto).alias("real"), F.last("mark", ignorenulls=True).over(upto).alias("seen"),
+                         F.lag("id").over(w).alias("before"), F.sum("v").over(Window.partitionBy("key")).alias("run_total"), F.sum("x").over(Window.partitionBy("key")).alias("real_total"))
+        assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == want.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_scan_of_one_hot_key_and_of_nothing(spark, many_slices):
+    df = spark.range(5000).select(F.lit("k").alias("key"), "id")
+    got = O.numbered(df, ["key"], [("id", "desc")])
+    assert got.where("position <> 5000 - id").count() == 0 and got.count() == 5000
+    assert O.running(df.where("id < 0"), ["key"], [("id", "asc")], sums={"s": "id"}, lags={"b": "id"}, totals=True).collect() == []
+
+
+def test_quantiles_of_hard_values(spark):
+    rng = np.random.default_rng(4)
+    parts = {"tiny": rng.normal(0, 1e-300, 500), "wide": 10.0 ** rng.uniform(-300, 300, 800) * rng.choice([-1, 1], 800), "close": 1 + np.arange(300) * 2.0 ** -52,
+             "one": np.full(50, -3.5), "zeros": np.array([0.0, -0.0, 0.0, 5e-324, -5e-324]), "ends": np.array([np.inf, -np.inf, 1.0, 2.0, 3.0]), "single": np.array([7.25])}
+    data = [(k, float(v), int(w)) for k, values in parts.items() for v, w in zip(values, rng.integers(1, 4, len(values)))] + [("none", None, 1), (None, 2.0, 1)]
+    df = spark.createDataFrame(data, "k string, value double, w long").repartition(5)
+    p = [0, .05, .5, .9, .95, 1]
+    got = {r.k: r for r in D.quantiles(df.where("value is not null"), ["k"], p, nearest_rank=True).collect()}
+    heavy = {r.k: r for r in D.quantiles(df.where("value is not null"), ["k"], p, weight="w", nearest_rank=True).collect()}
+    assert set(got) == {*parts, None}
+    for k, values in parts.items():
+        for found, ordered in ((got[k], np.sort(values)), (heavy[k], np.sort(np.repeat(values, [w for a, _, w in data if a == k])))):
+            assert found.n == len(ordered) and (found.min, found.max) == (ordered[0], ordered[-1])
+            assert [found[D._label(q)] for q in p] == [ordered[max(int(np.ceil(q * len(ordered))) - 1, 0)] for q in p], k
