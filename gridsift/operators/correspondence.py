@@ -18,7 +18,6 @@ from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, Str
 from gridsift.functions.grid import displacement
 from gridsift.functions.vectors import matrix
 
-MATCH = ArrayType(StructType([StructField("raw", DoubleType()), StructField("reference", IntegerType())]))
 LOCAL = ArrayType(StructType([StructField("cell", IntegerType()), StructField("own", DoubleType()),
                               StructField("best", DoubleType()), StructField("best_cell", IntegerType())]))
 CONTRAST = StructType([StructField("total", DoubleType()), StructField("edges", LongType())])
@@ -42,51 +41,99 @@ def _lists(rows: list[pa.Array], width: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(rows))
 
 
-def _shifted(cells: np.ndarray, height: int, width: int, dr: int, dc: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells that have a neighbour at (dr, dc), and that neighbour."""
-    row, column = cells // width + dr, cells % width + dc
-    inside = (row >= 0) & (row < height) & (column >= 0) & (column < width)
-    return cells[inside], (row * width + column)[inside]
-
-
-def best_reference(height: int, width: int, everywhere: bool):
-    """Arrow UDF (grid, mean, std) -> per cell the smallest distance and its lowest reference cell."""
-    count = height * width
-
-    @arrow_udf(MATCH)
-    def match(grid: pa.Array, mean: pa.Array, std: pa.Array) -> pa.Array:
-        units, means, stds = (matrix(a) for a in (grid, mean, std))
-        out = []
-        cells = np.arange(count)
-        offsets = ([(q, None) for q in range(count)] if everywhere
-                   else [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
-        for u, m, s in zip(units, means, stds):
-            u, m, s = (a.reshape(count, -1) for a in (u, m, s))
-            best = np.full(count, np.inf)
-            reference = np.full(count, -1, dtype=np.int32)
-            # References come in ascending order, so a strict comparison keeps the lowest on ties.
-            for a, b in offsets:
-                own, other = (cells, np.full(count, a)) if everywhere else _shifted(cells, height, width, a, b)
-                residual = (u[own] - m[other]) / s[other]
-                distance = (residual * residual).mean(axis=1)
-                nearer = distance < best[own]
-                best[own[nearer]] = distance[nearer]
-                reference[own[nearer]] = other[nearer]
-            out.append(pa.StructArray.from_arrays([pa.array(best), pa.array(reference)], ["raw", "reference"]))
-        return _lists(out, count) if out else pa.array([], pa.list_(pa.struct([("raw", pa.float64()), ("reference", pa.int32())])))
-
-    return match
+#: Model bytes up to which all tasks are sent the models; larger ones are joined to the images.
+MODEL_BYTES = 128 << 20
+#: Distances held at once.
+BLOCK = 1 << 22
+#: Distances of the matrix product this close to the least, in parts of the terms they are made of, are computed again.
+CLOSE = 1e-9
+
+
+class _References:
+    """Models of all cells of a category, ready for one matrix product with the descriptors of many images."""
+
+    def __init__(self, mean: np.ndarray, std: np.ndarray, height: int, width: int):
+        count = height * width
+        self.mean, self.std = mean.reshape(count, -1), std.reshape(count, -1)
+        self.weight = 1.0 / (self.std * self.std)
+        self.linear, self.constant = self.mean * self.weight, (self.mean * self.mean * self.weight).sum(axis=1)
+        row, column = np.divmod(np.arange(count), width)
+        near = (abs(row[:, None] - row) <= 1) & (abs(column[:, None] - column) <= 1)
+        self.allowed = {"P": np.eye(count, dtype=bool), "N1": near, "G": np.ones((count, count), dtype=bool)}
+
+    def best(self, units: np.ndarray, modes: Sequence[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Per mode, for images x cells: the least mean squared standardised distance and its lowest reference cell.
+
+        The product u^2 . 1/s^2 - 2 u . m/s^2 + m^2/s^2 finds the candidates; those within rounding of the least are
+        computed from their residuals, so values and ties are those of the plain definition.
+        """
+        count, channels = self.mean.shape
+        flat = units.reshape(-1, channels)
+        square = (flat * flat) @ self.weight.T
+        product = square - 2 * (flat @ self.linear.T) + self.constant
+        margin = CLOSE * (square + self.constant)
+        own = np.arange(len(flat)) % count
+        out = {}
+        for mode in modes:
+            allowed = self.allowed[mode][own]
+            # A bound on the least true value, and every reference that may lie below it.
+            top = np.where(allowed, product + margin, np.inf).min(axis=1)
+            at, reference = np.nonzero(allowed & (product - margin <= top[:, None]))
+            residual = (flat[at] - self.mean[reference]) / self.std[reference]
+            exact = (residual * residual).mean(axis=1)
+            order = np.lexsort((reference, exact, at))
+            first = order[np.concatenate([[True], np.diff(at[order]) > 0])]
+            out[mode] = exact[first].reshape(-1, count), reference[first].reshape(-1, count)
+        return out
 
 
 def correspondence_maps(grids: DataFrame, packed_model: DataFrame, height: int, width: int,
-                        modes: Sequence[str] = ("N1", "G")) -> DataFrame:
-    """Rows (mode, image keys, cell, raw, reference) for ``N1`` (3x3 neighbourhood) and ``G`` (all cells), in one pass."""
-    found = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), best_reference(height, width, m == "G")("grid", "mean", "std").alias("match"))
-                                for m in modes])).alias("_f")
-    keys = [c for c in grids.columns if c != "grid"]
-    joined = grids.join(packed_model, "category").select(*keys, found)
-    return joined.select("_f.mode", *keys, F.posexplode("_f.match").alias("cell", "_m")).select(
-        "mode", *keys, "cell", "_m.raw", "_m.reference")
+                        modes: Sequence[str] = ("N1", "G"), *, key: str = "category", normalise: bool = False, model_bytes: int = MODEL_BYTES) -> DataFrame:
+    """Rows (mode, image keys, cell, raw, reference) for ``P`` (own cell), ``N1`` (3x3 neighbourhood) and ``G`` (all cells).
+
+    ``grids`` holds an image a row, the descriptors of its cells as one flat array ``grid``; they are scaled to unit length if
+    ``normalise``. One pass over the images serves all modes and shuffles no descriptor: the models, one row per category, go to all
+    tasks if they take up to ``model_bytes`` by count, and are joined to the images beyond that.
+    """
+    count, keys = height * width, [c for c in grids.columns if c != "grid"]
+    kinds = dict(grids.dtypes)
+    size = packed_model.agg(F.coalesce(F.sum((F.size("mean") + F.size("std")) * 8), F.lit(0))).head()[0]
+    shared = None
+    if size <= model_bytes:
+        sent = packed_model.select(key, "mean", "std").toArrow()  # at most ``model_bytes``
+        shared = grids.sparkSession.sparkContext.broadcast(sent)
+        rows = grids.select(*keys, "grid").join(packed_model.select(key), key, "left_semi")
+    else:
+        rows = grids.select(*keys, "grid").join(packed_model.select(key, F.col("mean").alias("_mean"), F.col("std").alias("_std")), key).select(*keys, "grid", "_mean", "_std")
+
+    def run(batches):
+        models: dict = {}
+        if shared is not None:
+            table = shared.value
+            means, stds = (matrix(table[c].combine_chunks()) for c in ("mean", "std"))
+            models = {k: _References(m, s, height, width) for k, m, s in zip(table[key].to_pylist(), means, stds)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            units, names = matrix(batch.column("grid")), np.array(batch.column(key).to_pylist(), dtype=object)
+            units = units.reshape(len(units), count, -1)
+            if normalise:
+                units = units / np.sqrt((units * units).sum(axis=2, keepdims=True))
+            for name in dict.fromkeys(names.tolist()):
+                rows_of = np.flatnonzero(names == name)
+                if shared is None:
+                    one = batch.slice(int(rows_of[0]), 1)
+                    models = {name: _References(matrix(one.column("_mean"))[0], matrix(one.column("_std"))[0], height, width)}
+                for low in range(0, len(rows_of), max(1, BLOCK // (count * count))):
+                    part = rows_of[low:low + max(1, BLOCK // (count * count))]
+                    kept_keys = [batch.column(c).take(pa.array(part)) for c in keys]
+                    for mode, (raw, reference) in models[name].best(units[part], modes).items():
+                        pairs = pa.StructArray.from_arrays([pa.array(raw.ravel()), pa.array(reference.ravel().astype(np.int32))], ["raw", "reference"])
+                        offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * np.int32(count))
+                        yield pa.RecordBatch.from_arrays([pa.array([mode] * len(part)), *kept_keys, pa.ListArray.from_arrays(offsets, pairs)], names=["mode", *keys, "match"])
+
+    schema = "mode string, " + ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", match array<struct<raw: double, reference: int>>"
+    return rows.mapInArrow(run, schema).select("mode", *keys, F.posexplode("match").alias("cell", "_m")).select("mode", *keys, "cell", "_m.raw", "_m.reference")
 
 
 def match_summary(maps: DataFrame, keys: Sequence[str], width: int) -> DataFrame:

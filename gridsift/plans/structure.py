@@ -34,10 +34,11 @@ SQL_MATCH = SQL_MODEL + """,
 
 
 def matched(spark, sf):
-    u, model, _ = fitted(spark, sf)
+    """Images are read as rows that hold their whole grid, so descriptors are not shuffled."""
+    _, model, _ = fitted(spark, sf)
     pack = kept(C.packed(model, ["mean", "std"]), "packed")
-    grid = C.grids(u, ["category", "image", "split", "anomaly"])
-    return C.correspondence_maps(grid, pack, HEIGHT, WIDTH)
+    grid = images(spark, sf).select("category", "image", "split", "anomaly", F.col("embedding").alias("grid"))
+    return C.correspondence_maps(grid, pack, HEIGHT, WIDTH, normalise=True)
 
 
 def correspondence_maps(spark, sf):
