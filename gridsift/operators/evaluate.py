@@ -7,7 +7,7 @@ from range slices, so a category of any size is swept by many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +142,35 @@ def labelled_pixels(arrays: DataFrame, masks: DataFrame, keys: Sequence[str], he
     return pixels.withColumn("hit", F.col("weight") > 0)
 
 
+def _inside(support: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda v, i: F.when(support(i), v).otherwise(F.lit(0))
+
+
+def localisation_by_support(arrays: DataFrame, masks: DataFrame, keys: Sequence[str], height: int, width: int, out_height: int, out_width: int,
+                            supports: Mapping[str, Callable[[Column], Column] | None], by: Sequence[str]) -> DataFrame:
+    """Pixel metrics per (support, ``by``) of all supports from one pass over the pixels.
+
+    Each support has its own region areas, hence its own weights; they travel with the image and its pixels are made once. Distinct
+    scores, not pixels, are then taken apart by support.
+    """
+    joined = arrays.join(masks, list(keys), "left")
+    weigh, names = inverse_areas(out_height * out_width), {name: f"_weight{i}" for i, name in enumerate(supports)}
+    for name, support in supports.items():
+        regions = F.col("regions")
+        if support is not None:
+            regions = F.transform(regions, _inside(support))
+        joined = joined.withColumn(names[name], weigh(regions))
+    pixels = upsampled(joined.drop("regions"), height, width, out_height, out_width, carry=list(names.values()))
+    sums = []
+    for name, support in supports.items():
+        weight, inside = F.col(names[name]), F.lit(True) if support is None else support(F.col("px"))
+        sums.append(F.struct(F.lit(name).alias("support"), F.count_if(inside & (weight > 0)).alias("tp"), F.count_if(inside & ~(weight > 0)).alias("fp"),
+                             F.sum(F.when(inside, weight).otherwise(F.lit(0.0))).alias("w")))
+    steps = pixels.groupBy(*by, "score").agg(*[x.alias(names[name]) for x, name in zip(sums, supports)])
+    apart = steps.select(*by, "score", F.explode(F.array(*names.values())).alias("_s")).select("_s.support", *by, "score", "_s.tp", "_s.fp", "_s.w")
+    return localisation_of(apart.where("tp + fp > 0"), ["support", *by])
+
+
 def localisation(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pixel AUROC and AUPRO@0.30 with equal region weights."""
     steps = score_steps(pixels, keys, "score", "hit", "weight")
@@ -183,16 +212,37 @@ def pro_curve(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def localisation_by_defect(pixels: DataFrame, keys: Sequence[str], defect: str = "defect",
                            good: str = "good") -> DataFrame:
-    """Pixel metrics of each defect together with the pixels of the good images.
+    """Pixel metrics of each defect together with the pixels of the good images, which are background all over.
 
-    Good pixels are reduced to distinct scores before they are copied to the defects of their key.
+    The good pixels are one step function per key, swept once; it is read at the scores that defects have. A defect's
+    curve is its own steps merged into it: between two of them only good pixels lie, so their share of the area is a
+    rectangle as wide as the number of them, and nothing is copied per defect.
     """
     steps = kept(score_steps(pixels, [*keys, defect], "score", "hit", "weight"), "steps")
-    kinds = steps.where(F.col(defect) != good).select(*keys, defect).distinct()
-    shared = steps.where(F.col(defect) == good).drop(defect).join(kinds, list(keys))
-    merged = steps.where(F.col(defect) != good).unionByName(shared).groupBy(*keys, defect, "score").agg(
-        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("w").alias("w"))
-    return localisation_of(merged, [*keys, defect])
+    own = steps.where(F.col(defect) != good)
+    background = steps.where(F.col(defect) == good).select(*keys, "score", F.col("fp").alias("good"))
+    marks = own.select(*keys, "score", F.lit(0).cast("long").alias("good"))
+    curve = running(background.unionByName(marks).groupBy(*keys, "score").agg(F.sum("good").alias("good")), keys, [("score", "desc")],
+                    sums={"upto": "good"}, totals=True)
+    merged = own.join(curve, [*keys, "score"])
+    by = [*keys, defect]
+    sweep = running(merged, by, [("score", "desc")], sums={"tps": "tp", "fps": "fp", "ws": "w"}, lags={"seen": "upto"}, totals=True)
+    n, w, seen = F.col("fps_total") + F.col("upto_total"), F.col("ws_total"), F.coalesce("seen", F.lit(0))
+    above = F.col("fps") - F.col("fp")
+    placed = sweep.withColumn("n", n).withColumn("gap", F.col("upto") - F.col("good") - seen).withColumn("x", F.try_divide(above + seen, n)).withColumn(
+        "x0", F.try_divide(above + F.col("upto") - F.col("good"), n)).withColumn("x1", F.try_divide(F.col("fps") + F.col("upto"), n)).withColumn(
+        "y1", F.try_divide("ws", w)).withColumn("y0", F.try_divide(F.col("ws") - F.col("w"), w))
+    flat = F.when((F.col("gap") > 0) & (F.col("x") < FPR_LIMIT), (F.least("x0", F.lit(FPR_LIMIT)) - F.col("x")) * F.col("y0")).otherwise(F.lit(0.0))
+    stop = F.least(F.col("x1"), F.lit(FPR_LIMIT))
+    piece = F.when((F.col("fp") + F.col("good") > 0) & (F.col("x0") < FPR_LIMIT),
+                   (stop - F.col("x0")) * (F.col("y0") + _pro_at(stop)) / F.lit(2.0)).otherwise(F.lit(0.0))
+    # Good pixels below the last step of the defect, where every region is found.
+    rest = F.when(F.max("ws_total") > 0, F.greatest(F.lit(FPR_LIMIT) - F.max("x1"), F.lit(0.0)))
+    pairs = F.max("tps_total").cast("double") * F.max("n")
+    below = F.col("n") - F.col("fps") - F.col("upto") + (F.col("fp") + F.col("good")) / F.lit(2.0)
+    return placed.groupBy(*by).agg(
+        F.round(F.max("ws_total"), 0).cast("long").alias("regions"), F.max("tps_total").alias("positive_pixels"), F.max("n").alias("negative_pixels"),
+        F.when(pairs > 0, F.sum(F.col("tp") * below) / pairs).alias("pixel_auroc"), ((F.sum(flat + piece) + rest) / F.lit(FPR_LIMIT)).alias("aupro030"))
 
 
 # Macro averages --------------------------------------------------------------------------------------------------------

@@ -188,11 +188,8 @@ def strict_inner(px):
 
 
 def pixel_metrics_by_support(spark, sf):
-    arrays, every = kept(test_arrays(spark, sf), "arrays"), None
-    for name, support in (("full", None), ("nominal", nominal_inner), ("strict", strict_inner)):
-        p = pixels(spark, sf, support, arrays).withColumn("support", F.lit(name))
-        every = p if every is None else every.unionByName(p)
-    out = kept(E.localisation(every, ["support", "category"]), "by-support")
+    out = kept(E.localisation_by_support(test_arrays(spark, sf), masks(spark, sf), ["category", "image"], HEIGHT, WIDTH, OUT_HEIGHT, OUT_WIDTH,
+                                         {"full": None, "nominal": nominal_inner, "strict": strict_inner}, ["category"]), "by-support")
     full = out.where("support = 'full'").select("category", F.col("aupro030").alias("_full"))
     delta = F.abs(F.col("aupro030") - F.col("_full"))
     joined = out.join(full, "category").withColumn(

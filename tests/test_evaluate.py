@@ -104,3 +104,29 @@ def test_supports_leave_out_the_border(spark):
 def test_no_background_is_null_not_an_error(spark):
     row = E.localisation(board(spark, [1, 2], [1, 1]), ["category"]).head()
     assert row.pixel_auroc is None and row.negative_pixels == 0
+
+
+def test_defects_share_one_curve_of_good_pixels(spark):
+    """The merged curves equal the plain sweep over a copy of the good pixels for each defect."""
+    rng = random.Random(12)
+    rows = []
+    for key in ("a", "b", "none good"):
+        for defect in ("good", "d1", "d2", "d3"):
+            if (key, defect) == ("none good", "good"):
+                continue
+            for _ in range(rng.choice([1, 30, 200])):
+                hit = defect != "good" and defect != "d3" and rng.random() < 0.3
+                rows.append((key, defect, float(rng.randrange(-9, 12 if hit else 5)), rng.choice([0.5, 0.25]) if hit else 0.0, hit))
+    df = spark.createDataFrame(rows, "category string, defect string, score double, weight double, hit boolean")
+    got = {(r.category, r.defect): r for r in E.localisation_by_defect(df, ["category"]).collect()}
+    assert set(got) == {(k, d) for k in ("a", "b", "none good") for d in ("d1", "d2", "d3")}
+    copies = [(k, d, *rest) for k, d, *rest in rows if d != "good"] + [(k, d, *rest) for k, g, *rest in rows if g == "good" for d in ("d1", "d2", "d3")]
+    want = E.localisation(spark.createDataFrame(copies, df.schema), ["category", "defect"]).collect()
+    for w in want:
+        g = got[w.category, w.defect]
+        assert (g.regions, g.positive_pixels, g.negative_pixels) == (w.regions, w.positive_pixels, w.negative_pixels)
+        if not g.positive_pixels:  # nothing to find: no value
+            assert g.pixel_auroc is g.aupro030 is None
+            continue
+        for a, b in ((g.pixel_auroc, w.pixel_auroc), (g.aupro030, w.aupro030)):
+            assert a == pytest.approx(b, abs=1e-12), (w, g)
