@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -56,7 +56,11 @@ def projected(r: np.ndarray):
 
 
 def length_ratio(r: np.ndarray):
-    """Arrow UDF: |R x| / (sqrt(D) |x|), null for vectors at or below the norm epsilon."""
+    """Arrow UDF: |R x| / (sqrt(D) |x|), null for vectors at or below the norm epsilon.
+
+    The length follows from the channels' Gram matrix, |R x|^2 = x' (R'R) x, so no vector of D values is formed.
+    """
+    gram, dimensions = r.T.astype(np.float64) @ r.astype(np.float64), len(r)
 
     @arrow_udf(DoubleType())
     def ratio(x: pa.Array) -> pa.Array:
@@ -66,14 +70,38 @@ def length_ratio(r: np.ndarray):
         if not np.isfinite(values).all():
             raise ValueError("descriptor is not finite")
         length = np.sqrt((values * values).sum(axis=1))
-        y = values @ r.T.astype(np.float64)
+        square = np.maximum(((values @ gram) * values).sum(axis=1), 0.0)
         keep = length > NORM_EPSILON
-        rho = np.sqrt((y * y).sum(axis=1)) / (math.sqrt(len(r)) * np.where(keep, length, 1.0))
+        rho = np.sqrt(square) / (math.sqrt(dimensions) * np.where(keep, length, 1.0))
         return pa.array(rho, mask=~keep)
 
     return ratio
 
 
+def sign_words(column: str, channels: int) -> Column:
+    """Signs of a descriptor, 64 channels to a word: a bit is set where a channel is negative."""
+    words = []
+    for low in range(1, channels + 1, 64):
+        bits = F.transform(F.slice(column, low, 64), lambda v, i: F.when(v < 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        words.append(F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    return F.array(*words)
+
+
+def packed_signs(r: np.ndarray) -> Column:
+    """The sign matrix as a constant: for each dimension the words of its row, like those of ``sign_words``."""
+    rows = []
+    for row in r:
+        words = [sum(1 << i for i, s in enumerate(row[low:low + 64].tolist()) if s < 0) for low in range(0, len(row), 64)]
+        rows.append(F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words]))
+    return F.array(*rows)
+
+
+def sign_products(words: str, packed: Column, channels: int) -> Column:
+    """For each dimension the sum of products of two sign vectors: channels less twice the bits in which they differ."""
+    differ = lambda row: F.aggregate(F.zip_with(row, F.col(words), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return F.transform(packed, lambda row: F.lit(channels) - 2 * differ(row))
+
+
 def isometry_report(features: DataFrame, keys: Sequence[str], r: np.ndarray) -> DataFrame:
     """How well the projection keeps lengths: mean ratio, nearest-rank p99 and largest error, excluded vectors."""
     from gridsift.operators.describe import quantiles

@@ -10,6 +10,7 @@ from gridsift.operators import evaluate as E
 from gridsift.operators import moments as M
 from gridsift.operators import projection as P
 from gridsift.operators.describe import describe
+from gridsift.operators.ordered import numbered
 from gridsift.plans.views import (CHANNELS, HEIGHT, SQL_MODEL, SQL_UNITS, WIDTH, features, fitted, images,
                                   r, rounded, units)
 from gridsift.session import kept
@@ -210,6 +211,17 @@ SELECT category, cell, {r('offset_norm')} AS offset_norm, {r('std_ratio')} AS st
   offset_norm < lim AS flagged FROM o JOIN l USING (category)"""
 
 
+def positions_by_offset(spark, sf):
+    """Positions of each category from the least to the largest offset, with their place."""
+    offsets = kept(C.position_offsets(*both_moments(spark, sf)).select("category", "cell", "offset_norm", "flagged"), "offsets")
+    return rounded(numbered(offsets, ["category"], [("offset_norm", "asc"), ("cell", "asc")], "place"))
+
+
+QUERIES["positions_by_offset"] = positions_by_offset
+ORACLE["positions_by_offset"] = ORACLE["position_offsets"].rsplit("SELECT category, cell,", 1)[0] + f"""SELECT category, cell, {r('offset_norm')} AS offset_norm,
+  offset_norm < lim AS flagged, row_number() OVER (PARTITION BY category ORDER BY offset_norm, cell) AS place FROM o JOIN l USING (category)"""
+
+
 # Projections -----------------------------------------------------------------------------------------------------------
 
 SQL_SIGNS = f"""lcg(k, s) AS (
@@ -312,6 +324,20 @@ QUERIES["explicit_maps"] = explicit_maps
 ORACLE["explicit_maps"] = ORACLE["filter_maps"]
 
 
+def packed_signs(spark, sf):
+    """Signs of descriptors against the sign matrix by words: per position and dimension the sum, the best and the number of ties."""
+    words = features(spark, sf).select("category", "split", "cell", P.sign_words("x", CHANNELS).alias("w"))
+    products = words.select("category", "split", "cell", F.posexplode(P.sign_products("w", P.packed_signs(SIGNS), CHANNELS)).alias("d", "y"))
+    return products.groupBy("category", "split", "cell", "d").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"), F.max("y").alias("highest"), F.count_if(F.col("y") == 0).alias("ties"))
+
+
+QUERIES["packed_signs"] = packed_signs
+ORACLE["packed_signs"] = f"""{SQL_PROJECTED.split('  y AS (SELECT')[0]}
+  y AS (SELECT category, image, split, cell, d, CAST(sum(sgn * CASE WHEN v < 0 THEN -1 ELSE 1 END) AS BIGINT) AS y FROM long JOIN signs USING (ch) GROUP BY ALL)
+SELECT category, split, cell, CAST(d AS INTEGER) AS d, count(*) AS n, CAST(sum(y) AS BIGINT) AS total, CAST(max(y) AS INTEGER) AS highest, count_if(y = 0) AS ties
+FROM y GROUP BY ALL"""
+
+
 def isometry_report(spark, sf):
     return rounded(P.isometry_report(features(spark, sf), ["category", "split"], SIGNS))
 

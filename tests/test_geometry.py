@@ -99,3 +99,22 @@ def test_units_are_made_on_the_way(spark):
             for x, n in ((g.ravel().tolist(), True), (unit, False))]
     assert [r.reference for r in made[0]] == [r.reference for r in made[1]]
     assert [r.raw for r in made[0]] == pytest.approx([r.raw for r in made[1]])
+
+
+def test_lengths_and_signs_of_a_large_projection(spark):
+    """10,000 dimensions of 96 channels: neither operator forms a vector of that length per row more than it returns."""
+    from gridsift.operators import projection as P
+    r = P.signs(7, 96, 10_000)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 96))
+    x[0] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>")
+    got = {a.id: a.rho for a in df.select("id", P.length_ratio(r)("x").alias("rho")).collect()}
+    want = np.linalg.norm(x @ r.T.astype(float), axis=1) / (100 * np.maximum(np.linalg.norm(x, axis=1), 1e-300))
+    assert got[0] is None and [got[i] for i in range(1, 300)] == pytest.approx(want[1:].tolist())
+    report = P.isometry_report(df.withColumn("k", F.lit(1)), ["k"], r).head()
+    assert (report.used, report.excluded) == (299, 1) and report.mean_ratio == pytest.approx(want[1:].mean()) and report.max_error == pytest.approx(abs(want[1:] - 1).max())
+    few = r[:40]
+    rows = df.where("id < 50").withColumn("w", P.sign_words("x", 96)).select("id", F.size("w").alias("words"), P.sign_products("w", P.packed_signs(few), 96).alias("y")).collect()
+    signs = np.where(x < 0, -1, 1)
+    assert all(a.words == 2 and a.y == (few.astype(int) @ signs[a.id]).tolist() for a in rows)
