@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, NumericType, StringType, StructField, StructType
 
 from gridsift.functions.grid import column_of, displacement, row_of
+from gridsift.functions.vectors import matrix
 from gridsift.operators.describe import describe
 from gridsift.operators.paired import pearson
 
@@ -45,14 +49,48 @@ def summarised(records: DataFrame, keys: Sequence[str], counted: Sequence[str] =
     return describe(records, keys, numeric, [.05, .5, .95]), counts
 
 
-def component_peaks(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _interpolation(out: int, size: int) -> np.ndarray:
+    """Weights of the ``size`` source places for each of ``out`` places: half-pixel centres, borders go on outwards."""
+    at = np.clip((np.arange(out) + 0.5) * (size / out) - 0.5, 0, size - 1)
+    low = np.floor(at).astype(int)
+    weights = np.zeros((out, size))
+    weights[np.arange(out), low] += 1 - (at - low)
+    weights[np.arange(out), np.minimum(low + 1, size - 1)] += at - low
+    return weights
+
+
+PEAKS = ArrayType(StructType([StructField("region", IntegerType()), StructField("peak", DoubleType()), StructField("area", LongType()), StructField("percentile", DoubleType())]))
+
+
+def component_peaks(maps: DataFrame, keys: Sequence[str], height: int, width: int, out_height: int, out_width: int) -> DataFrame:
     """Peak of every annotated region and the share of the image's pixels at or below it.
 
-    One image's pixels are one group; the shares are counted after joining the few region peaks of the image.
+    ``maps`` holds an image a row with its ``map`` and ``regions``. Its pixels are made, sorted once and searched for the
+    peaks inside the row: they are neither written nor joined, and an image without a region has no row.
     """
-    peaks = pixels.where("region > 0").groupBy(*keys, "region").agg(F.max("score").alias("peak"), F.count(F.lit(1)).alias("area"))
-    return pixels.select(*keys, "score").join(peaks, list(keys)).groupBy(*keys, "region", "peak", "area").agg(
-        F.avg((F.col("score") <= F.col("peak")).cast("double")).alias("percentile"))
+    down, across = _interpolation(out_height, height), _interpolation(out_width, width)
+
+    @arrow_udf(PEAKS)
+    def found(values: pa.Array, regions: pa.Array) -> pa.Array:
+        n = len(values)
+        scores = (down @ matrix(values).reshape(n, height, width) @ across.T).reshape(n, out_height * out_width)
+        labels = matrix(regions).astype(np.int64)
+        if labels.shape != scores.shape:
+            raise ValueError("mask and map sizes differ")
+        ordered, rows, counts = np.sort(scores, axis=1), [], []
+        for score, label, low in zip(scores, labels, ordered):
+            inside = np.flatnonzero(label > 0)
+            area = np.bincount(label[inside])
+            names = np.flatnonzero(area)
+            peak = np.full(len(area), -np.inf)
+            np.maximum.at(peak, label[inside], score[inside])
+            rows.append((names, peak[names], area[names], np.searchsorted(low, peak[names], side="right") / len(low)))
+            counts.append(len(names))
+        columns = [np.concatenate(c) if rows else np.zeros(0) for c in (zip(*rows) if rows else [()] * 4)]
+        cells = pa.StructArray.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, ("int32", "float64", "int64", "float64"))], ["region", "peak", "area", "percentile"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), cells)
+
+    return maps.where("map is not null and regions is not null").select(*keys, F.explode(found("map", "regions")).alias("_p")).select(*keys, "_p.*")
 
 
 def frame_state(status: Column, support_outside: Column, clearance: Column, margin: float = 4.0) -> Column:

@@ -120,8 +120,7 @@ FROM scores WHERE split = 'test' GROUP BY ALL"""
 def component_peaks(spark, sf):
     """Peak of every annotated rectangle and its percentile in the map."""
     arrays = EV.test_arrays(spark, sf).join(EV.masks(spark, sf), ["category", "image"])
-    px = kept(E.upsampled(arrays, HEIGHT, WIDTH, EV.OUT_HEIGHT, EV.OUT_WIDTH, carry=["regions"]).withColumnRenamed("regions", "region"), "pixels")
-    return rounded(R.component_peaks(px, ["category", "image"]))
+    return rounded(R.component_peaks(arrays, ["category", "image"], HEIGHT, WIDTH, EV.OUT_HEIGHT, EV.OUT_WIDTH))
 
 
 QUERIES["component_peaks"] = component_peaks

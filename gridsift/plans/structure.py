@@ -11,6 +11,7 @@ from gridsift.operators import moments as M
 from gridsift.operators import projection as P
 from gridsift.operators.describe import describe
 from gridsift.operators.ordered import numbered
+from gridsift.plans import evaluation as EV
 from gridsift.plans.views import (CHANNELS, HEIGHT, SQL_MODEL, SQL_UNITS, WIDTH, features, fitted, images,
                                   r, rounded, units)
 from gridsift.session import kept
@@ -438,3 +439,36 @@ ORACLE["method_comparison"] = f"""{_EVERY},
 SELECT p.method, p.kind, p.category, count(DISTINCT p.image) AS positives, count(DISTINCT g.image) AS negatives,
   {r('avg(CASE WHEN p.s > g.s THEN 1.0 WHEN p.s = g.s THEN .5 ELSE 0 END)')} AS auroc
 FROM kinds p JOIN kinds g USING (method, kind, category) WHERE p.anomaly AND NOT g.anomaly GROUP BY ALL"""
+
+
+# Localisation of every method. It reads masks and pixels as the evaluation queries do.
+
+def method_localisation(spark, sf):
+    """Pixel AUROC and AUPRO of every method and category, raw and calibrated, from one pass over the methods' maps."""
+    maps = kept(method_maps(spark, sf), "method-maps")
+    keys = ["method", "category", "cell"]
+    calibration = kept(M.position_calibration(maps.where("split = 'calibration'"), keys), "calibration")
+    z = M.calibrated(maps.where("split = 'test'"), calibration, keys)
+    cells = F.array_sort(F.collect_list(F.struct("cell", "raw", "z")))
+    both = z.groupBy("method", "category", "image").agg(cells.alias("_c")).select("method", "category", "image", F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(f"_c.{kind}").alias("map")) for kind in ("raw", "z")])).alias("_m")).select(
+        "method", "category", "image", "_m.kind", "_m.map")
+    pixels = E.labelled_pixels(both, EV.masks(spark, sf), ["category", "image"], HEIGHT, WIDTH, EV.OUT_HEIGHT, EV.OUT_WIDTH)
+    return rounded(E.localisation(pixels, ["method", "kind", "category"]))
+
+
+QUERIES["method_localisation"] = method_localisation
+ORACLE["method_localisation"] = f"""{_EVERY},
+  cal AS (SELECT method, category, cell, avg(raw) AS alpha, greatest(stddev_samp(raw), 1e-6) AS beta FROM every WHERE split = 'calibration' GROUP BY ALL),
+  tested AS (SELECT method, category, image, cell, raw, (raw - alpha) / beta AS z FROM every JOIN cal USING (method, category, cell) WHERE split = 'test'),
+  marr AS (SELECT method, 'raw' AS kind, category, image, list(raw ORDER BY cell) AS m FROM tested GROUP BY ALL
+    UNION ALL SELECT method, 'z', category, image, list(z ORDER BY cell) FROM tested GROUP BY ALL),
+  {EV.SQL_UP[EV.SQL_UP.index("px AS (SELECT unnest"):EV.SQL_UP.index("  marr AS (")].rstrip().rstrip(",")},
+  up AS (SELECT method, kind, category, image, 'd' || label AS defect, label >= 6 AS bad, px, y, x,
+      (m[y0 * 4 + x0 + 1] * (1 - fx) + m[y0 * 4 + x1 + 1] * fx) * (1 - fy) + (m[y1 * 4 + x0 + 1] * (1 - fx) + m[y1 * 4 + x1 + 1] * fx) * fy AS score
+    FROM marr JOIN embeddings ON vec_id = image, grid),
+  lab AS (SELECT *, CASE WHEN NOT bad THEN 0 WHEN y BETWEEN image % 2 AND image % 2 + 1 AND x BETWEEN image % 5 AND image % 5 + 2 THEN 1
+      WHEN defect IN ('d6', 'd9') AND y BETWEEN 4 AND 5 AND x BETWEEN 8 AND 9 + image % 2 THEN 2 ELSE 0 END AS region FROM up),
+  area AS (SELECT method, kind, image, region, count(*) AS a FROM lab WHERE region > 0 GROUP BY ALL),
+  pixels AS (SELECT lab.*, coalesce(1.0::DOUBLE / a, 0) AS w FROM lab LEFT JOIN area USING (method, kind, image, region)) {EV.sql_metrics('method, kind, category', 'pixels')}
+SELECT method, kind, category, regions, positive_pixels, negative_pixels, {r('pixel_auroc')} AS pixel_auroc, {r('aupro030')} AS aupro030 FROM metrics"""
