@@ -24,7 +24,7 @@ def arriving(spark, sf, copies=1):
     return stream.select(
         F.concat(F.lit("c"), (label % 2).cast("string")).alias("category"), F.col("vec_id").alias("image"),
         F.when(label < 2, F.lit("fit")).when(label < 4, F.lit("calibration")).otherwise(F.lit("test")).alias("split"),
-        F.col("embedding").alias("x")), path
+        F.timestamp_seconds(F.pmod(F.col("vec_id"), F.lit(3600))).alias("arrived"), F.col("embedding").alias("x")), path
 
 
 def streamed_scores(spark, sf):
@@ -44,9 +44,8 @@ SELECT category, image, split, {r('max(z)')} AS score, first(cell ORDER BY z DES
 def streamed_moments(spark, sf):
     """The positional model folded from a stream in which every image arrives twice."""
     stream, path = arriving(spark, sf, copies=2)
-    cells = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.slice(F.col("x"), i * CHANNELS + 1, CHANNELS))
-    features = stream.where("split = 'fit'").select("category", "image", F.posexplode(cells).alias("cell", "x"))
-    online.update_moments(features, f"{path}-moments", f"{path}-checkpoint").awaitTermination()
+    fit = stream.where("split = 'fit'").select("category", "image", "arrived", "x")
+    online.update_moments(fit, f"{path}-moments", f"{path}-checkpoint", cells=CELLS, channels=CHANNELS, horizon="2 hours").awaitTermination()
     model = online.model_of(online.latest_moments(spark, f"{path}-moments"))
     each = F.posexplode(F.arrays_zip("mean", "std_sample", "std")).alias("channel", "m")
     return rounded(model.select("category", "cell", "n", each).select("category", "cell", "n", "channel", "m.*"))

@@ -99,18 +99,19 @@ def latest_moments(spark: SparkSession, path: str, before: int | None = None) ->
     return None if newest is None else versions.where(F.col("version") == newest).drop("version")
 
 
-def update_moments(features: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Fold arriving descriptors (category, image, cell, x) into versioned moment tables.
+def update_moments(images: DataFrame, path: str, checkpoint: str, *, cells: int, channels: int, time: str = "arrived", horizon: str = "1 hour") -> StreamingQuery:
+    """Fold arriving images (category, image, ``time``, x: the flat grid) into versioned moment tables, each image once.
 
-    Replayed images are dropped by their key before a batch is merged. A batch
-    reads the version before it and writes its own, so a repeated batch
-    rewrites the same table.
+    The stream's state is one key per image, kept for ``horizon`` of event time: a replay within it is dropped, and an image
+    that comes later than that behind the newest one is refused, so state never outgrows the images of the horizon. A batch
+    reads the version before it and writes its own under its number, so a repeated batch rewrites the same table.
     """
-    once = features.dropDuplicates(["category", "image", "cell"])
+    once = images.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["category", "image"])
+    grid = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.slice(F.col("x"), i * channels + 1, channels))
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = partial_moments(units(batch))
+        state = partial_moments(units(batch.select("category", "image", F.posexplode(grid).alias("cell", "x"))))
         earlier = latest_moments(spark, path, number)
         if earlier is not None:
             state = merged(earlier, state)
@@ -118,4 +119,3 @@ def update_moments(features: DataFrame, path: str, checkpoint: str) -> Streaming
 
     return (once.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
-
