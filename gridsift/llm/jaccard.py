@@ -43,7 +43,7 @@ SKETCH = 8
 #: rounds go on while they connect at least this share of the compared pairs. What is left is then compared in full.
 BESIDE, WORTH = 4, 0.02
 
-SHINGLED = "doc_id long, n_shingles long, set_id long, check long, sketch array<long>, rare int, keys array<long>, short boolean"
+SHINGLED = "doc_id long, n_shingles long, set_id long, check long, sketch array<long>, rare int, keys array<long>, short boolean, text_hash long"
 GROUPED = "key long, member long, leader long"
 
 
@@ -227,10 +227,10 @@ def _shingled(docs: DataFrame, size: int, threshold, seed: int, only: tuple[int,
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(texts + 1, dtype=np.int32) * SKETCH), pa.array(_sketches(text, shingles, texts)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, texts), pa.array(sizes.astype(np.int64)), pa.array(signed(own)), pa.array(signed(check)), sketch, pa.array(rare.astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys))), pa.array(parts[0][2] | parts[1][2])],
-                    names=["doc_id", "n_shingles", "set_id", "check", "sketch", "rare", "keys", "short"])
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys))), pa.array(parts[0][2] | parts[1][2]), batch.column(2).slice(low, texts)],
+                    names=["doc_id", "n_shingles", "set_id", "check", "sketch", "rare", "keys", "short", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SHINGLED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(run, SHINGLED)
 
 
 def _stars(shingled: DataFrame) -> DataFrame:
@@ -340,14 +340,14 @@ def _tested(pairs: DataFrame, shingles: DataFrame, threshold) -> DataFrame:
     return joined.mapInArrow(test, "a long, b long, similar boolean")
 
 
-def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int, int] = THRESHOLD, with_hash: bool = False) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, and text_hash (xxhash64 of the text) ``with_hash``.
 
     Texts link when threshold[1] * |A and B| >= threshold[0] * |A or B| on their distinct word shingles; shingles are
     told apart by 64-bit hashes. component_id is the smallest doc_id reachable by links. Null, empty and wordless texts
     have no shingles, link with nothing and keep their own doc_id. Rows with a null doc_id take part; their
-    component_id is null if no row of their group has an id. Repeated rows give repeated results. Columns besides
-    doc_id and text are not read. An empty table gives an empty result.
+    component_id is null if no row of their group has an id. Repeated rows give repeated results. Rows of one
+    doc_id with different texts are judged apart; text_hash tells which is which. Columns besides doc_id and text are not read. An empty table gives an empty result.
 
     Equal sets count as one from the start. Under each index key all sets are compared with one leader, then, where that did
     not connect them, with some others, and in the end all that are still of different components with each other: every
@@ -373,7 +373,7 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
             grouped = grouped.unionByName(_stars(again))
             lacking = lacking.join(again.where("short").select("set_id").distinct(), "set_id", "left_semi")
         grouped = scratch.kept(grouped, "grouped")
-        found = scratch.kept(shingled.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")), "texts")
+        found = scratch.kept(shingled.select("doc_id", "n_shingles", "text_hash", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")), "texts")
         scratch.drop(shingled)
 
         sets_read: list[DataFrame] = []
@@ -431,4 +431,4 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
             "component", F.coalesce("component", "set_id"))
         lows = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         labels = ids.join(lows, "component").select("set_id", "component_id")
-        return scratch.result(found.join(labels, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "groups")
+        return scratch.result(found.join(labels, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *["text_hash"] * with_hash), "groups")

@@ -117,6 +117,9 @@ def fitted(docs: DataFrame) -> Model:
     return Model(names, counts)
 
 
+RESULTS = ("doc_id", "held_out", "lang_pred", "score", "languages", "rejected")
+
+
 def identified(docs: DataFrame, train: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, languages, rejected, and the columns named in ``keep``.
 
@@ -124,7 +127,9 @@ def identified(docs: DataFrame, train: DataFrame | None = None, keep: Sequence[s
     null or has no letter is ``und`` with score 0 and no languages; it is rejected, as is a text that the background
     explains better than any language. Without any training row all texts are ``und``. Ties go to the language first in
     the alphabet. Texts of any length are used whole; lang, source and doc_id never are. Repeated rows give repeated results.
+    Columns of ``keep`` that are named like a result give way to it; others may have any name.
     """
+    keep = [c for c in keep if c.lower() not in RESULTS]
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs if train is None else train))
     kinds = dict(docs.dtypes)
     names = ["doc_id", "held_out", *keep]
@@ -136,4 +141,6 @@ def identified(docs: DataFrame, train: DataFrame | None = None, keep: Sequence[s
             made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*names, "lang_pred", "score", "languages", "rejected"])
 
-    return docs.select(F.col("text").alias("_text"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), *keep).mapInArrow(run, schema)
+    # The tasks read their columns by place, so these get names of no meaning.
+    read = docs.select("text", "doc_id", held_out(F.col("doc_id")), *[F.col(f"`{c}`") for c in keep])
+    return read.toDF(*[f"_column_{i}" for i in range(len(names) + 1)]).mapInArrow(run, schema)

@@ -51,14 +51,15 @@ def without_repeats(docs: DataFrame, *, divisor: int = DIVISOR, least_lines: int
     Of equal chunks of at least ``least_lines`` lines the first by (doc_id, text hash, place) stays, all others go, in the
     same text too; rows with a null doc_id come last. Rows that repeat doc_id and text count as one and share the result.
     Null texts stay null, with 0 lines; an empty text is one empty line. Every row of ``docs`` comes back. Columns named
-    like the results (n_lines, n_removed) are replaced; an n_chars column is not brought up to date.
+    like the results (n_lines, n_removed) are replaced, others may have any name; an n_chars column is not brought up to date.
 
     The texts are joined by sorting at every size, so that a job does the same on a small corpus as on a large one.
     Only hashes of all chunks are shuffled; texts of chunks whose hash repeats are then compared byte by byte, by grouping
     on the text itself, added up map-side, so a chunk of many copies arrives with few rows.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    base = docs.select(*columns)
+    others = docs.drop("n_lines", "n_removed")
+    columns = {c if c in ("doc_id", "text") else f"_column_{i}": c for i, c in enumerate(others.columns)}
+    base = others.toDF(*columns)  # so that no name below is one of the caller's
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("_chunk.start").alias("start"))
     slim = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null")
     many = F.filter("_chunks", lambda c: c["n"] >= least_lines)
@@ -91,6 +92,6 @@ def without_repeats(docs: DataFrame, *, divisor: int = DIVISOR, least_lines: int
         kept = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["start"]))
         left = F.array_join(F.flatten(F.transform(kept, lambda c: F.slice("_lines", c["start"] + 1, c["n"]))), "\n")
         removed = F.aggregate(F.filter("_chunks", lambda c: F.array_contains("_gone", c["start"])), F.lit(0).cast("long"), lambda total, c: total + c["n"])
-        return cut.select(*[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in columns],
+        return cut.select(*[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c).alias(name) for c, name in columns.items()],
                             F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
                             F.when(F.col("_gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))

@@ -148,3 +148,27 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str) == sorted([1, 3, 7, None], key=str)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+CLASHING = ("score", "rejected", "languages", "lang_pred", "held_out", "_text", "_lines", "n_lines", "n_removed", "_row", "_id", "_gone", "component_id", "text_hash", "set_id", "a.b")
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Rows of one id are judged by their own text; further columns keep names and values; empty tables stay empty."""
+    words = [f"plain{i} words{i} that{i} only{i} this{i} text{i} holds{i} in{i} some{i} order{i} of{i} its{i} own{i}" for i in range(4)]
+    item = "When Alice counts 12 red apples and 7 green pears in her basket, how many fruits does Alice hold in total?"
+    rows = [(3, words[0]), (5, words[0]), (5, words[1]), (5, words[1]), (7, item), (7, words[2]), (None, words[3]), (None, item), (8, None), (9, ""), (9, words[0])]
+    docs = spark.createDataFrame([(*r, "en", *[f"{i}-{c}" for c in CLASHING]) for i, r in enumerate(rows)], ", ".join(
+        ["doc_id long", "text string", "lang string", *[f"`{c}` string" for c in CLASHING]]))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {"n-gram Jaccard join": [r for r in rows if r not in [(5, words[0]), (9, words[0])]],
+            "benchmark decontamination": [r for r in rows if r[1] != item], "line dedup": rows, "language ID": [r for r in rows if r[1]]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        got = got.collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want[name], key=str), name
+        for r in got:
+            place = r[3].split("-")[0]
+            assert list(r[3:]) == [f"{place}-{c}" for c in CLASHING] and rows[int(place)][:1] == (r.doc_id,), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
