@@ -7,31 +7,55 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridsift.session import Scratch
 
 
+def _guarded(docs: DataFrame):
+    """``docs`` with its further columns under names that no operator uses, and the function that gives them their own back."""
+    inner = {c if c in ("doc_id", "text", "lang") else f"_column_{i}": c for i, c in enumerate(docs.columns)}
+    return docs.toDF(*inner), lambda df: df.select(*[F.col(c).alias(name) for c, name in inner.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in some language: without letters, or better explained by the background, a text goes."""
+    """Texts in some language: null, empty, without letters, or better explained by the background, a text goes.
+
+    Rows are judged by their text alone, so repeated rows and ids fare alike. An empty table gives an empty one.
+    """
     from gridsift.llm.langid import identified
-    return identified(docs, keep=[c for c in docs.columns if c != "doc_id"]).where("not rejected").select(*docs.columns)
+    inner, back = _guarded(docs)
+    return back(identified(inner, keep=[c for c in inner.columns if c != "doc_id"]).where("not rejected"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the line chunks that an earlier text holds; n_chars is that of what is left. All documents stay."""
+    """Texts without the line chunks that an earlier text holds; n_chars is that of what is left. All documents stay.
+
+    Rows of one doc_id with different texts are different texts; rows that repeat both share the result. Null texts stay null.
+    """
     from gridsift.llm.linededup import without_repeats
-    left = without_repeats(docs)
-    return left.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(c) for c, kind in docs.dtypes])
+    inner, back = _guarded(docs)
+    left = back(without_repeats(inner))
+    return left.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, kind in docs.dtypes])
 
 
 def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts the document with the smallest id. Documents without an id stay."""
+    """Of each group of similar texts the document with the smallest id. Documents without an id or without words stay.
+
+    A row goes for its own text: if an id is repeated, a row of it that is like no other stays. Rows of the smallest id of
+    their group are one document and stay together.
+    """
     from gridsift.llm.jaccard import similar_groups
-    others = similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    inner, back = _guarded(docs)
+    others = similar_groups(docs, with_hash=True).where("doc_id <> component_id").select("doc_id", F.col("text_hash").alias("_row")).distinct()
+    return back(inner.withColumn("_row", F.xxhash64("text")).join(others.hint("merge"), ["doc_id", "_row"], "left_anti"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, with its own or other numbers and names."""
+    """Documents that hold no benchmark item, with its own or other numbers and names.
+
+    Each row is searched by itself, with or without an id: of rows with one id only those go that hold an item. Null and empty texts stay.
+    """
     from gridsift.llm.decontaminate import contaminated
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    inner, back = _guarded(docs)
+    rows = inner.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_row")).distinct()
+    return back(rows.join(found.hint("merge"), "_row", "left_anti"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
