@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gridsift.llm.components import components
@@ -255,14 +256,18 @@ def _stars(shingled: DataFrame) -> DataFrame:
                                              names=["key", "member", "leader", "rare"])
 
     found = shingled.where(F.size("keys") > 0).select("set_id", "rare", "keys").mapInArrow(local, GROUPED + ", rare int")
-    heads = found.where("leader is null").select("key", "member", "rare").repartition("key").sortWithinPartitions("key", "rare", "member")
-    return found.where("leader is not null").select("key", "member", "leader").unionByName(heads.select("key", "member").mapInArrow(_across, GROUPED))
+    # Rows that have their leader take the same exchange, so that ``shingled`` is read once; they are dealt evenly.
+    dealt = found.repartition(F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("key", "member", "leader")))
+    return dealt.sortWithinPartitions("key", "rare", "member").select("key", "member", "leader").mapInArrow(_across, GROUPED)
 
 
 def _across(batches):
-    """(key, member, leader) of rows (key, member) that come sorted by key: the first of a key leads the others."""
+    """(key, member, leader) of rows that come sorted by key: the first of a key without a leader leads the others without."""
     last_key, last_leader = None, 0
     for batch in batches:
+        led = batch.column(2).is_valid()
+        yield batch.filter(led)
+        batch = batch.filter(pc.invert(led))
         key, member = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(key):
             continue
@@ -356,11 +361,12 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         known = spark.sparkContext.broadcast(_frequent_map(docs, size))
-        shingled = scratch.kept(_shingled(docs, size, threshold, 0, None, known), "shingled")
+        # Two passes over the texts: the index keys, most of a set's bytes, go straight to their exchange and are never kept.
+        shingled = scratch.kept(_shingled(docs, size, threshold, 0, None, known).drop("keys"), "shingled")
         reps = scratch.kept(shingled.where("n_shingles > 0").groupBy("set_id", "n_shingles").agg(
             F.min("doc_id").alias("doc_id"), F.min("check").alias("check"), F.max("check").alias("_check"), F.max("short").alias("short"), F.min("sketch").alias("sketch")).select(
             "set_id", "n_shingles", "doc_id", "short", "sketch", F.assert_true(F.col("check") == F.col("_check"), F.lit("two sets with one 64-bit id")).alias("ok")), "classes")
-        grouped, seed, short = _stars(shingled), 0, reps.where("short")
+        grouped, seed, short = _stars(_shingled(docs, size, threshold, 0, None, known)), 0, reps.where("short")
         # Sets whose segments happened to be too full lack units; their bands are dealt anew until none does.
         lacking = short.select("set_id", "n_shingles")
         while True:
