@@ -55,14 +55,25 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("stem", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
 
 
-def sidecar_problems(arrays: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Arrays and sidecars that miss each other or disagree on shape, dtype, file name or hash."""
-    s = sidecars.select("stem", F.col("shape").alias("_shape"), F.col("dtype").alias("_dtype"), F.col("sha256").alias("_sha"), "array")
+def sidecar_problems(arrays: DataFrame, sidecars: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Arrays and sidecars that miss each other or disagree on shape, dtype, file name or hash.
+
+    With ``expected(stem, image, geometry_id, score_kind, format)`` the sidecar must also name that image, geometry, kind and
+    format; files that are expected or there without the other are problems too.
+    """
+    s = sidecars.select("stem", F.col("shape").alias("_shape"), F.col("dtype").alias("_dtype"), F.col("sha256").alias("_sha"), "array",
+                        F.struct("filename", "geometry_id", "score_kind", "format").alias("_identity"))
     j = arrays.join(s, "stem", "full")
     rules = F.array(
         F.when(F.col("rows").isNull(), F.lit("no_array")), F.when(F.col("_sha").isNull(), F.lit("no_sidecar")),
         F.when(F.array("rows", "cols") != F.col("_shape"), F.lit("shape")), F.when(F.col("dtype") != F.col("_dtype"), F.lit("dtype")),
         F.when(F.col("sha256") != F.col("_sha"), F.lit("sha256")), F.when(F.concat("stem", F.lit(".npy")) != F.col("array"), F.lit("array")))
+    if expected is not None:
+        j = j.join(expected.select("stem", F.struct(F.col("image").cast("string").alias("filename"), "geometry_id", "score_kind", "format").alias("_expected")), "stem", "full")
+        rules = F.concat(rules, F.array(
+            F.when(F.col("_expected").isNull(), F.lit("unexpected")),
+            *[F.when(F.col("_sha").isNotNull() & F.col("_expected").isNotNull() & ~F.col(f"_identity.{c}").eqNullSafe(F.col(f"_expected.{c}")), F.lit(c))
+              for c in ("filename", "geometry_id", "score_kind", "format")]))
     return j.select("stem", F.explode(F.array_compact(rules)).alias("problem"))
 
 
