@@ -133,12 +133,70 @@ def _hits(rows: DataFrame, window: int, least_words: int, bits=None, key: str =
     return rows.mapInArrow(run, f"{key} long, {_HIT}")
 
 
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """Bits of the hashes in ``wanted``; at most 2 ** (FILTER_BITS - 6) rows reach the driver."""
+    words = wanted.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("place")).distinct().groupBy(F.expr("place div 64").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits"))
+    table = words.toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    bits[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return bits.view(np.uint8)
+
+
+def _runs(rows: DataFrame, lengths: list[int], whole_below: int, bits=None) -> DataFrame:
+    """(the columns of ``rows`` but the last, its text; n, hash, position, runs) of the runs of n plain tokens, n of ``lengths``.
+
+    A text gives runs of n < ``whole_below`` only if it has n tokens; ``runs`` is how many runs of n tokens it has.
+    """
+    keys = rows.columns[:-1]
+
+    def run(batches):
+        for batch in batches:
+            for low, _, words in chunks(batch.column(len(keys)), lower=True, letters=_classes()[0]):
+                sizes, text = np.diff(words.first), words.text_of()
+                for n in lengths:
+                    at, h = words.grams(n)
+                    key = mixed(h ^ np.uint64(0x7C15D3A9B4E1F263))
+                    keep = sizes[text[at]] == n if n < whole_below else np.ones(len(at), dtype=bool)
+                    if bits is not None:
+                        place = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                        keep &= (bits.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                    at, key = at[keep], key[keep]
+                    owner = text[at]
+                    own = [batch.column(i).take(pa.array(low + owner)) for i in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays(
+                        [*own, pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(signed(key)), pa.array((at - words.first[owner]).astype(np.int32)),
+                         pa.array((sizes[owner] - n + 1).astype(np.int32))], names=[*keys, "n", "hash", "position", "runs"])
+
+    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", n int, hash long, position int, runs int")
+
+
+def _verbatim(texts: DataFrame, items: DataFrame, window: int, least_words: int, scratch: Scratch) -> DataFrame | None:
+    """Documents that hold all tokens of an item in a row; None if there are no items.
+
+    An item of less than ``least_words`` tokens must be the whole text. Longer items are met by their runs of ``window`` tokens,
+    all of which must lie at one distance; so the lengths looked for are at most ``window``, however long the items.
+    """
+    parts = items.select("item_id", F.xxhash64("text").alias("part"), "text").distinct()
+    wanted = scratch.kept(_runs(parts, list(range(1, window + 1)), window), "item-runs")
+    lengths = sorted(row[0] for row in wanted.select("n").distinct().collect())  # at most ``window``
+    if not lengths:
+        return None
+    found = _runs(texts, lengths, least_words, texts.sparkSession.sparkContext.broadcast(_filter(wanted)))
+    met = found.select("doc_id", "n", "hash", "position").join(wanted.withColumnRenamed("position", "item_position"), ["n", "hash"])
+    whole = met.groupBy("doc_id", "item_id", "part", "runs", (F.col("position") - F.col("item_position")).alias("distance")).agg(
+        F.count_distinct("item_position").alias("met")).where("met = runs")
+    return whole.groupBy("doc_id", "item_id").agg(F.max("runs").cast("long").alias("n_windows")).select(
+        "doc_id", "item_id", "n_windows", F.col("n_windows").alias("n_matched"), F.lit(1.0).alias("coverage"), F.lit(True).alias("verbatim"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, least_words: int = LEAST_WORDS, coverage: float = COVERAGE) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, n_windows (of the item), n_matched, coverage, verbatim.
 
     ``verbatim`` tells that all numbers, names and units are the item's own. Items without a window of ``least_words``
-    words that are no placeholders cannot be told from chance and are not searched. Null, empty or short texts match
-    nothing, nor do rows without an id. Rows that repeat an id are parts of one document or item and repeated rows change
+    words that are no placeholders cannot be told from chance when filled anew. They, and items with so few windows that the text around
+    a copy could hide it, are found where all their tokens stand in a row as they are (but for case), n_windows then counting
+    their runs of ``window`` tokens, or 1; items of less than ``least_words`` tokens only where they are the whole text. Null, empty or short texts match nothing, nor do rows without an id. Rows that repeat an id are parts of one document or item and repeated rows change
     nothing. Other columns are not read. An empty table on either side gives an empty result.
 
     Windows that occur in no item are dropped map-side by a filter of fixed size; a passage of many documents is a hot
@@ -147,16 +205,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, lea
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        wanted = scratch.kept(_hits(items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text"),
-                                    window, least_words, key="item_id").distinct(), "item-windows")
+        asked = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+        wanted = scratch.kept(_hits(asked, window, least_words, key="item_id").distinct(), "item-windows")
         sizes = wanted.groupBy("item_id").agg(F.count_distinct("position").alias("n_windows"))
-        place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-        words = wanted.select(place.alias("place")).distinct().groupBy(F.expr("place div 64").alias("word")).agg(
-            F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits"))
-        table = words.toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
-        bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-        bits[table.column("word").to_numpy()] = table.column("bits").to_numpy()
-        shared = spark.sparkContext.broadcast(bits.view(np.uint8))
+        shared = spark.sparkContext.broadcast(_filter(wanted))
 
         texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         found = _hits(texts, window, least_words, shared)
@@ -177,4 +229,11 @@ def contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, lea
             F.size(F.array_distinct(F.flatten(F.collect_set("positions")))).cast("long").alias("n_matched"),
             F.bool_or(~F.exists("filled", lambda f: f["item"] != f["doc"])).alias("verbatim"))
         result = whole.join(sizes, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
-        return scratch.result(result.select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "verbatim"), "contaminated")
+        result = result.select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "verbatim")
+        # What stands around a copy can change how its first and last token are read, and so at most two of its windows.
+        safe = sizes.where(F.col("n_windows") - 2 >= coverage * F.col("n_windows"))
+        short = _verbatim(texts, asked.join(safe, "item_id", "left_anti"), window, least_words, scratch)
+        if short is None:
+            return scratch.result(result, "contaminated")
+        result = scratch.kept(result, "by-windows")
+        return scratch.result(result.unionByName(short.join(result, ["doc_id", "item_id"], "left_anti")), "contaminated")

@@ -222,11 +222,34 @@ def test_benchmark(spark):
             (8, other), (8, other), (9, "7 8 9 10 11 12 13 14"), (10, " ".join(item.split()[3:]))]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, items).collect()}
-    assert set(got) == {(i, 1) for i in (1, 2, 7, 8, 10)}
+    assert set(got) == {(i, 1) for i in (1, 2, 7, 8, 10)} | {(9, 4)}  # item 4 has no window and stands verbatim in 9
     assert got[1, 1].verbatim and got[7, 1].verbatim and not got[2, 1].verbatim and got[1, 1].coverage == 1.0
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_benchmark_items_without_windows(spark):
+    """Against a search of every token sequence: items without a window are found verbatim, the shortest only as whole texts."""
+    texts = ["What is 12 + 7 * 3 - 4?", "Name the capital", "Who wrote War and Peace?", "yes", "go on", "1 2 3 4 5 6 7 8 9 10 11", None, "", "?!"]
+    items = [(i, t) for i, t in enumerate(texts)] + [(1, "Name the capital"), (None, "yes"), (20, "5 6 7 8 9 8 7 6 5"), (20, "New York City")]
+    rng = random.Random(3)
+    words = ["yes", "Go on", "name THE capital", "12", "is", "what", "4", "who", "wrote", "5 6 7 8 9", "8 7 6 5", "New York City", "1 2 3 4 5 6 7", "8 9 10 11"]
+    docs = [(i, f" {rng.choice(['so', '-'])} ".join(["a", t or "", "b"])) for i, t in enumerate(texts)] + [(30 + i, t) for i, t in enumerate(texts)]
+    docs += [(100 + i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))) for i in range(150)]
+    docs += [(300, "yes " * 40000 + "name the capital"), (None, "name the capital"), (301, "what is 12 + 8 * 3 - 4"), (302, "what is 12 7 3 4"), (302, "what is 12 7 3 4")]
+
+    def tokens(t):
+        return re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", (t or "").lower())
+
+    def held(item, doc):
+        n = len(item)
+        return n > 0 and (item == doc if n < 3 else any(doc[i:i + n] == item for i in range(len(doc) - n + 1)))
+
+    want = {(d, i) for d, t in docs for i, q in items if None not in (d, i) and held(tokens(q), tokens(t))}
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and all(r.verbatim and r.coverage == 1 for r in got)
+    assert {(300, 1), (302, 0), (33, 3), (2, 2)} <= want and (301, 0) not in want
+
+
 def test_benchmark_names_that_open_sentences(spark):
     items = [(1, "Alice has 5 apples. Bob gives Alice 7 apples. Carol takes 3 apples. How many apples are left?"),
              (2, "Weng earns 12 dollars an hour. Weng worked 50 minutes of babysitting yesterday. How much did Weng earn?")]
