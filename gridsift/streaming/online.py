@@ -99,14 +99,20 @@ def latest_moments(spark: SparkSession, path: str, before: int | None = None) ->
     return None if newest is None else versions.where(F.col("version") == newest).drop("version")
 
 
+#: Microseconds of 10,000 years. Spark's watermark starts at 1970 and takes what is not later for late; times are moved beyond it.
+_BEFORE_1970 = 3_652_425 * 86_400 * 1_000_000
+
+
 def update_moments(images: DataFrame, path: str, checkpoint: str, *, cells: int, channels: int, time: str = "arrived", horizon: str = "1 hour") -> StreamingQuery:
     """Fold arriving images (category, image, ``time``, x: the flat grid) into versioned moment tables, each image once.
 
     The stream's state is one key per image, kept for ``horizon`` of event time: a replay within it is dropped, and an image
     that comes later than that behind the newest one is refused, so state never outgrows the images of the horizon. A batch
-    reads the version before it and writes its own under its number, so a repeated batch rewrites the same table.
+    reads the version before it and writes its own under its number, so a repeated batch rewrites the same table. Times may
+    lie on either side of 1970; only their order and distance count.
     """
-    once = images.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["category", "image"])
+    moved = F.timestamp_micros(F.unix_micros(F.col(time).cast("timestamp")) + F.lit(_BEFORE_1970))
+    once = images.withColumn(time, moved).withWatermark(time, horizon).dropDuplicatesWithinWatermark(["category", "image"])
     grid = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.slice(F.col("x"), i * channels + 1, channels))
 
     def fold(batch: DataFrame, number: int) -> None:

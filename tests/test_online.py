@@ -39,3 +39,19 @@ def test_replays_and_late_images(spark, tmp_path):
         np.testing.assert_allclose(model[cell].mean, x[:, cell].mean(axis=0))
         np.testing.assert_allclose(model[cell].std_sample, x[:, cell].std(axis=0, ddof=1))
 
+
+def test_images_at_and_before_1970(spark, tmp_path):
+    """Only the horizon makes an image late, not the year it was taken in."""
+    vectors = np.random.default_rng(2).normal(size=(8, 6))
+    at = lambda i, second: ("c", i, datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=second), vectors[i].tolist())
+    batches = [[at(0, 40), at(1, 50)], [at(2, 0), at(3, -20), at(0, 40)], [at(4, -300), at(5, 60)], [at(3, -20), at(6, 61)]]
+    for _ in fed(spark, str(tmp_path), batches, "100 seconds"):
+        pass
+    # Number 4 is older than the horizon; 0 and 3 came twice.
+    used = [0, 1, 2, 3, 5, 6]
+    x = vectors[used].reshape(len(used), 2, 3)
+    x = x / np.linalg.norm(x, axis=2, keepdims=True)
+    model = {r.cell: r for r in online.model_of(online.latest_moments(spark, f"{tmp_path}/moments")).collect()}
+    for cell in (0, 1):
+        assert model[cell].n == len(used)
+        np.testing.assert_allclose(model[cell].mean, x[:, cell].mean(axis=0))
