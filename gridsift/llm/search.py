@@ -181,18 +181,19 @@ def _shards(batches, hashes: np.ndarray, n_docs: int, n_all: int, shard_postings
         yield made()
 
 
-def _blocks(weighted: DataFrame) -> Iterator[pa.Table]:
-    """Items' terms (row, term, weight) in blocks of whole items, each of bounded size."""
-    sizes = weighted.groupBy("row").agg(F.count(F.lit(1)).alias("size")).orderBy("row")
-    low, high, items, held = None, None, 0, 0
-    for row in sizes.toLocalIterator():
-        if low is not None and (items == BLOCK_ITEMS or held + row["size"] > BLOCK_TERMS):
-            yield weighted.where(F.col("row").between(low, high)).toArrow()
-            low, items, held = None, 0, 0
-        low, high = row["row"] if low is None else low, row["row"]
-        items, held = items + 1, held + row["size"]
-    if low is not None:
-        yield weighted.where(F.col("row").between(low, high)).toArrow()
+def _blocks(weighted: DataFrame, sizes: DataFrame) -> Iterator[pa.Table]:
+    """Items' terms (row, term, weight) in blocks of whole items, each of bounded size; ``sizes`` has the terms of each row.
+
+    Each block is asked for by itself: an iterator over one sorted query would read shuffle files that ``Scratch`` has removed.
+    """
+    last = -1
+    while True:
+        ahead = sizes.where(F.col("row") > last).orderBy("row").limit(BLOCK_ITEMS).toArrow()
+        if not ahead.num_rows:
+            return
+        fit = int(np.searchsorted(np.cumsum(ahead["size"].to_numpy()), BLOCK_TERMS, side="right"))
+        low, last = ahead["row"][0].as_py(), ahead["row"][max(fit, 1) - 1].as_py()
+        yield weighted.where(F.col("row").between(low, last)).toArrow()
 
 
 def searched(docs: DataFrame, items: DataFrame, *, k: int = 20, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
@@ -219,8 +220,9 @@ def searched(docs: DataFrame, items: DataFrame, *, k: int = 20, shard_postings:
         weight = F.floor(F.lit(1000.0) * F.log(F.lit(float(2 * n_docs + 2)) / (F.lit(2.0) * F.col("df") + F.lit(1.0)))).cast("long")
         weighted = scratch.kept(wanted.join(df, "term").select("row", "term", (F.col("times") * weight).alias("weight")).where("weight > 0"), "item-weights")
 
+        sizes = scratch.kept(weighted.groupBy("row").agg(F.count(F.lit(1)).alias("size")), "item-sizes")
         best = None
-        for table in _blocks(weighted):
+        for table in _blocks(weighted, sizes):
             block = _searched(spark, found, table, n_docs, n_all, k, shard_postings)
             best = block if best is None else best.unionByName(block)
         if best is None:

@@ -84,3 +84,20 @@ def test_shards_and_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_TERMS", 17)
     got = search.searched(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"), shard_postings=500).collect()
     assert sorted(map(tuple, got)) == sorted(ranked(docs, items, 20))
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    """Blocks are queries of their own: rows of one query taken bit by bit would need shuffle files that are removed by then."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(self, *_, **__):
+        raise AssertionError("rows taken bit by bit while shuffle files are removed")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    monkeypatch.setattr(search, "BLOCK_ITEMS", 4)
+    monkeypatch.setattr(search, "BLOCK_TERMS", 6)
+    rng = random.Random(2)
+    docs = [(i, made(rng, 20, ["a", "b", "c", "d", "e", "f", "g", "h"])) for i in range(40)]
+    items = [(i, " ".join(rng.sample("abcdefgh", n))) for i, n in enumerate([1, 1, 1, 1, 1, 8, 2, 3, 2, 8, 1])]
+    found = search.searched(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").repartition(3), k=5)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, ranked(docs, items, 5)))
