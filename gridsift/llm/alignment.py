@@ -13,6 +13,7 @@ from __future__ import annotations
 import array
 import functools
 import hashlib
+import itertools
 import json
 import re
 
@@ -27,8 +28,11 @@ from gridsift.session import Scratch
 HEAD = 1 << 19
 #: Bytes of text and links handled at once; one document may exceed the first alone. They bound memory and change no result.
 SLICE_BYTES, SLICE_LINKS = 1 << 20, 1 << 22
-#: Pieces of text whose ids a worker remembers, none longer than LONG characters.
+#: Pieces of text whose ids a worker remembers, none longer than LONG characters; when half as many are new, those not met since
+#: the last time are forgotten.
 KNOWN, LONG = 1 << 19, 64
+#: New parts that are encoded as one text.
+RUN = 1 << 10
 
 #: A pair is (id of A) * 2^B_BITS + (id of B) in a signed 64-bit integer.
 B_BITS = 31
@@ -84,6 +88,13 @@ class Pieces(_Side):
 #: Neither side joins what such a place divides: the byte-level pattern takes a space with what follows it, and pieces
 #: hold spaces at their start alone.
 _PARTS = re.compile(r"(?<=[^ ])(?= \S)")
+#: Without such a place, the parts are what spaces divide.
+_WIDE = re.compile(r" (?:\s|\Z)")
+
+
+def _cut(text: str) -> list[str]:
+    """Parts of a text that begins with a space, each without the space that it begins with."""
+    return [part[1:] for part in _PARTS.split(text)] if _WIDE.search(text) else text.split(" ")[1:]
 
 
 class Both:
@@ -92,27 +103,59 @@ class Both:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
         self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.older: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def _learn(self, parts: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
-        found = {}
-        for part, a, b in zip(parts, self.a.ids(parts), self.b.ids(parts)):
-            data = part.encode()
+        if 2 * (len(self.known) + len(parts)) > KNOWN:
+            self.known, self.older = {}, self.known
+        older = self.older
+        found = {part: older[part] for part in parts if part in older}
+        new = [part for part in parts if part not in found] if found else parts
+        # A part that begins and ends within a word stays a part of any text that it is put into.
+        plain = [part for part in new if part and not part[0].isspace() and not part[-1].isspace()] if self.a.parts and self.b.parts else []
+        for low in range(0, len(plain), RUN):
+            found.update(self._together(plain[low:low + RUN]))
+        alone = [part for part in new if part not in found]
+        found.update(self._alone(alone))
+        self.known.update((part, ids) for part, ids in found.items() if len(part) < LONG)
+        return found
+
+    def _together(self, parts: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """Parts encoded one behind the other and cut where their bytes end; none if a side does not give back all of them."""
+        text = " " + " ".join(parts)
+        data = text.encode()
+        ends = np.cumsum([len(part) + 1 for part in (parts if len(data) == len(text) else map(str.encode, parts))])
+        cut = []
+        # The model of B takes long texts more slowly than their parts.
+        for side, texts in ((self.a, [text]), (self.b, [" " + part for part in parts])):
+            ids = np.fromiter(itertools.chain.from_iterable(side.ids(texts)), dtype="<i4")
+            upto = np.cumsum(side.lengths[ids])
+            at = np.searchsorted(upto, ends)
+            if not len(ids) or upto[-1] != len(data) or (upto[at] != ends).any() or b"".join(map(side.tokens.__getitem__, ids.tolist())) != data:
+                return {}
+            buffer, places = ids.tobytes(), (4 * (at + 1)).tolist()
+            cut.append([buffer[low:high] for low, high in zip([0, *places], places)])
+        return {part: (a, b, True) for part, a, b in zip(parts, *cut)}
+
+    def _alone(self, parts: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
+        found, spaced = {}, [" " + part for part in parts]
+        for part, text, a, b in zip(parts, spaced, self.a.ids(spaced), self.b.ids(spaced)):
+            data = text.encode()
             same = b"".join([self.a.tokens[i] for i in a]) == data and b"".join([self.b.tokens[i] for i in b]) == data
             found[part] = array.array("i", a).tobytes(), array.array("i", b).tobytes(), same
-        if len(self.known) + len(found) > KNOWN:
-            self.known.clear()
-        self.known.update((part, ids) for part, ids in found.items() if len(part) <= LONG)
         return found
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """32-bit ids of both sides for each text; none at all if a side does not give back the text. New parts are encoded together."""
         whole = [" " + text if text else "" for text in texts]
-        split = [(_PARTS.split(text) if self.a.parts and self.b.parts else [text]) if text else [] for text in whole]
+        split = [(_cut(text) if self.a.parts and self.b.parts else [text[1:]]) if text else [] for text in whole]
         every: set[str] = set()
         for parts in split:
             every.update(parts)
-        coded = {part: self.known.get(part) for part in every}
-        coded |= self._learn([part for part, ids in coded.items() if ids is None])
+        known = self.known
+        coded = {part: known[part] for part in every if part in known}
+        if len(coded) < len(every):
+            coded.update(self._learn([part for part in every if part not in coded]))
         return [self._joined(text, [coded[part] for part in parts]) if parts else (b"", b"") for text, parts in zip(whole, split)]
 
     def _joined(self, text: str, coded: list[tuple[bytes, bytes, bool]]) -> tuple[bytes, bytes]:

@@ -13,7 +13,7 @@ import functools
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gridsift.session import Scratch
 
-#: Ids of so many words are remembered by a worker, none longer than LONG bytes. It bounds memory and changes no result.
+#: Ids of so many words are remembered by a worker, none longer than LONG bytes; when as many are new, those not met since the last
+#: time are forgotten. It bounds memory and changes no result.
 WORDS, LONG = 1 << 19, 64
+#: New words that are encoded as one text.
+RUN = 1 << 10
 _LETTER, _MARK, _SPACE = (np.isin(np.arange(256), list(some)) for some in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b".,;:!?", b" \t\n\r\x0b\x0c"))
 
 
@@ -47,29 +50,52 @@ class WordEncoder:
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         # Text that is lower-cased anyway has fewer different words if that is done before.
         self.lowers = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+        #: A word of its own that has one id, with white space about it.
+        marks = ((f" {c} ", self.tokenizer.encode(c, add_special_tokens=False).ids) for c in "|~^`\\}{")
+        unknown = self.tokenizer.encode("\U0010FFFD", add_special_tokens=False).ids
+        self.mark = next(((c, ids[0]) for c, ids in marks if len(ids) == 1 and ids[0] not in unknown), None)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        made = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        found = {w: array.array("I", e.ids).tobytes() for w, e in zip(words, made)}
-        if len(self.known) + len(found) > WORDS:
-            self.known.clear()
-        self.known.update((w, ids) for w, ids in found.items() if len(w) <= LONG)
+        if len(self.known) + len(words) > WORDS:
+            self.known, self.older = {}, self.known
+        older = self.older
+        found = {w: older[w] for w in words if w in older}
+        new = [w for w in words if w not in found] if found else words
+        for low in range(0, len(new), RUN):
+            found.update(self._coded(new[low:low + RUN]))
+        self.known.update(found if max(map(len, words), default=0) <= LONG else {w: ids for w, ids in found.items() if len(w) <= LONG})
         return found
 
+    def _coded(self, words: list[bytes]) -> Iterable[tuple[bytes, bytes]]:
+        """(word, ids): the words as one text with a mark between them, as white space divides them; each alone if one holds the mark itself."""
+        if self.mark is not None:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join([w.decode() for w in words])], add_special_tokens=False)[0].ids, dtype="<u4")
+            marks = np.flatnonzero(ids == self.mark[1])
+            if len(marks) == len(words) - 1:
+                data, ends = ids.tobytes(), (4 * marks).tolist()
+                return zip(words, [data[low:high] for low, high in zip([0, *[end + 4 for end in ends]], [*ends, len(data)])])
+        made = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return zip(words, [array.array("I", e.ids).tobytes() for e in made])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; words that are new are encoded together."""
         split = []
         for text in texts:
             data = text.encode()
-            if self.lowers and not any(t in data.lower() for t in self.added):
-                data = data.lower()  # A-Z alone; the rest is left to the tokenizer
+            if self.lowers:
+                low = data.lower()  # A-Z alone; the rest is left to the tokenizer
+                if not any(t in low for t in self.added):
+                    data = low
             split.append(_parted(data).split())  # only ASCII white space; the rest is left to the tokenizer
         every: set[bytes] = set()
         for words in split:
             every.update(words)
-        coded = {w: self.known.get(w) for w in every}
-        coded |= self._learn([w for w, ids in coded.items() if ids is None])
+        known = self.known
+        coded = {w: known[w] for w in every if w in known}
+        if len(coded) < len(every):
+            coded.update(self._learn([w for w in every if w not in coded]))
         return [b"".join(map(coded.__getitem__, words)) for words in split]
 
 

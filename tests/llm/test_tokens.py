@@ -192,3 +192,27 @@ def test_packing_of_documents(spark, capacity):
 def test_packing_of_nothing(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string"), W).count() == 0
     assert packing.packed(spark.range(3).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")), W).select("length", "sequence_id").distinct().count() == 1
+
+
+def test_frequent_words_are_not_encoded_again(monkeypatch):
+    """What is met all the time stays known however many new words come, and words that hold the mark have their own ids."""
+    monkeypatch.setattr(packing, "WORDS", 64)
+    encoder, plain, asked = packing.WordEncoder(W), Tokenizer.from_file(W), []
+    learn = encoder._coded
+    monkeypatch.setattr(encoder, "_coded", lambda words: asked.extend(words) or learn(words))
+    for k in range(30):
+        text = "always there | a|b ｜ x " + " ".join(f"new{k}x{i}" for i in range(20))
+        assert encoder.encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert asked.count(b"always") == asked.count(b"there") == 1
+
+
+def test_frequent_parts_are_not_encoded_again(both, monkeypatch):
+    monkeypatch.setattr(alignment, "KNOWN", 128)
+    asked, ids = [], both.b.ids
+    monkeypatch.setattr(both.b, "ids", lambda texts: asked.extend(texts) or ids(texts))
+    for k in range(30):
+        text = "alwaysthere with  two\n spaces ▁ é " + " ".join(f"new{k}x{i}" for i in range(20))
+        a, b = both.encode([text])[0]
+        (a_ids, _), (b_ids, _) = tokens(both, text)
+        assert np.frombuffer(a, "<i4").tolist() == list(a_ids) and np.frombuffer(b, "<i4").tolist() == list(b_ids)
+    assert asked.count(" alwaysthere") == 1
