@@ -40,19 +40,32 @@ def to_bytes(values: np.ndarray) -> np.ndarray:
     return np.floor(np.clip(values, 0.0, 255.0) + 0.5).astype(np.int32)
 
 
-@arrow_udf(CHANGED)
-def photometric(pixels: pa.Array, family: pa.Array, level: pa.Array) -> pa.Array:
-    """Changed channel values of every image and how many of them were clipped."""
+#: Images changed at once; it bounds memory and changes no result.
+AT_ONCE = 1 << 10
+
+
+def _changed(pixels: pa.Array, family: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = pixels.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    owner = np.repeat(np.arange(len(pixels)), np.diff(pixels.offsets.to_numpy()))
-    names, amount = np.asarray(family.to_pylist(), dtype=object)[owner], level.to_numpy(zero_copy_only=False)[owner]
+    size = np.diff(pixels.offsets.to_numpy())
+    names, amount = np.repeat(family, size), np.repeat(level, size)
     changed = values.copy()
-    for name in set(family.to_pylist()):
-        own = names == name
+    for number, name in enumerate(PHOTOMETRIC):
+        own = names == number
         changed[own] = change(values[own], name, amount[own])
+    owner = np.repeat(np.arange(len(pixels)), size)
     clipped = np.bincount(owner, weights=(changed < 0) | (changed > 255), minlength=len(pixels)).astype(np.int64)
+    return to_bytes(changed), clipped
+
+
+@arrow_udf(CHANGED)
+def photometric(pixels: pa.Array, family: pa.Array, level: pa.Array) -> pa.Array:
+    """Changed channel values of every image and how many of them were clipped."""
+    numbers = np.array([PHOTOMETRIC.index(name) if name in PHOTOMETRIC else -1 for name in family.to_pylist()], dtype=np.int8)
+    levels = level.to_numpy(zero_copy_only=False)
+    parts = [_changed(pixels.slice(low, AT_ONCE), numbers[low:low + AT_ONCE], levels[low:low + AT_ONCE]) for low in range(0, max(len(pixels), 1), AT_ONCE)]
+    values, clipped = (np.concatenate(p) for p in zip(*parts))
     offsets = pa.array((pixels.offsets.to_numpy() - pixels.offsets[0].as_py()).astype(np.int32))
-    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(to_bytes(changed))), pa.array(clipped)], ["pixels", "clipped"])
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(clipped)], ["pixels", "clipped"])
 
 
 def luminance_of(rgb: np.ndarray) -> np.ndarray:

@@ -44,11 +44,16 @@ def with_variants(rows, variants=VARIANTS):
         *[c for c in rows.columns if c != "pixels"], "_v.variant", "_v.pixels")
 
 
-def pixel_units(rows):
+def pixel_features(rows):
+    """One row per cell with its grey values over 255."""
     cells = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.transform(
         F.slice(F.col("pixels"), i * CHANNELS + 1, CHANNELS), lambda v: v / F.lit(255.0)))
     others = [c for c in rows.columns if c != "pixels"]
-    return M.units(rows.select(*others, F.posexplode(cells).alias("cell", "x")))
+    return rows.select(*others, F.posexplode(cells).alias("cell", "x"))
+
+
+def pixel_units(rows):
+    return M.units(pixel_features(rows))
 
 
 def conditions(rows, levels, families=PH.PHOTOMETRIC):
@@ -62,9 +67,9 @@ def conditions(rows, levels, families=PH.PHOTOMETRIC):
 
 def nuisance_state(spark, sf, variants=VARIANTS):
     """(model, calibration) of the variants, from unchanged images."""
-    u = pixel_units(with_variants(pixel_images(spark, sf), variants))
-    model = kept(M.position_model(u.where("split = 'fit'"), KEYS), "model")
-    raw = M.raw_maps(u.where("split = 'calibration'"), model, KEYS)
+    f = pixel_features(with_variants(pixel_images(spark, sf), variants))
+    model = kept(M.position_model(M.units(f.where("split = 'fit'")), KEYS), "model")
+    raw = M.feature_maps(f.where("split = 'calibration'"), model, KEYS)
     return model, kept(M.position_calibration(raw, KEYS), "calibration")
 
 
@@ -73,10 +78,10 @@ def nuisance_maps(spark, sf, split="calibration", keep_units=False, variants=VAR
     model, calibration = nuisance_state(spark, sf, variants)
     # The change is applied before the variant turns the image, as a camera would.
     rows = conditions(pixel_images(spark, sf).where(F.col("split") == split), levels, families)
-    u = pixel_units(with_variants(rows, variants))
-    if keep_units:
-        u = u.withColumn("unit", F.col("u"))
-    maps = M.calibrated(M.raw_maps(u, model, KEYS), calibration, KEYS)
+    f = pixel_features(with_variants(rows, variants))
+    # Normalisation and distance are one Python pass, so a task has one worker less beside that of the change.
+    raw = M.raw_maps(M.units(f).withColumn("unit", F.col("u")), model, KEYS) if keep_units else M.feature_maps(f, model, KEYS)
+    maps = M.calibrated(raw, calibration, KEYS)
     return kept(maps, "nuisance"), model, calibration
 
 
@@ -319,8 +324,8 @@ def robustness_pairs(spark, sf):
         F.max("z").alias("st"), F.max(F.when(F.expr(INNER), F.col("z"))).alias("interior_st"))
     original = peaks.where("level = 1.0 AND family = 'BRIGHTNESS'").select(
         "category", "image", F.col("st").alias("s0"), F.col("interior_st").alias("interior_s0"))
-    held_out = pixel_units(with_variants(pixel_images(spark, sf).where("split = 'calibration'"), ("identity",)))
-    scores = M.image_scores(M.calibrated(M.raw_maps(held_out, model, KEYS), calibration, KEYS))
+    held_out = pixel_features(with_variants(pixel_images(spark, sf).where("split = 'calibration'"), ("identity",)))
+    scores = M.image_scores(M.calibrated(M.feature_maps(held_out, model, KEYS), calibration, KEYS))
     pairs = P.paired(peaks, original.drop("interior_s0")).join(original.select("category", "image", "interior_s0"), ["category", "image"])
     pairs = pairs.withColumn("interior_delta", F.col("interior_st") - F.col("interior_s0"))
     return kept(P.with_reference(pairs, scores), "pairs")
