@@ -8,7 +8,7 @@ from gridsift.operators import correspondence as C
 from gridsift.operators import geometry as G
 from gridsift.operators import moments as M
 from gridsift.operators import paired as P
-from gridsift.plans.studies import INNER, KEYS, SQL_TRIP, _sql_delta, nuisance_state, pixel_images, pixel_units
+from gridsift.plans.studies import INNER, KEYS, SQL_TRIP, _sql_delta, nuisance_state, pixel_features, pixel_images
 from gridsift.plans.views import HEIGHT, WIDTH, r, rounded
 from gridsift.session import kept
 
@@ -70,8 +70,8 @@ def geometric_trip(spark, sf):
     back = kept(G.changed(pixel_images(spark, sf).where("split = 'test'"), TRIP, SIDE, SIDE, back=True).select(*keys, "pixels", "changed", "corrected"), "trip")
     stages = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(c).alias("pixels")) for s, c in (
         ("s0", "pixels"), ("sp", "changed"), ("sc", "corrected"))])).alias("_s")
-    u = pixel_units(back.select(*keys, F.lit("identity").alias("variant"), stages).select(*keys, "variant", "_s.stage", "_s.pixels"))
-    return back, M.calibrated(M.raw_maps(u, model, KEYS), calibration, KEYS), keys
+    f = pixel_features(back.select(*keys, F.lit("identity").alias("variant"), stages).select(*keys, "variant", "_s.stage", "_s.pixels"))
+    return back, M.calibrated(M.feature_maps(f, model, KEYS), calibration, KEYS), keys
 
 
 def geometric_maps(spark, sf):

@@ -148,3 +148,19 @@ def test_drift_and_enforcement(spark):
     assert {(r.path, r.state) for r in K.drift(a, b).collect()} == {("y", "changed"), ("z", "removed")}
     with pytest.raises(ValueError, match="changed"):
         K.enforced(K.drift(a, b).where("state = 'changed'"), "content")
+
+
+def test_one_python_pass_from_pixels_to_maps(spark, monkeypatch):
+    """A task of the studies holds a Python worker for the change and one for the maps, no third one for normalisation."""
+    from gridsift.plans import geometry, studies
+    passes, write = {}, studies.kept
+
+    def recorded(df, name):
+        passes[name] = df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+        return write(df, name)
+
+    monkeypatch.setattr(studies, "kept", recorded)
+    monkeypatch.setattr(geometry, "kept", recorded)
+    studies.nuisance_maps(spark, "/root/testdata/sf0.001")
+    geometry.geometric_maps(spark, "/root/testdata/sf0.001")
+    assert passes["nuisance"] == 2 and passes["calibration"] == 1 and passes["geometric-maps"] == 1
