@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Remembered pieces and token pairs of one worker. When as many are new, those not met since the last time are forgotten.
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 18
 
 
 class Vocabulary:

@@ -40,6 +40,8 @@ MAP_BITS = 26
 #: Words of 64 bits of a set's parity sketch. Sets whose sketches differ in more bits than they may differ in shingles are
 #: told apart without their shingles.
 SKETCH = 8
+#: Keys that a task sorts at once; a set with more is sorted alone. It bounds memory and changes no result.
+KEYS_AT_ONCE = 1 << 19
 #: Where a key's sets are not connected yet, each is compared with so many others of it a round, in the order of a hash;
 #: rounds go on while they connect at least this share of the compared pairs. What is left is then compared in full.
 BESIDE, WORTH = 4, 0.02
@@ -241,19 +243,27 @@ def _stars(shingled: DataFrame) -> DataFrame:
     the leader of the batch, which alone goes on to the shuffle: however many sets share a key, few rows of it arrive there.
     """
     def local(batches):
-        for batch in batches:
-            ids, rares = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            lists = batch.column(2)
-            n = np.diff(lists.offsets.to_numpy())
-            member, rare, key = np.repeat(ids, n), np.repeat(rares, n), lists.flatten().to_numpy(zero_copy_only=False)
-            order = np.lexsort((member, rare, key))
-            key, member, rare = key[order], member[order], rare[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = key[1:] != key[:-1]
-            leader = member[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else member
-            keep = new | (leader != member)
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(member[keep]), pa.array(leader[keep], mask=new[keep]), pa.array(rare[keep])],
-                                             names=["key", "member", "leader", "rare"])
+        for whole in batches:
+            upto = np.cumsum(whole.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            low = 0
+            while low < whole.num_rows:
+                high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + KEYS_AT_ONCE, side="right")))
+                yield led(whole.slice(low, high - low))
+                low = high
+
+    def led(batch):
+        ids, rares = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        lists = batch.column(2)
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        member, rare, key = np.repeat(ids, n), np.repeat(rares, n), lists.flatten().to_numpy(zero_copy_only=False)
+        order = np.lexsort((member, rare, key))
+        key, member, rare = key[order], member[order], rare[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        leader = member[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else member
+        keep = new | (leader != member)
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(member[keep]), pa.array(leader[keep], mask=new[keep]), pa.array(rare[keep])],
+                                          names=["key", "member", "leader", "rare"])
 
     found = shingled.where(F.size("keys") > 0).select("set_id", "rare", "keys").mapInArrow(local, GROUPED + ", rare int")
     # Rows that have their leader take the same exchange, so that ``shingled`` is read once; they are dealt evenly.

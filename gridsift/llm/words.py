@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone. It bounds memory and changes no result.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _BYTE_STEP, _WORD_STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 
