@@ -291,20 +291,31 @@ def _across(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(member[keep]), pa.array(leader[keep])], names=["key", "member", "leader"])
 
 
-def _beside(batches):
-    """(a, b) of rows (key, member, part) that come sorted by key: each with the next few of its key, if of other parts."""
-    tail = None
-    for batch in batches:
-        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)])
-        key, member, part = now if tail is None else np.concatenate([tail, now], axis=1)
-        a, b = [], []
-        for step in range(1, BESIDE + 1):
-            near = (key[step:] == key[:-step]) & (part[step:] != part[:-step])
-            a.append(member[:-step][near])
-            b.append(member[step:][near])
-        tail = np.stack([key, member, part])[:, -BESIDE:]
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _beside(near: DataFrame, threshold) -> DataFrame:
+    """(a, b) of rows (key, node, part, n_shingles, sketch) that come sorted by key: each with the next few of its key, if
+    of other parts and not told apart by sizes and sketches. Keys of up to BESIDE + 1 sets are compared in full by it.
+    """
+    p, q = threshold
+
+    def run(batches):
+        tail = None
+        for batch in batches:
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            now.append(batch.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH))
+            key, node, part, n, sketch = now = now if tail is None else [np.concatenate(pair) for pair in zip(tail, now)]
+            a, b = [], []
+            for step in range(1, BESIDE + 1):
+                i = np.flatnonzero((key[step:] == key[:-step]) & (part[step:] != part[:-step]))
+                i = i[np.maximum(n[i], n[i + step]) * p <= np.minimum(n[i], n[i + step]) * q]
+                differing = np.bitwise_count(sketch[i] ^ sketch[i + step]).sum(1, dtype=np.int64)
+                i = i[differing * (p + q) <= (n[i] + n[i + step]) * (q - p)]
+                a.append(node[i])
+                b.append(node[i + step])
+            tail = [x[-BESIDE:].copy() for x in now]
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return near.select("key", "node", "part", "n_shingles", "sketch").mapInArrow(run, "a long, b long")
 
 
 def _sets_of(needed: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -411,21 +422,29 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
         links = tested.where("similar").select("a", "b")
         parts = components(links, scratch)
 
-        # All sets under keys where some set is not connected with its leader; only those matter from here on.
+        # All sets under keys where some set is not connected with its leader; only those matter from here on. Where a key has
+        # two sets only, they have been compared: unrelated sets mostly meet so, and ever more of them in larger tables.
         def placed(df, node, out):
             return df.join(parts.select(F.col("node").alias(node), F.col("component").alias("_part")), node, "left").withColumn(
                 out, F.coalesce("_part", node)).drop("_part")
 
-        apart = placed(placed(grouped, "member", "part_m"), "leader", "part_l").where("part_m <> part_l").select("key").distinct()
-        members = scratch.kept(grouped.join(apart, "key", "left_semi").select("key", F.explode(F.array("member", "leader")).alias("node")).distinct(), "members")
+        several = grouped.groupBy("key").agg(F.min(F.struct("member", "leader")).alias("low"), F.max(F.struct("member", "leader")).alias("high")).where("low <> high")
+        several = scratch.kept(grouped.join(several.select("key"), "key", "left_semi"), "several")
         scratch.drop(grouped)
+        apart = placed(placed(several, "member", "part_m"), "leader", "part_l").where("part_m <> part_l").select("key").distinct()
+        members = scratch.kept(several.join(apart, "key", "left_semi").select("key", F.explode(F.array("member", "leader")).alias("node")).distinct(), "members")
+        scratch.drop(several)
+        sized = lambda members: placed(members, "node", "part").join(reps.select(F.col("set_id").alias("node"), "n_shingles", "sketch"), "node")
+        least = 2
         while True:
             open_members = placed(members, "node", "part")
-            still = open_members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-            members = scratch.kept(open_members.join(still, "key", "left_semi").select("key", "node"), "members")
-            near = placed(members, "node", "part").repartition("key").sortWithinPartitions("key", F.xxhash64("node", "part"))
-            more = near.select("key", "node", "part").mapInArrow(_beside, "a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            more = scratch.kept(_judged(more, reps, threshold).where("not apart").select("a", "b"), "pairs")
+            still = open_members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).where(
+                (F.col("low") != F.col("high")) & (F.col("n") >= least)).select("key")
+            before, members = members, scratch.kept(open_members.join(still, "key", "left_semi").select("key", "node"), "members")
+            scratch.drop(before)
+            near = sized(members).repartition("key").sortWithinPartitions("key", F.xxhash64("node", "part"))
+            more = scratch.kept(_beside(near, threshold).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            least = BESIDE + 2
             count = more.count()
             if not count:
                 break
@@ -434,8 +453,9 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
             parts = components(links, scratch)
             if answered.where("similar").count() < WORTH * count:
                 break
-        sized = placed(members, "node", "part").join(reps.select(F.col("set_id").alias("node"), "n_shingles", "sketch"), "node")
-        left, right = (sized.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "part", "n_shingles", "sketch")]) for s in "ab")
+        large = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("key")
+        rest = sized(members.join(large, "key", "left_semi"))
+        left, right = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "part", "n_shingles", "sketch")]) for s in "ab")
         more = (left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("part_a") != F.col("part_b")) & ~_apart(threshold, "a", "b"))
                 .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         more = scratch.kept(more, "pairs")

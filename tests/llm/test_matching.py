@@ -69,6 +69,31 @@ def test_similar_groups_of_odd_rows(spark):
     assert jaccard.similar_groups(docs.limit(0)).count() == 0
 
 
+def edited(rng, base, edits):
+    text = list(base)
+    for at in rng.sample(range(len(text)), edits):
+        text[at] = f"new{rng.randint(0, 10**6)}"
+    return " ".join(text)
+
+
+@pytest.mark.parametrize("family", [2, 4, 14])
+def test_similar_groups_list_no_key_of_two_sets_again(spark, monkeypatch, family):
+    rng, listed, keep = random.Random(family), [], Scratch.kept
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        if name == "members":
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "kept", kept)
+    bases = [[f"w{rng.randint(0, 10**6)}" for _ in range(60)] for _ in range(24)]
+    rows = [(i, t, "x", None) for i, t in enumerate(edited(rng, base, 0 if k == 0 else 2) for base in bases for k in range(family))]
+    got = jaccard.similar_groups(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert {tuple(r) for r in got} == groups_of(rows) and len(got) == len(rows)
+    assert listed and (sum(listed) == 0 if family == 2 else listed[0] > 0)
+
+
 def test_index_keys_meet_whatever_the_plan():
     """Two sets within the bound share a key, with exact segments, one-deletion neighbourhoods and mixes of them."""
     rng = np.random.default_rng(7)
