@@ -40,13 +40,13 @@ MAP_BITS = 26
 #: Words of 64 bits of a set's parity sketch. Sets whose sketches differ in more bits than they may differ in shingles are
 #: told apart without their shingles.
 SKETCH = 8
-#: Keys that a task sorts at once; a set with more is sorted alone. It bounds memory and changes no result.
+#: Keys from which on a task sorts what it holds; a chunk of texts may add some. It bounds memory and changes no result.
 KEYS_AT_ONCE = 1 << 19
 #: Where a key's sets are not connected yet, each is compared with so many others of it a round, in the order of a hash;
 #: rounds go on while they connect at least this share of the compared pairs. What is left is then compared in full.
 BESIDE, WORTH = 4, 0.02
 
-SHINGLED = "doc_id long, n_shingles long, set_id long, check long, sketch array<long>, rare int, keys array<long>, short boolean, text_hash long"
+SHINGLED = "doc_id long, n_shingles long, set_id long, check long, sketch array<long>, short boolean, text_hash long"
 GROUPED = "key long, member long, leader long"
 
 
@@ -204,69 +204,79 @@ def _apart(threshold, a: str, b: str):
     return (F.greatest(n, m) * p > F.least(n, m) * q) | (differing * (p + q) > (n + m) * (q - p))
 
 
+def _keys(text, shingles, sizes, own, threshold, seed, only, known):
+    """(text, index key) pairs of the texts of a slice, sorted by text, and which texts lack units."""
+    texts = len(sizes)
+    # Copies inside the slice are indexed once.
+    fresh = np.zeros(texts, dtype=bool)
+    fresh[np.unique(own, return_index=True)[1]] = True
+    band = _band_of(sizes)
+    lives = fresh & (differences(sizes, threshold) > 0)  # without room for a difference only equal sets are similar
+    bands = np.where(lives, band, -1)
+    lower = np.where(lives & (-(-sizes * threshold[0] // threshold[1]) < BAND ** band), band - 1, -1)
+    if only is not None:
+        bands, lower = np.where(np.isin(bands, only), bands, -1), np.where(np.isin(lower, only), lower, -1)
+    parts = [keys_of(text, shingles, sizes, b, threshold, seed, known) for b in (bands, lower)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), parts[0][2] | parts[1][2]
+
+
+def _set_ids(text, shingles, texts):
+    return _sums(mixed(shingles ^ np.uint64(0x2545F4914F6CDD1D)), text, texts)
+
+
 def _shingled(docs: DataFrame, size: int, threshold, seed: int, only: tuple[int, ...] | None, known) -> DataFrame:
     def run(batches):
         for batch in batches:
             for low, high, words in chunks(batch.column(1), lower=True):
                 text, shingles, sizes = sets(words, size)
                 texts = high - low
-                own = _sums(mixed(shingles ^ np.uint64(0x2545F4914F6CDD1D)), text, texts)
+                own = _set_ids(text, shingles, texts)
                 check = _sums(mixed(shingles + np.uint64(0x9FB21C651E98DF25)), text, texts)
-                # Copies inside the slice are indexed once.
-                fresh = np.zeros(texts, dtype=bool)
-                fresh[np.unique(own, return_index=True)[1]] = True
-                band = _band_of(sizes)
-                lives = fresh & (differences(sizes, threshold) > 0)  # without room for a difference only equal sets are similar
-                bands = np.where(lives, band, -1)
-                lower = np.where(lives & (-(-sizes * threshold[0] // threshold[1]) < BAND ** band), band - 1, -1)
-                if only is not None:
-                    bands, lower = np.where(np.isin(bands, only), bands, -1), np.where(np.isin(lower, only), lower, -1)
-                parts = [keys_of(text, shingles, sizes, b, threshold, seed, known.value) for b in (bands, lower)]
-                owner = np.concatenate([p[0] for p in parts])
-                order = np.argsort(owner, kind="stable")
-                keys = np.concatenate([p[1] for p in parts])[order]
-                offsets = np.searchsorted(owner[order], np.arange(texts + 1)).astype(np.int32)
-                rare = np.bincount(text, weights=~frequent(shingles, known.value), minlength=texts)
+                short = _keys(text, shingles, sizes, own, threshold, seed, only, known.value)[2]
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(texts + 1, dtype=np.int32) * SKETCH), pa.array(_sketches(text, shingles, texts)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, texts), pa.array(sizes.astype(np.int64)), pa.array(signed(own)), pa.array(signed(check)), sketch, pa.array(rare.astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys))), pa.array(parts[0][2] | parts[1][2]), batch.column(2).slice(low, texts)],
-                    names=["doc_id", "n_shingles", "set_id", "check", "sketch", "rare", "keys", "short", "text_hash"])
+                    [batch.column(0).slice(low, texts), pa.array(sizes.astype(np.int64)), pa.array(signed(own)), pa.array(signed(check)), sketch,
+                     pa.array(short), batch.column(2).slice(low, texts)],
+                    names=["doc_id", "n_shingles", "set_id", "check", "sketch", "short", "text_hash"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(run, SHINGLED)
 
 
-def _stars(shingled: DataFrame) -> DataFrame:
+def _stars(docs: DataFrame, size: int, threshold, seed: int, only: tuple[int, ...] | None, known) -> DataFrame:
     """(key, member, leader): every set under a key with the one of fewest rare shingles there, for keys of several sets.
 
-    In a group of near copies that one is most like the text they were made from. Sets of one batch are first joined to
-    the leader of the batch, which alone goes on to the shuffle: however many sets share a key, few rows of it arrive there.
+    In a group of near copies that one is most like the text they were made from. Sets that a task holds at once are first
+    joined to their leader, which alone goes on to the shuffle: however many sets share a key, few rows of it arrive there.
+    Keys are made and merged in one Python pass, so lists of keys never leave the worker.
     """
     def local(batches):
-        for whole in batches:
-            upto = np.cumsum(whole.column(2).value_lengths().to_numpy(zero_copy_only=False))
-            low = 0
-            while low < whole.num_rows:
-                high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + KEYS_AT_ONCE, side="right")))
-                yield led(whole.slice(low, high - low))
-                low = high
-
-    def led(batch):
-        ids, rares = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        lists = batch.column(2)
-        n = lists.value_lengths().to_numpy(zero_copy_only=False)
-        member, rare, key = np.repeat(ids, n), np.repeat(rares, n), lists.flatten().to_numpy(zero_copy_only=False)
+        held, count = [], 0
+        for batch in batches:
+            for low, high, words in chunks(batch.column(0), lower=True):
+                text, shingles, sizes = sets(words, size)
+                own = _set_ids(text, shingles, high - low)
+                owner, key, _ = _keys(text, shingles, sizes, own, threshold, seed, only, known.value)
+                rare = np.bincount(text, weights=~frequent(shingles, known.value), minlength=high - low).astype(np.int32)
+                held.append((signed(own)[owner], rare[owner], signed(key)))
+                count += len(key)
+                if count >= KEYS_AT_ONCE:
+                    yield led(*[np.concatenate(column) for column in zip(*held)])
+                    held, count = [], 0
+        if count:
+            yield led(*[np.concatenate(column) for column in zip(*held)])
+
+    def led(member, rare, key):
         order = np.lexsort((member, rare, key))
         key, member, rare = key[order], member[order], rare[order]
         new = np.ones(len(key), dtype=bool)
         new[1:] = key[1:] != key[:-1]
-        leader = member[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else member
+        leader = member[np.flatnonzero(new)[np.cumsum(new) - 1]]
         keep = new | (leader != member)
         return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(member[keep]), pa.array(leader[keep], mask=new[keep]), pa.array(rare[keep])],
                                           names=["key", "member", "leader", "rare"])
 
-    found = shingled.where(F.size("keys") > 0).select("set_id", "rare", "keys").mapInArrow(local, GROUPED + ", rare int")
-    # Rows that have their leader take the same exchange, so that ``shingled`` is read once; they are dealt evenly.
+    found = docs.select("text").mapInArrow(local, GROUPED + ", rare int")
+    # Rows that have their leader take the same exchange, so that the texts are read once; they are dealt evenly.
     dealt = found.repartition(F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("key", "member", "leader")))
     return dealt.sortWithinPartitions("key", "rare", "member").select("key", "member", "leader").mapInArrow(_across, GROUPED)
 
@@ -329,7 +339,7 @@ def _sets_of(needed: DataFrame, docs: DataFrame, reps: DataFrame, size: int) ->
             wanted = batch.column(1).to_numpy(zero_copy_only=False) if batch.num_columns > 1 else None
             for low, high, words in chunks(batch.column(0), lower=True):
                 text, shingles, sizes = sets(words, size)
-                own = signed(_sums(mixed(shingles ^ np.uint64(0x2545F4914F6CDD1D)), text, high - low))
+                own = signed(_set_ids(text, shingles, high - low))
                 found = pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(signed(shingles)))],
                                                    names=["set_id", "shingles"])
                 # Rows of one doc_id may differ in text: only the set that is asked for passes.
@@ -383,11 +393,11 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
     with Scratch(spark) as scratch:
         known = spark.sparkContext.broadcast(_frequent_map(docs, size))
         # Two passes over the texts: the index keys, most of a set's bytes, go straight to their exchange and are never kept.
-        shingled = scratch.kept(_shingled(docs, size, threshold, 0, None, known).drop("keys"), "shingled")
+        shingled = scratch.kept(_shingled(docs, size, threshold, 0, None, known), "shingled")
         reps = scratch.kept(shingled.where("n_shingles > 0").groupBy("set_id", "n_shingles").agg(
             F.min("doc_id").alias("doc_id"), F.min("check").alias("check"), F.max("check").alias("_check"), F.max("short").alias("short"), F.min("sketch").alias("sketch")).select(
             "set_id", "n_shingles", "doc_id", "short", "sketch", F.assert_true(F.col("check") == F.col("_check"), F.lit("two sets with one 64-bit id")).alias("ok")), "classes")
-        grouped, seed, short = _stars(_shingled(docs, size, threshold, 0, None, known)), 0, reps.where("short")
+        grouped, seed, short = _stars(docs, size, threshold, 0, None, known), 0, reps.where("short")
         # Sets whose segments happened to be too full lack units; their bands are dealt anew until none does.
         lacking = short.select("set_id", "n_shingles")
         while True:
@@ -397,7 +407,7 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
             seed += 1
             only = tuple(sorted({b for band in sizes for b in (band, band - 1)}))
             again = scratch.kept(_shingled(docs, size, threshold, seed, only, known), "shingled")
-            grouped = grouped.unionByName(_stars(again))
+            grouped = grouped.unionByName(_stars(docs, size, threshold, seed, only, known))
             lacking = lacking.join(again.where("short").select("set_id").distinct(), "set_id", "left_semi")
         grouped = scratch.kept(grouped, "grouped")
         found = scratch.kept(shingled.select("doc_id", "n_shingles", "text_hash", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")), "texts")
