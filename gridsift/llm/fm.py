@@ -37,15 +37,18 @@ class WaveletTree:
             self.levels.append(Bits(flags))
             self.zeros.append(int(len(flags) - flags.sum()))
             symbols = np.concatenate([symbols[~flags], symbols[flags]])
+        #: Where the places of each symbol begin below the last level.
+        self.begins = self._down(np.arange(1 << bits), np.zeros(1 << bits, dtype=np.int64))
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        low = np.zeros_like(at)
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for i, (level, zeros) in enumerate(zip(self.levels, self.zeros)):
             up = ((symbol >> (self.bits - 1 - i)) & 1).astype(bool)
-            ones_low, ones_at = level.ones(low), level.ones(at)
-            low = np.where(up, zeros + ones_low, low - ones_low)
-            at = np.where(up, zeros + ones_at, at - ones_at)
-        return at - low
+            ones = level.ones(at)
+            at = np.where(up, zeros + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self._down(symbol, at) - self.begins[symbol]
 
 
 class Index:
@@ -65,28 +68,36 @@ class Index:
         places = np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)
         text[places] = codes + 1
         owner = np.repeat(np.arange(len(lengths)), lengths + 1)
-        order = self._sorted(text, depth)
+        order, ranks = self._sorted(text, depth)
         self.bwt = WaveletTree(text[order - 1], max(1, int(len(self.alphabet)).bit_length()))
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 2))])
         self.size = size
-        self._outer = self._runs(text, order, depth - 1)
+        self._outer = self._runs(ranks, order, depth - 1)
         self._least = self._sparse(values[owner[order]])
 
     @staticmethod
-    def _sorted(text: np.ndarray, depth: int) -> np.ndarray:
-        """Suffixes in the order of their first ``depth`` symbols or more, by doubling. The text is taken as a circle."""
-        rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-        width = 1
+    def _sorted(text: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Suffixes in the order of their first ``depth`` symbols or more, by doubling, and their ranks by the first 1, 2, 4, ... symbols.
+
+        The text is taken as a circle; its symbols are at most its length.
+        """
+        ranks, width, bits = {1: text}, 1, len(text).bit_length()
         while True:
-            pair = rank * (len(text) + 1) + np.roll(rank, -width)
-            order = np.argsort(pair, kind="stable")
+            pair = ranks[width] * (len(text) + 1) + np.roll(ranks[width], -width)
+            if 3 * bits < 64:  # pair and place fit in one number, which sorts without an index
+                pair = np.sort((pair << bits) | np.arange(len(text)))
+                order, pair = pair & ((1 << bits) - 1), pair >> bits
+            else:
+                order = np.argsort(pair, kind="stable")
+                pair = pair[order]
             new = np.ones(len(text), dtype=bool)
-            new[1:] = pair[order][1:] != pair[order][:-1]
-            rank[order] = np.cumsum(new) - 1
+            new[1:] = pair[1:] != pair[:-1]
             width *= 2
+            ranks[width] = np.empty(len(text), dtype=np.int64)
+            ranks[width][order] = np.cumsum(new) - 1
             # One symbol more than a pattern has: the order of a suffix behind its first word must be known, too.
             if width > depth or new.all():
-                return order
+                return order, ranks
 
     @staticmethod
     def _sparse(values: np.ndarray) -> list[np.ndarray]:
@@ -98,13 +109,16 @@ class Index:
         return out
 
     @staticmethod
-    def _runs(text: np.ndarray, order: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    def _runs(ranks: dict[int, np.ndarray], order: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the run of suffixes around each one that agree in their first ``depth`` symbols."""
         new = np.zeros(len(order), dtype=bool)
         new[0] = True
-        for i in range(depth):
-            symbols = text[(order + i) % len(text)]
-            new[1:] |= symbols[1:] != symbols[:-1]
+        at = 0
+        while at < depth:
+            width = max(w for w in ranks if w <= depth - at)
+            part = ranks[width][(order + at) % len(order)]
+            new[1:] |= part[1:] != part[:-1]
+            at += width
         starts = np.flatnonzero(new)
         of = np.cumsum(new) - 1
         return starts[of], np.append(starts[1:], len(order))[of]

@@ -13,7 +13,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from gridsift.llm.fm import Index
@@ -37,7 +36,7 @@ def _anchors(words: Words, window: int, anchor: int):
     starts, _ = words.grams(window)
     if not len(starts):
         return starts, starts, starts, np.zeros(0, dtype=np.uint64)
-    least = starts + sliding_window_view(full, window - anchor + 1)[starts].argmin(1)
+    least = starts + _least(full, window - anchor + 1)[0][starts]
     text = words.text_of()[starts]
     new = np.ones(len(starts), dtype=bool)
     new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
@@ -45,8 +44,20 @@ def _anchors(words: Words, window: int, anchor: int):
     return starts[s], np.diff(np.append(s, len(starts))), text[s], full[least[s]]
 
 
+def _least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, value) of the least of every run of ``width`` values, of equal ones the first."""
+    runs = max(0, len(values) - width + 1)
+    best, at = values[:runs].copy(), np.zeros(runs, dtype=np.uint8)
+    for i in range(1, width):
+        now = values[i:runs + i]
+        less = now < best
+        np.copyto(best, now, where=less)
+        np.copyto(at, np.uint8(i), where=less)
+    return at, best
+
+
 def _checksums(column: pa.Array) -> np.ndarray:
-    return np.array([zlib.crc32(t.encode()) for t in column.to_pylist()], dtype=np.int64)
+    return np.array([zlib.crc32(t) for t in column.cast(pa.binary()).to_pylist()], dtype=np.int64)
 
 
 def _packed(check: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -92,6 +103,10 @@ def _candidates(texts: DataFrame, window: int, anchor: int) -> DataFrame:
         pending, open_key = None, None  # rows of the last anchor while it has one document; the last anchor once it has several
         for batch in batches:
             rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            known = rows[3] == _SHARED
+            if known.any():
+                yield _batch(_ROWS[1:], rows[1:3], np.flatnonzero(known))
+                rows = [a[~known] for a in rows]
             if pending is not None:
                 rows = [np.concatenate([a, b]) for a, b in zip(pending, rows)]
             key, doc, _, kind = rows
@@ -105,12 +120,12 @@ def _candidates(texts: DataFrame, window: int, anchor: int) -> DataFrame:
             found = several[of] & (kind == _ALONE)
             pending = [a[tail:].copy() for a in rows] if tail < len(key) else None
             open_key = key[-1] if pending is None else None
-            yield _batch(_ROWS, rows[:3], np.flatnonzero(found))
+            yield _batch(_ROWS[1:], rows[1:3], np.flatnonzero(found))
 
     found = texts.mapInArrow(local, "anchor long, doc_id long, place long, kind long")
-    single = found.where(f"kind <> {_SHARED}").repartition("anchor").sortWithinPartitions("anchor", "doc_id")
-    return found.where(f"kind = {_SHARED}").select("doc_id", "place").unionByName(
-        single.mapInArrow(across, "anchor long, doc_id long, place long").select("doc_id", "place"))
+    # Rows that are known to be shared take the same exchange, so that the texts are read once; they are dealt evenly.
+    dealt = found.repartition(F.when(F.col("kind") == _SHARED, F.xxhash64("anchor", "doc_id", "place")).otherwise(F.col("anchor")))
+    return dealt.sortWithinPartitions("anchor", "doc_id").mapInArrow(across, "doc_id long, place long")
 
 
 def _groups(key: np.ndarray):
@@ -143,8 +158,7 @@ def _segments(marked: DataFrame, window: int, anchor: int, with_text: bool) -> D
                 at_anchor, h = words.grams(anchor)
                 full = np.full(len(words.hashes), np.uint64(2**64 - 1))
                 full[at_anchor] = h
-                width = window - anchor + 1
-                key = sliding_window_view(full, width)[at[pick]].min(1) if len(full) >= width else full[:0]
+                key = _least(full, window - anchor + 1)[1][at[pick]]
                 data, begin, end = words.data.tobytes(), words.starts[at[pick]].tolist(), words.ends[at[pick] + n[pick] - 1].tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(key)), pa.array(signed(segment[pick])), pa.array(doc[pick]), pa.array(doc[last]),
@@ -231,8 +245,8 @@ def deduplicated(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR,
         def cut(batches):
             for batch in batches:
                 rows = ([], [], [], [])
-                for text, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    data = (text or "").encode()
+                for data, removed in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                    data = data or b""
                     parts, spans = data.split(), []  # bytes.split() parts at 0x20 and 0x09-0x0D only
                     if removed:
                         check, _, first = _unpacked(np.array([r["place"] for r in removed], dtype=np.int64))

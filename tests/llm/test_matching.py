@@ -141,6 +141,12 @@ def test_passages(spark, seed):
     assert all(sum(s.stop - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def test_passages_read_the_texts_once_for_anchors(spark):
+    docs = spark.createDataFrame(corpus(5), DOCS).select("doc_id", "text")
+    plan = substring._candidates(docs, substring.WINDOW, substring.ANCHOR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Union") == 0
+
+
 def test_passages_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(2, text, "", ""), (2, text, "", ""), (2, "new " + text, "", ""), (None, text, "", ""), (3, text.replace(" ", "\t\n"), "", ""), (4, None, "", ""), (5, "a b", "", ""),
