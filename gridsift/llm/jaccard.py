@@ -307,30 +307,43 @@ def _beside(near: DataFrame, threshold) -> DataFrame:
     """
     p, q = threshold
 
+    def distinct(held):
+        a, b = (np.concatenate(column) for column in zip(*held))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
     def run(batches):
-        tail = None
+        tail, held, count = None, [], 0  # a pair mostly meets under many keys of a task
         for batch in batches:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             now.append(batch.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH))
             key, node, part, n, sketch = now = now if tail is None else [np.concatenate(pair) for pair in zip(tail, now)]
-            a, b = [], []
             for step in range(1, BESIDE + 1):
                 i = np.flatnonzero((key[step:] == key[:-step]) & (part[step:] != part[:-step]))
                 i = i[np.maximum(n[i], n[i + step]) * p <= np.minimum(n[i], n[i + step]) * q]
                 differing = np.bitwise_count(sketch[i] ^ sketch[i + step]).sum(1, dtype=np.int64)
                 i = i[differing * (p + q) <= (n[i] + n[i + step]) * (q - p)]
-                a.append(node[i])
-                b.append(node[i + step])
+                held.append((node[i], node[i + step]))
+                count += len(i)
             tail = [x[-BESIDE:].copy() for x in now]
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if count >= KEYS_AT_ONCE:
+                yield distinct(held)
+                held, count = [], 0
+        if count:
+            yield distinct(held)
 
     return near.select("key", "node", "part", "n_shingles", "sketch").mapInArrow(run, "a long, b long")
 
 
-def _sets_of(needed: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(set_id, shingles) of the sets in ``needed``, made again from one text of each."""
-    needed = needed.select("set_id").distinct().join(reps.select("set_id", "doc_id"), "set_id")
+def _sets_of(needed: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(set_id, shingles) of the sets in ``needed`` (set_id, doc_id), made again from one text of each.
+
+    ``needed`` is a written table: if it is small, as in later rounds, Spark sends it to the texts and shuffles none.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "set_id long, shingles array<long>"
 
@@ -345,7 +358,7 @@ def _sets_of(needed: DataFrame, docs: DataFrame, reps: DataFrame, size: int) ->
                 # Rows of one doc_id may differ in text: only the set that is asked for passes.
                 yield found if wanted is None else found.filter(pa.array(own == wanted[low:high]))
 
-    named = own.join(needed.where("doc_id is not null").hint("merge"), "doc_id").select("text", "set_id").mapInArrow(run, schema)
+    named = own.join(needed.where("doc_id is not null"), "doc_id").select("text", "set_id").mapInArrow(run, schema)
     nameless = own.where("doc_id is null").select("text").mapInArrow(run, schema).join(needed.where("doc_id is null").select("set_id"), "set_id", "left_semi")
     return named.unionByName(nameless).dropDuplicates(["set_id"])
 
@@ -420,9 +433,9 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
             asked = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
             for known in sets_read:
                 asked = asked.join(known.select("set_id"), "set_id", "left_anti")
-            asked = scratch.kept(asked, "asked")
+            asked = scratch.kept(asked.join(reps.select("set_id", "doc_id"), "set_id"), "asked")
             if asked.head(1):
-                sets_read.append(scratch.kept(_sets_of(asked, docs, reps, size), "sets"))
+                sets_read.append(scratch.kept(_sets_of(asked, docs, size), "sets"))
             made = functools.reduce(DataFrame.unionByName, sets_read)
             return scratch.kept(_tested(pairs, made, threshold), "tested")
 
