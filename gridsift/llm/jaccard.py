@@ -38,7 +38,7 @@ FREQUENT, FREQUENT_IN_BATCH = 16, 3
 #: Bits of the map of frequent shingles (8 MB). Two shingles with one bit only cost time.
 MAP_BITS = 26
 #: Words of 64 bits of a set's parity sketch. Sets whose sketches differ in more bits than they may differ in shingles are
-#: told apart without their shingles.
+#: told apart without their shingles. Sets of more shingles than it has bits also get a wide one of at least as many bits.
 SKETCH = 8
 #: Keys from which on a task sorts what it holds; a chunk of texts may add some. It bounds memory and changes no result.
 KEYS_AT_ONCE = 1 << 19
@@ -46,7 +46,7 @@ KEYS_AT_ONCE = 1 << 19
 #: rounds go on while they connect at least this share of the compared pairs. What is left is then compared in full.
 BESIDE, WORTH = 4, 0.02
 
-SHINGLED = "doc_id long, n_shingles long, set_id long, check long, sketch array<long>, short boolean, text_hash long"
+SHINGLED = "doc_id long, n_shingles long, set_id long, check long, sketch array<long>, wide array<long>, short boolean, text_hash long"
 GROUPED = "key long, member long, leader long"
 
 
@@ -171,7 +171,7 @@ def _band_of(sizes: np.ndarray) -> np.ndarray:
 
 
 def _frequent_map(docs: DataFrame, size: int) -> np.ndarray:
-    """Bits of the shingles that many sets hold; at most 2 ** (MAP_BITS - 6) rows reach the driver."""
+    """Bits of the shingles that many sets hold."""
     def count(batches):
         for batch in batches:
             every = [sets(words, size)[1] for _, _, words in chunks(batch.column(0), lower=True)]
@@ -182,7 +182,12 @@ def _frequent_map(docs: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(signed(shingles[starts[often]])), pa.array(n[often])], names=["shingle", "n"])
 
     counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    places = counts.select(F.shiftrightunsigned("shingle", 64 - MAP_BITS).alias("place")).distinct()
+    return _bit_map(counts.select("shingle"))
+
+
+def _bit_map(hashes: DataFrame) -> np.ndarray:
+    """Bit map of the upper MAP_BITS bits of the one column of 64-bit hashes; at most 2 ** (MAP_BITS - 6) rows reach the driver."""
+    places = hashes.select(F.shiftrightunsigned(hashes.columns[0], 64 - MAP_BITS).alias("place")).distinct()
     table = places.groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toArrow()
     bits = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
     bits[table.column("word").to_numpy()] = table.column("bits").to_numpy()
@@ -196,6 +201,20 @@ def _sketches(text: np.ndarray, shingles: np.ndarray, texts: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(texts, -1), axis=1, bitorder="little").view(np.int64).reshape(-1)
 
 
+def _wide(text: np.ndarray, shingles: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Sketches of a power of two times 64 * SKETCH buckets, at least one a shingle; null where ``_sketches`` has as many.
+
+    A sketch folds to one of fewer buckets by the parity of its parts.
+    """
+    words = np.where(sizes > 64 * SKETCH, SKETCH << np.ceil(np.log2(np.maximum(sizes, 1) / (64 * SKETCH))).clip(0).astype(np.int64), 0)
+    first = np.concatenate([[0], np.cumsum(words)])
+    at = np.flatnonzero(words[text] > 0)
+    bucket = mixed(shingles[at] ^ np.uint64(0x632BE59BD9B4E019)) % (64 * words[text[at]]).astype(np.uint64)
+    odd = np.bincount(64 * first[text[at]] + bucket.astype(np.int64), minlength=64 * first[-1]) & 1
+    bits = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32), mask=np.append(words == 0, False)), pa.array(bits))
+
+
 def _apart(threshold, a: str, b: str):
     """Whether two rows' sketches and sizes already tell that the sets are not similar."""
     p, q = threshold
@@ -236,8 +255,8 @@ def _shingled(docs: DataFrame, size: int, threshold, seed: int, only: tuple[int,
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(texts + 1, dtype=np.int32) * SKETCH), pa.array(_sketches(text, shingles, texts)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, texts), pa.array(sizes.astype(np.int64)), pa.array(signed(own)), pa.array(signed(check)), sketch,
-                     pa.array(short), batch.column(2).slice(low, texts)],
-                    names=["doc_id", "n_shingles", "set_id", "check", "sketch", "short", "text_hash"])
+                     _wide(text, shingles, sizes), pa.array(short), batch.column(2).slice(low, texts)],
+                    names=["doc_id", "n_shingles", "set_id", "check", "sketch", "wide", "short", "text_hash"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(run, SHINGLED)
 
@@ -342,25 +361,22 @@ def _beside(near: DataFrame, threshold) -> DataFrame:
 def _sets_of(needed: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(set_id, shingles) of the sets in ``needed`` (set_id, doc_id), made again from one text of each.
 
-    ``needed`` is a written table: if it is small, as in later rounds, Spark sends it to the texts and shuffles none.
+    The texts stay where they are: a bit map of fixed size tells the tasks which ids are asked for. Ids that share a bit, and
+    other texts of an id, only cost the shuffle of their shingles.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "set_id long, shingles array<long>"
+    asked = docs.sparkSession.sparkContext.broadcast(_bit_map(needed.select(F.xxhash64("doc_id"))))
 
     def run(batches):
         for batch in batches:
-            wanted = batch.column(1).to_numpy(zero_copy_only=False) if batch.num_columns > 1 else None
-            for low, high, words in chunks(batch.column(0), lower=True):
+            texts = batch.column(1).filter(pa.array(frequent(batch.column(0).to_numpy().view(np.uint64), asked.value)))
+            for low, high, words in chunks(texts, lower=True):
                 text, shingles, sizes = sets(words, size)
                 own = signed(_set_ids(text, shingles, high - low))
-                found = pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(signed(shingles)))],
-                                                   names=["set_id", "shingles"])
-                # Rows of one doc_id may differ in text: only the set that is asked for passes.
-                yield found if wanted is None else found.filter(pa.array(own == wanted[low:high]))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(signed(shingles)))],
+                                                 names=["set_id", "shingles"])
 
-    named = own.join(needed.where("doc_id is not null"), "doc_id").select("text", "set_id").mapInArrow(run, schema)
-    nameless = own.where("doc_id is null").select("text").mapInArrow(run, schema).join(needed.where("doc_id is null").select("set_id"), "set_id", "left_semi")
-    return named.unionByName(nameless).dropDuplicates(["set_id"])
+    made = docs.select(F.xxhash64(F.col("doc_id").cast("long")), "text").mapInArrow(run, "set_id long, shingles array<long>")
+    return made.join(needed.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def _judged(pairs: DataFrame, reps: DataFrame, threshold) -> DataFrame:
@@ -369,6 +385,25 @@ def _judged(pairs: DataFrame, reps: DataFrame, threshold) -> DataFrame:
     return pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", _apart(threshold, "a", "b").alias("apart"))
 
 
+def _told_apart(pairs: DataFrame, reps: DataFrame, threshold) -> DataFrame:
+    """``pairs`` (a, b) with ``apart``: whether the wide sketches tell that the sets are not similar, if both have one."""
+    p, q = threshold
+
+    def judge(batches):
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            apart = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                x, y = sorted((np.asarray(batch.column(c)[i].values) for c in (4, 5)), key=len)
+                differing = np.bitwise_count((x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).view(np.uint64)).sum(dtype=np.int64)
+                apart[i] = differing * (p + q) > (n[i] + m[i]) * (q - p)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], names=["a", "b", "apart"])
+
+    of = {s: reps.where("wide is not null").select(F.col("set_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("wide").alias(f"wide_{s}")) for s in "ab"}
+    judged = pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(judge, "a long, b long, apart boolean")
+    return pairs.join(judged.where("apart"), ["a", "b"], "left").select("a", "b", F.coalesce("apart", F.lit(False)).alias("apart"))
+
+
 def _tested(pairs: DataFrame, shingles: DataFrame, threshold) -> DataFrame:
     """``pairs`` (a, b) with ``similar``: the exact test on the whole sets."""
     p, q = threshold
@@ -408,8 +443,8 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
         # Two passes over the texts: the index keys, most of a set's bytes, go straight to their exchange and are never kept.
         shingled = scratch.kept(_shingled(docs, size, threshold, 0, None, known), "shingled")
         reps = scratch.kept(shingled.where("n_shingles > 0").groupBy("set_id", "n_shingles").agg(
-            F.min("doc_id").alias("doc_id"), F.min("check").alias("check"), F.max("check").alias("_check"), F.max("short").alias("short"), F.min("sketch").alias("sketch")).select(
-            "set_id", "n_shingles", "doc_id", "short", "sketch", F.assert_true(F.col("check") == F.col("_check"), F.lit("two sets with one 64-bit id")).alias("ok")), "classes")
+            F.min("doc_id").alias("doc_id"), F.min("check").alias("check"), F.max("check").alias("_check"), F.max("short").alias("short"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide")).select(
+            "set_id", "n_shingles", "doc_id", "short", "sketch", "wide", F.assert_true(F.col("check") == F.col("_check"), F.lit("two sets with one 64-bit id")).alias("ok")), "classes")
         grouped, seed, short = _stars(docs, size, threshold, 0, None, known), 0, reps.where("short")
         # Sets whose segments happened to be too full lack units; their bands are dealt anew until none does.
         lacking = short.select("set_id", "n_shingles")
@@ -426,18 +461,16 @@ def similar_groups(docs: DataFrame, *, size: int = WORDS, threshold: tuple[int,
         found = scratch.kept(shingled.select("doc_id", "n_shingles", "text_hash", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")), "texts")
         scratch.drop(shingled)
 
-        sets_read: list[DataFrame] = []
-
         def compared(pairs: DataFrame) -> DataFrame:
-            """Pairs with the exact answer; sets that no pair asked for yet are made first."""
-            asked = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-            for known in sets_read:
-                asked = asked.join(known.select("set_id"), "set_id", "left_anti")
+            """Pairs with the exact answer; only sets that no sketch tells apart are made, and go straight to their exchange."""
+            judged = scratch.kept(_told_apart(pairs, reps, threshold), "judged")
+            near = judged.where("not apart").select("a", "b")
+            asked = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
             asked = scratch.kept(asked.join(reps.select("set_id", "doc_id"), "set_id"), "asked")
-            if asked.head(1):
-                sets_read.append(scratch.kept(_sets_of(asked, docs, size), "sets"))
-            made = functools.reduce(DataFrame.unionByName, sets_read)
-            return scratch.kept(_tested(pairs, made, threshold), "tested")
+            apart = judged.where("apart").select("a", "b", F.lit(False).alias("similar"))
+            if not asked.head(1):
+                return apart
+            return scratch.kept(_tested(near, _sets_of(asked, docs, size), threshold).unionByName(apart), "tested")
 
         pairs = grouped.select(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b")).distinct()
         pairs = scratch.kept(_judged(pairs, reps, threshold).where("not apart").select("a", "b"), "pairs")

@@ -94,6 +94,55 @@ def test_similar_groups_list_no_key_of_two_sets_again(spark, monkeypatch, family
     assert listed and (sum(listed) == 0 if family == 2 else listed[0] > 0)
 
 
+def test_similar_groups_make_no_sets_that_sketches_tell_apart(spark, monkeypatch):
+    """Long texts that share passages meet under keys; unlike ones are told apart without their shingles."""
+    rng, asked, made = random.Random(5), [], jaccard._sets_of
+
+    def spied(needed, *args):
+        asked.extend(r.doc_id for r in needed.collect())
+        return made(needed, *args)
+
+    monkeypatch.setattr(jaccard, "_sets_of", spied)
+    shared = [f"s{rng.randint(0, 10**9)}" for _ in range(900)]
+    rows = [(i, " ".join(shared + [f"o{rng.randint(0, 10**9)}" for _ in range(900 + 150 * i)]), "", "") for i in range(6)]
+    rows += [(20, " ".join(shared + shared[:40]), "", ""), (21, " ".join(shared), "", "")]
+    got = jaccard.similar_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert {tuple(r) for r in got} == groups_of(rows)
+    assert {20, 21} <= set(asked) <= {20, 21}
+
+
+def test_wide_sketches_tell_no_similar_sets_apart(spark):
+    rng, columns, pairs = np.random.default_rng(3), [], []
+    for k, size in enumerate([500, 520, 600, 1000, 1020, 1024, 1030, 2040, 2060, 4090, 4100, 9000]):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        added = rng.integers(0, 2**63, size // 4, dtype=np.uint64)
+        unlike = rng.integers(0, 2**63, size, dtype=np.uint64)
+        columns += [base, np.concatenate([base, added]), np.concatenate([base[:size // 2], unlike[size // 2:]])]
+        pairs += [(3 * k, 3 * k + 1), (3 * k, 3 * k + 2)]
+    sizes = np.array([len(c) for c in columns])
+    wide = jaccard._wide(np.repeat(np.arange(len(sizes)), sizes), np.concatenate(columns), sizes).to_pylist()
+    reps = spark.createDataFrame([(i, int(n), w) for i, (n, w) in enumerate(zip(sizes, wide))], "set_id long, n_shingles long, wide array<long>")
+    got = {(r.a, r.b): r.apart for r in jaccard._told_apart(spark.createDataFrame(pairs, "a long, b long"), reps, jaccard.THRESHOLD).collect()}
+    assert set(got) == set(pairs) and got == {(a, b): b % 3 == 2 and sizes[a] > 512 for a, b in pairs}
+
+
+def test_sets_are_made_again_without_shuffling_texts(spark):
+    rows = [(None, "a b c d e f g"), (None, "not asked for"), (3, "h i j k l m n"), (3, "o p q r s t u"), (4, "h i j k l m n"), (5, "v w x y z a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = jaccard._shingled(docs, 5, jaccard.THRESHOLD, 0, None, spark.sparkContext.broadcast(np.zeros(1 << (jaccard.MAP_BITS - 3), dtype=np.uint8)))
+    ids = {(r.doc_id, r.n_shingles, r.text_hash): r.set_id for r in ids.collect()}
+    hashed = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    wanted = [(ids[i, 3, hashed[t]], i) for i, t in (rows[0], rows[2], rows[5])]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = jaccard._sets_of(spark.createDataFrame(wanted, "set_id long, doc_id long"), docs, 5)
+        assert sorted(r.set_id for r in made.collect()) == sorted(s for s, _ in wanted)
+        assert set(re.findall(r"hashpartitioning\((\w+)#", made._jdf.queryExecution().executedPlan().toString())) == {"set_id"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_index_keys_meet_whatever_the_plan():
     """Two sets within the bound share a key, with exact segments, one-deletion neighbourhoods and mixes of them."""
     rng = np.random.default_rng(7)
