@@ -224,8 +224,8 @@ def map_file_round_trip(spark, sf):
     path = place(spark, "maps")
     written = kept(map_files.write_arrays(arrays, path, height=HEIGHT, width=WIDTH, geometry_id="grid-2x4", score_kind="z",
                                           format_id="anomaly-map-v1"), "written")
-    back = map_files.read_arrays(spark, path)
-    C.enforced(map_files.sidecar_problems(back, map_files.read_sidecars(spark, path)), "map files refused")
+    back, sidecars = map_files.read_once(spark, path)
+    C.enforced(map_files.sidecar_problems(back, sidecars), "map files refused")
     C.enforced(written.join(back, "sha256", "left_anti"), "map file missing")
     return rounded(back.select(F.col("stem").cast("long").alias("image"), "rows", "cols", F.array_max("values").alias("max_z")))
 

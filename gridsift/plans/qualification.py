@@ -195,8 +195,8 @@ def _written(spark, arrays, run):
 def _map_problems(spark, arrays, path):
     expected = arrays.select(F.col("image").cast("string").alias("stem"), "image", *[F.lit(IDENTITY[k]).alias(n) for n, k in (
         ("geometry_id", "geometry_id"), ("score_kind", "score_kind"), ("format", "format_id"))])
-    back = map_files.read_arrays(spark, path)
-    return back, map_files.sidecar_problems(back, map_files.read_sidecars(spark, path), expected)
+    back, sidecars = map_files.read_once(spark, path)
+    return back, map_files.sidecar_problems(back, sidecars, expected)
 
 
 def map_file_identity(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -41,6 +42,21 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that Spark reckons for opening a file. Its 4 MB give tables of tiny files a task for every few of them.
+_OPEN_COST, SMALL_FILES = "spark.sql.files.openCostInBytes", "64k"
+
+
+@contextlib.contextmanager
+def small_files(spark: SparkSession):
+    """Within the block, tasks that run read many small files each. A task's bytes stay bounded by spark.sql.files.maxPartitionBytes."""
+    before = spark.conf.get(_OPEN_COST)
+    spark.conf.set(_OPEN_COST, SMALL_FILES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_OPEN_COST, before)
+
+
 #: Spark removes the shuffle files of a finished query itself if this is set when the query is made.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridsift import schemas
 from gridsift.operators.checks import map_problems
+from gridsift.session import kept, small_files
 
 # Fixed value: dtypes a map file may have.
 DTYPES = {"<f4": "float32", "<f8": "float64"}
@@ -55,6 +56,12 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("stem", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
 
 
+def read_once(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``read_arrays`` and ``read_sidecars`` of a folder as two tables: each of the many small files is opened once, whatever follows."""
+    with small_files(spark):
+        return kept(read_arrays(spark, path), "arrays"), kept(read_sidecars(spark, path), "sidecars")
+
+
 def sidecar_problems(arrays: DataFrame, sidecars: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Arrays and sidecars that miss each other or disagree on shape, dtype, file name or hash.
 

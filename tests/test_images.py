@@ -232,3 +232,16 @@ def test_latency_sources(spark, tmp_path):
                                     "1,2026-01-01T00:00:00Z,7,t0,10,,12,partial,private_bytes\n")
     row = measurements.process_samples(spark, str(tmp_path / "m.csv"), "r").head()
     assert row.private_bytes is None and row.working_set_bytes == 10 and row.process == "7/t0"
+
+
+def test_map_files_are_opened_once_by_few_tasks(spark, tmp_path):
+    maps = spark.createDataFrame([(str(i), [float(i), 0.5]) for i in range(200)], "image string, map array<double>")
+    map_files.write_arrays(maps, str(tmp_path / "m"), height=1, width=2, geometry_id="g", score_kind="raw", format_id="f").count()
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    arrays, notes = map_files.read_once(spark, str(tmp_path / "m"))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert {r.stem: r["values"] for r in arrays.collect()} == {str(i): [float(i), 0.5] for i in range(200)}
+    assert map_files.sidecar_problems(arrays, notes).count() == 0
+    for table in (arrays, notes):
+        files = table.inputFiles()
+        assert all(f.endswith(".parquet") for f in files) and len(files) <= spark.sparkContext.defaultParallelism + 1
